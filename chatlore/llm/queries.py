@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from chatlore.llm import conversations as C
 from chatlore.llm import frequency as N
+from chatlore.llm import leakage as L
+from chatlore.llm import markup as M
+from chatlore.llm import residue as R
 from chatlore.llm import tokenizer as K
-from chatlore.shared import table
+from chatlore.shared import spread, table
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
@@ -45,19 +48,67 @@ def p3_roles(spark: SparkSession, d: str) -> DataFrame:
     return _conversations(spark, d)
 
 
+def _messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every message once."""
+    return table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", *columns).dropDuplicates(["zgram_id"])
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every message with markup."""
+    return p6_rows(spark, d).select("zgram_id", F.array_join("kinds", ",").alias("kinds"), "clean_text")
+
+
+def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    return M.clean(_messages(spark, d, "body")).filter((F.size("kinds") > 0) & (F.length("clean_text") >= 0))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_rows(spark, d).select("zgram_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return K.encode(table(spark, d, "documents"))
+    return K.encode(spread(table(spark, d, "documents")))
 
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose decoded ids differ from the text (none)."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     back = K.decode(K.encode(docs)).withColumnRenamed("text", "decoded")
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id")
             .groupBy((F.col("text") == F.col("decoded")).alias("equal")).agg(F.count("*").alias("n_docs")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p8_ids, p8_round_trip)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return L.find(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks per item."""
+    return p9_leaks(spark, d).groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.max("run_words").alias("longest_run"),
+        F.sum(F.col("has_answer").cast("long")).alias("n_with_answer"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return R.judge(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return R.judge(table(spark, d, "documents")).groupBy("reason").agg(F.count("*").alias("n_docs"))
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay, per source."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return docs.join(R.judge(table(spark, d, "documents")), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p6_found, p6_clean, p8_ids, p8_round_trip,
+                                   p9_found, p9_leaks, p9_items, p10_found, p10_reasons, p10_kept)}
 
 _W = r"[0-9a-z\x{80}-\x{10FFFF}]+(?:''+[0-9a-z\x{80}-\x{10FFFF}]+)*"
 _ONCE = "SELECT zgram_id, any_value(body) AS body, any_value(instance) AS instance, any_value(sender) AS sender FROM zgrams GROUP BY ALL"
