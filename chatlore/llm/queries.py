@@ -9,11 +9,36 @@ from chatlore.llm import conversations as C
 from chatlore.llm import frequency as N
 from chatlore.llm import leakage as L
 from chatlore.llm import markup as M
+from chatlore.llm import pii as P
 from chatlore.llm import residue as R
 from chatlore.llm import tokenizer as K
 from chatlore.shared import spread, table
 
 
+def _lexicon(messages: DataFrame) -> P.Lexicon:
+    return P.mine_lexicon(messages.select(F.explode(F.array("body", "signature")).alias("text")))
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d, "body", "signature")
+    return P.entities(m, "zgram_id", ["body", "signature"], _lexicon(m))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entities(spark, d).select("zgram_id", "field", "kind")
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Items and messages per field and kind."""
+    return _entities(spark, d).groupBy("field", "kind").agg(F.sum("n").alias("n_items"), F.count("*").alias("n_messages"))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every message with placeholders in place of personal data."""
+    m = _messages(spark, d, "body", "signature")
+    return P.mask(m, "zgram_id", ["body", "signature"], _lexicon(m))
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     z = table(spark, d, "zgrams")
     total = z.agg(F.count_distinct("zgram_id")).first()[0]
@@ -107,7 +132,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(R.judge(table(spark, d, "documents")), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p6_found, p6_clean, p8_ids, p8_round_trip,
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_masked, p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p6_found, p6_clean, p8_ids, p8_round_trip,
                                    p9_found, p9_leaks, p9_items, p10_found, p10_reasons, p10_kept)}
 
 _W = r"[0-9a-z\x{80}-\x{10FFFF}]+(?:''+[0-9a-z\x{80}-\x{10FFFF}]+)*"
