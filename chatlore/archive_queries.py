@@ -96,14 +96,14 @@ _search("fuzzy_word", "the", has("the"))
 _search("escaped_word", r"C\*", near(1, ["C", r"\*"]))
 _search("anchored_left", "body:^anyone", at("body", "1", "anyone"), True)
 _search("anchored_right", "signature:index$", at("signature", "-1", "index"))
-_search("anchored_both", "body:^ok$", f"len(body) = 1 AND {at('body', '1', 'ok')}")
+_search("anchored_both", "body:^agreed$", f"len(body) = 1 AND {at('body', '1', 'agreed')}")
 _search("one_word_instance", "instance:^*$", "len(instance) = 1")
 _search("phrase2", '"morning backlog"', near(1, ["morning", "backlog"]), True)
 _search("phrase3", '"the paging cursor"', near(1, ["the", "paging", "cursor"]))
 _search("phrase_punctuation", "C++", near(1, ["C", "+", "+"]))
 _search("phrase_anchored", 'body:^"my guess"', f"({at('body', '1', 'my')} AND len(body) > 1 AND regexp_matches(body[2], '{_re('guess')}'))")
-_search("near3", "~relay batch~", near(3, ["relay", "batch"]), True)
-_search("near3_three_words", "~kept of signatures~", near(3, ["kept", "of", "signatures"]))
+_search("near3", "~relay whole~", near(3, ["relay", "whole"]), True)
+_search("near3_three_words", "~track handful replies~", near(3, ["track", "handful", "replies"]))
 _search("bool_and", "relay and batch", f"{RELAY} AND {BATCH}", True)
 _search("bool_implied_and", "relay batch", f"{RELAY} AND {BATCH}")
 _search("bool_or", "relay or parser", f"{RELAY} OR {PARSER}", True)
@@ -262,9 +262,9 @@ def karma_of_revisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- sorted-stream operators on relational tables --------------------------------------------------
-@_query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
+@_query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def tuple_last_keeper(spark: SparkSession, d: str) -> DataFrame:
-    return facts.last_keeper(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber")
+    return facts.last_keeper(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderkey")
 
 
 @_query("SELECT l_partkey, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_partkey")

@@ -70,21 +70,24 @@ class Index:
                      self.vocab.select("token").unionByName(newer.vocab.select("token")).distinct(), newer.reactions or self.reactions)
 
 
+POINTER = "CURRENT"
+
+
+def _pointer(spark: SparkSession, root: str, name: str = POINTER):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def publish(spark: SparkSession, root: str, version: str) -> None:
     """Make ``version`` (a folder below ``root``) the current one by replacing a pointer file."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    new, cur = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.new"), jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
-    fs = new.getFileSystem(conf)
+    (new, fs), (now, _) = _pointer(spark, root, POINTER + ".new"), _pointer(spark, root)
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(cur, False)
-    fs.rename(new, cur)
+    fs.delete(now, False)
+    fs.rename(new, now)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    try:
-        return spark.read.text(f"{root}/_CURRENT").first()[0]
-    except Exception:  # nothing published yet
-        return None
+    path, fs = _pointer(spark, root)
+    return spark.read.text(f"{root}/{POINTER}").first()[0] if fs.exists(path) else None

@@ -47,14 +47,20 @@ def _near(node: P.Near, field: str) -> Column:
         ok = ok & (i == 0) if left else ok
         return ok & (i == F.size(tok) - 1) if right else ok
 
+    def step(word, reach: Column):
+        return lambda i: F.exists(reach, lambda q: (i - q >= 1) & (i - q <= node.margin)) & at(word, i)
+
     reach = F.filter(every, lambda i: at(node.words[0], i))
     for w in node.words[1:]:
-        def step(i, w=w, reach=reach):
-            return F.exists(reach, lambda q: (i - q >= 1) & (i - q <= node.margin)) & at(w, i)
-        reach = F.filter(every, step)
+        # bound once, as the only element of an array, so that it isn't evaluated anew at each position
+        reach = F.get(F.transform(F.array(reach), _after(every, w, step)), F.lit(0))
     return F.size(reach) > 0
 
 
+def _after(every: Column, word, step):
+    return lambda reach: F.filter(every, step(word, reach))
+
+
 def _fields(word) -> list[str]:
     core = _parts(word)[0]
     return [f for f in P.FIELDS if f in core.mask]
