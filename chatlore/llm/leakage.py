@@ -7,6 +7,8 @@ such sum over all runs of ``min_run`` words of its own text, so no run can score
 retrieval prunes by the upper bounds of terms and of posting blocks. Retrieved pairs are verified by
 the exact run of words, and the words of question and answer found in the document are reported.
 
+Passages are cut from stretches of indexed words: a word that no item has ends any run.
+
 Words are runs of letters and digits after NFKC, lower-casing, and removal of tags, character
 references, link targets and invisible characters. A word broken by a hyphen at a line end is also
 tried as one word.
@@ -169,19 +171,29 @@ class Index:
             c[1] = i
             c[0] = ordinals[i] if i < len(ordinals) else len(self.ids)
 
+    def _stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
+        """Maximal stretches of indexed words that are long enough; no run goes beyond one."""
+        begin = 0
+        for i, x in enumerate(w):
+            if x not in self.postings:
+                if i - begin >= self.min_run:
+                    yield begin, i
+                begin = i + 1
+        if len(w) - begin >= self.min_run:
+            yield begin, len(w)
+
     def search(self, text: str) -> dict[int, int]:
         """Ordinal -> longest run of words shared with the item."""
         found: dict[int, int] = {}
         n, step = self.min_run, PASSAGE - self.min_run + 1
         for w in variants(text):
-            if len(w) < n:
-                continue
             hits: set[tuple[int, int]] = set()
-            for at in range(0, max(1, len(w) - n + 1), step):
-                part = w[at : at + PASSAGE]
-                for o in self.above(set(part)):
-                    runs = self.runs[o]
-                    hits.update((o, at + i) for i in range(len(part) - n + 1) if tuple(part[i : i + n]) in runs)
+            for begin, end in self._stretches(w):
+                for at in range(begin, end - n + 1, step):
+                    part = w[at : min(at + PASSAGE, end)]
+                    for o in self.above(set(part)):
+                        runs = self.runs[o]
+                        hits.update((o, at + i) for i in range(len(part) - n + 1) if tuple(part[i : i + n]) in runs)
             run = {}
             for o, i in sorted(hits):
                 run[o] = (i, run[o][1] + 1) if o in run and run[o][0] == i - 1 else (i, 1)
