@@ -69,15 +69,15 @@ def has_slot(text: Column) -> Column:
     for p in CODE:
         text = F.regexp_replace(text, p, " ")
     # bound once, as the only element of an array
-    return F.exists(F.array(text), lambda t: _any(t, SLOTS))
+    return F.exists(F.array(text), lambda t: _any(t, "SLOTS"))
 
 
 # -- what single records say -----------------------------------------------------------------------
 # The pseudo-Latin of filler text, with cut endings.
-LATIN = ("lorem|ipsum|dolor\\w*|sit|amet|consec\\w*|adipis\\w*|elit|sed|eiusmod|tempor|incidi?\\w*|ut|et|labor\\w*|magna|aliqu\\w*|enim|"
-         "ad|minim|veniam|quis|nostrud|exercitation|ullamco|nisi|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|"
-         "voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|"
-         "qui|officia|deserunt|mollit|anim|id|est|do")
+LATIN = ("lorem ipsum dolor dolore dolorem sit amet consec consectetur consectetuer adipis adipisci adipiscing elit sed eiusmod tempor incidunt "
+         "incididunt ut et labor labore laboris laborum magna aliqua aliquam aliquip enim ad minim veniam quis nostrud exercitation ullamco nisi ex ea "
+         "commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
+         "proident sunt culpa qui officia deserunt mollit anim id est do").split()
 _SCRIPTS = r"(?:java ?scripts?|\bjs\b|(?:client[- ]side )?script(?:s|ing)\b|noscript|les scripts|los scripts|skripte)"
 _ENABLE = (r"(?:\b(?:enable|activate|allow|unblock|turn(?:ing)? (?:it )?on|switch(?:ing)? (?:it )?on|requires?|required|needs?|without|disabled|"
            r"enabled|must have|support|run|turned off|switched off|blocked)\b|activ[ae]|activez|habilit|aktivier|einschalten|benötig|nécessaire|necesari|requis|erforderlich|won'?t)")
@@ -113,11 +113,75 @@ NAVIGATION = [
     r"^(?:©|\(c\)|copyright)\s|^\S+ » \S+$|^[\w.-]+ (?:»|›|>|::) [\w.-]+$|^go back (?:\||to )|^(?:try again|go back|return).{0,20}start page",
 ]
 
-
-def _any(text: Column, patterns: list[str]) -> Column:
+# What a text must hold for the pattern at the same place to match; looked for first, as it is cheap.
+NEEDS = {
+    "NOTICE": [
+        ('script', 'skript', 'js'),
+        ('loading',),
+        ('on and',),
+        ('if nothing',),
+    ],
+    "ERROR": [
+        ('40', '41', '42', '50'),
+        ('40', '41', '50'),
+        ('bad', 'forbidden', 'author', 'not found', 'internal', 'unavailable', 'time', 'too many', 'denied', 'exceeded', 'expired', 'not impl', 'server', 'not all', 'connection'),
+        ('page', 'resource', 'file', 'document', 'site', 'thread', 'message', 'content', 'looking'),
+        ('find',),
+        ('you', 'sign', 'log', 'session'),
+        ('wrong', 'error', 'again', 'retry'),
+        ('down', 'offline', 'closed', 'unavailable', 'expect'),
+        ('server', 'sent', 'backend', 'problem', 'time'),
+        ('indisponible', 'page', 'accès', 'erreur', 'réessayer'),
+        ('fehler', 'seite', 'zugriff', 'erneut', 'nicht er', 'vorüber'),
+        ('mostrar', 'página', 'acceso', 'error', 'inténtelo', 'servicio'),
+        ('traceback', 'file', 'raise', 'error', 'exception', 'at '),
+        ('error', 'request', 'reference', 'incident', 'trace', 'ray'),
+        ('{"',),
+        ('relayd/',),
+        ('upstream', 'reason'),
+    ],
+    "PLACEHOLDER": [
+        ('here', 'replace', 'sample', 'placeholder', 'dummy', 'filler'),
+        ('todo', 'tbd', 'fixme', 'tba', 'n/a', 'soon', 'under', 'to be', 'no content'),
+        ('hier', 'platzhalter', 'blind', 'beispiel'),
+        ('relleno', 'ejemplo', 'muestra', 'sustituir', 'escriba', 'texte', 'remplacer'),
+    ],
+    "NAVIGATION": [
+        (),
+        ('©', '(c)', 'copyright', '»', '›', '>', '::', 'go back', 'try', 'return'),
+    ],
+    "SLOTS": [
+        ('{{',),
+        ('${',),
+        ('#{',),
+        ('<%',),
+        ('{%',),
+        ('%%',),
+        ('@@',),
+        ('<<',),
+        ('%(',),
+        ('%',),
+        ('[[',),
+        ('{',),
+        ('[', '<', '('),
+        ('[', '<'),
+        ('[',),
+        ('<',),
+        ('GOES HERE',),
+        ('INSERT', 'ENTER', 'ADD'),
+        ('X', 'DD', 'MM', 'JJ', 'TT'),
+        ('____',),
+    ],
+}
+
+
+def _any(text: Column, name: str) -> Column:
     hit = F.lit(False)
-    for p in patterns:
-        hit = hit | text.rlike(p)
+    for p, needs in zip(globals()[name], NEEDS[name], strict=True):
+        some = F.lit(not needs)
+        for x in needs:
+            some = some | text.contains(x)
+        hit = hit | (some & text.rlike(p))
     return hit
 
 
@@ -128,20 +192,20 @@ def own_verdict(text: Column, tokens: Column) -> Column:
 
 def _verdict(text: Column, tokens: Column) -> Column:
     n = F.size(tokens)
-    latin = F.size(F.regexp_extract_all(text, F.lit(rf"(?<![\\p{{L}}\\p{{N}}])(?:{LATIN})(?![\\p{{L}}\\p{{N}}])"), F.lit(0)))
+    latin = F.size(F.filter(tokens, lambda t: t.isin(*LATIN)))
     drum = (n >= 6) & (F.size(F.array_distinct(tokens)) * 4 <= n)
     mash = (F.length(text) >= 12) & text.rlike(r"\A[asdfghjklöäñ;\s]+\z")
     return (
-        F.when(_any(text, NOTICE), "notice").when(_any(text, ERROR), "error")
-        .when(_any(text, PLACEHOLDER) | ((n >= 4) & (latin >= 0.6 * n)) | drum | mash, "filler")
-        .when(_any(text, NAVIGATION), "navigation")
+        F.when(_any(text, "NOTICE"), "notice").when(_any(text, "ERROR"), "error")
+        .when(_any(text, "PLACEHOLDER") | ((n >= 4) & (latin >= 0.6 * n)) | drum | mash, "filler")
+        .when(_any(text, "NAVIGATION"), "navigation")
     )
 
 
 def records(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, head, n, own, chars) of every sentence of every line."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)<(/?noscript)>", " $1: "), r"<[/!]?[a-zA-Z][^<>\n]*>", " ")
-    plain = F.regexp_replace(plain, r"\s/noscript:", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)<noscript>", " noscript: "), r"<[/!]?[a-zA-Z][^<>\n]*>", " ")
+    plain = F.when(F.col(text).contains("<"), plain).otherwise(F.col(text))
     lines = F.split(plain, r"\r?\n|\r|(?<=[.!?。])\s+(?=[\p{Lu}¿¡\[\"'])")
     one = docs.select(F.col(key).alias("key"), F.explode(lines).alias("record")).withColumn("record", F.trim("record")).filter("record <> ''")
     tokens = F.regexp_extract_all(F.lower("record"), F.lit(r"[\p{L}\p{N}_'’-]+"), F.lit(0))
