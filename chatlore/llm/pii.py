@@ -66,7 +66,7 @@ def fold(text: str) -> tuple[str, list[int] | None]:
 _L = r"[^\W\d_]"
 EMAIL = re.compile(
     r"(?<![\w.+])[\w][\w.+\-]*(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s(?=[\w\-]+\sdot\s))[\w\-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s|\s\.\s)[\w\-]+)+", re.I)
-NUMBER = re.compile(r"(?<![\w.@#])(?:\+|00)?\(?\d(?:[ \d().\-/]{4,28})\d(?:\s?(?:x|ext\.?|poste|Durchwahl)\s?\d{1,5})?(?!\w)(?![.@]\w)", re.I)
+NUMBER = re.compile(r"(?<![\w.@#])(?:\+|00)?\(?\d(?:[ \d()\-/]|\.(?! )){4,28}\d(?:\s?(?:x|ext\.?|poste|Durchwahl)\s?\d{1,5})?(?!\w)(?![.@]\w)", re.I)
 CODE = re.compile(r"(?<![\w\-])(?=[A-Za-z0-9\-]*\d[A-Za-z0-9\-]*\d[A-Za-z0-9\-]*\d)[A-Za-z]{0,3} ?\d+[A-Za-z]{0,2}(?:[\-./ ]\d+[A-Za-z]?){0,4}(?: [A-Z])?(?![\w\-])")
 # Words that make a street address, in English, German, French and Spanish.
 _AFTER = (r"street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|way|boulevard|blvd|row|hill|place|pl|square|sq|terrace|close|crescent|"
@@ -91,6 +91,8 @@ ADDRESS = [
     # P.O. Box 8907
     re.compile(rf"(?<!\w)(?:P\.?\s?O\.?\s?Box|Post\sOffice\sBox|Postfach|Apartado(?:\sde\s[Cc]orreos)?|Bo[iî]te\s[Pp]ostale|B\.?P\.?|Casilla)\s(?:n[.º°]\s?|no\.?\s?)?\d[\d ]{{0,6}}\b{_TAIL}", re.I),
 ]
+# parts of a street are on one line; only what follows it may begin a new one
+ADDRESS = [re.compile(p.pattern.replace(r"\s", " "), p.flags) for p in ADDRESS]
 _STREET = re.compile(rf"(?<!\w)(?:{_AFTER}|{_BEFORE})(?!\w)|{_GERMAN}(?![^\W\d_])", re.I)
 _BOX = re.compile(r"P\.?\s?O\.?\s?Box|Postfach|Apartado|postale|Casilla|^B\.?P\.?", re.I)
 WORD = re.compile(rf"{_L}+(?:['’\-]{_L}+)*")
@@ -232,7 +234,7 @@ class Text:
 
         for i in range(n):
             k = kind(i)
-            if k == "-" or tokens[i][2].lower() in TITLES:
+            if k == "-" or k != "I" and tokens[i][2].lower() in TITLES:
                 continue
             spans = []
             j = i + 1
@@ -264,7 +266,7 @@ class Text:
                     if not (family and (given or ka == "I")):
                         if not (given or family) or ka != kb:
                             continue
-                if wa.lower() in TITLES or wb.lower() in TITLES:
+                if ka != "I" and wa.lower() in TITLES or wb.lower() in TITLES:
                     continue
                 shape = f"{ka} {kb}"
                 lexical = f"{'g' if given else '-'}{'f' if family else '-'}"

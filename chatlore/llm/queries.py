@@ -20,8 +20,9 @@ def _lexicon(messages: DataFrame) -> P.Lexicon:
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
-    m = _messages(spark, d, "body", "signature")
-    return P.entities(m, "zgram_id", ["body", "signature"], _lexicon(m))
+    """Repeated deliveries are dropped from the narrow result, so that no text is shuffled."""
+    m = spread(table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", "body", "signature"))
+    return P.entities(m, "zgram_id", ["body", "signature"], _lexicon(m)).distinct()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,15 +81,18 @@ def _messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of every message with markup."""
-    return p6_rows(spark, d).select("zgram_id", F.array_join("kinds", ",").alias("kinds"), "clean_text")
+    rows = p6_rows(spark, d).select("zgram_id", F.array_join("kinds", ",").alias("kinds"), "clean_text")
+    return rows.dropDuplicates(["zgram_id"])
 
 
 def p6_rows(spark: SparkSession, d: str) -> DataFrame:
-    return M.clean(_messages(spark, d, "body")).filter((F.size("kinds") > 0) & (F.length("clean_text") >= 0))
+    """Rows with markup, those delivered several times included."""
+    z = spread(table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", "body"))
+    return M.clean(z).filter((F.size("kinds") > 0) & (F.length("clean_text") >= 0))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_rows(spark, d).select("zgram_id")
+    return p6_rows(spark, d).select("zgram_id").distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
