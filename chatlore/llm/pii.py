@@ -427,25 +427,25 @@ _HEAD = r"(?<![\p{L}.,'’-])(?!(?:Mr|Mrs|Ms|Mme|Mlle|Frau|Herr|Dr|Prof|Sr|Sra|D
 _PAIR = rf"{_HEAD}({_T})[  ](?:\p{{Lu}}\.[  ])?({_T})(?:-{_T})?(?![\p{{L}}'’-])"
 _TURNED = rf"{_HEAD}({_T})(?:-{_T})?,[  ]({_T})(?![\p{{L}}'’-])"
 
+_LOWER = r"(?<![\p{L}@.+\d_-])\p{Ll}[\p{Ll}'’]+(?![\p{L}@.+\d_-])"
+
 
 def mine_lexicon(texts: DataFrame, text: str = "text") -> Lexicon:
     """Given and family names by their partners, over the whole collection."""
     def pairs(pattern: str, g: int, f: int):
         return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias("g"),
                             F.regexp_extract_all(text, F.lit(pattern), F.lit(f)).alias("f"))
-    pair = texts.filter(F.col(text).isNotNull()).select(F.explode(F.concat(pairs(_PAIR, 1, 2), pairs(_TURNED, 2, 1))).alias("p"))
-    pair = pair.select(F.lower("p.g").alias("g"), F.lower("p.f").alias("f")).distinct()
-    given = pair.groupBy(F.col("g").alias("word")).agg(F.count("*").alias("n"), F.lit("given").alias("role"))
-    family = pair.groupBy(F.col("f").alias("word")).agg(F.count("*").alias("n"), F.lit("family").alias("role"))
-    named = given.unionByName(family).filter(F.col("n") >= MIN_PARTNERS)
-    named = cut(named, "names")
-    # words that follow as many different words in lower case are ordinary words
-    words = texts.filter(F.col(text).isNotNull()).select(F.regexp_extract_all(text, F.lit(r"[\p{L}'’]+"), F.lit(0)).alias("w"))
-    pairs_low = F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))")
-    low = words.filter(F.size("w") > 1).select(F.explode(pairs_low).alias("p")).select(F.lower("p.0").alias("left"), F.col("p.1").alias("word"))
-    low = low.filter(F.col("word") == F.lower("word")).join(named.select("word").distinct(), "word", "left_semi")
-    low = low.distinct().groupBy("word").agg(F.count("*").alias("n_low"))
-    kept = cut(named.join(low, "word", "left").filter(F.coalesce("n_low", F.lit(0)) <= F.col("n")), "names")
+    some = texts.filter(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("t"))
+    pair = some.select("t", F.explode(F.concat(pairs(_PAIR, 1, 2), pairs(_TURNED, 2, 1))).alias("p"))
+    pair = cut(pair.select("t", F.lower("p.g").alias("g"), F.lower("p.f").alias("f")).distinct(), "pairs")
+    # how many partners, and in how many different texts
+    given = pair.groupBy(F.col("g").alias("word")).agg(F.count_distinct("f").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("given").alias("role"))
+    family = pair.groupBy(F.col("f").alias("word")).agg(F.count_distinct("g").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("family").alias("role"))
+    named = cut(given.unionByName(family).filter(F.col("n") >= MIN_PARTNERS), "names")
+    # words that are written in lower case in half as many different texts are ordinary words
+    low = some.select("t", F.explode(F.regexp_extract_all(text, F.lit(_LOWER), F.lit(0))).alias("word"))
+    low = low.join(named.select("word").distinct(), "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_low"))
+    kept = cut(named.join(low, "word", "left").filter(F.coalesce("n_low", F.lit(0)) * 2 <= F.col("n_title")), "names")
     rows = []
     for role in ("given", "family"):
         rows += [(role, r.word) for r in kept.filter(F.col("role") == role).orderBy(F.desc("n"), "word").limit(MAX_LEXICON).collect()]
