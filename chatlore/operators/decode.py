@@ -103,7 +103,7 @@ class Decoded:
                                 F.col(self.row_id) == F.col("_bad"), "left_anti")
 
 
-def _layout(v: str) -> Column:
+def _layout(v: Column) -> Column:
     tag = F.try_variant_get(v, "$[0][0]", "variant")
     kind = F.try_variant_get(v, "$[0][1][0][0]", "variant")
 
@@ -117,8 +117,10 @@ def decode_lines(lines: DataFrame, row_id: str = "line_id", text: str = "line")
     spark = lines.sparkSession
 
     def build() -> Decoded:
-        parsed = lines.withColumn("_v", F.try_variant_get(strict_json(F.col(text)), "$[0]", "variant"))
-        parsed = parsed.withColumn("_layout", _layout("_v"))
+        # exploded, so that no later filter or projection parses the line again
+        once = F.transform(F.array(F.try_variant_get(strict_json(F.col(text)), "$[0]", "variant")),
+                           lambda v: F.struct(v.alias("v"), _layout(v).alias("layout")))
+        parsed = lines.select("*", F.explode(once).alias("_p")).withColumns({"_v": F.col("_p.v"), "_layout": F.col("_p.layout")}).drop("_p")
 
         def cells(layout: str) -> Column:
             out = []
