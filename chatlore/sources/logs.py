@@ -33,9 +33,11 @@ def read(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
     rows = rows.filter(good).withColumn("log_date", day).withColumn("is_logged_file", part[0] == "logged").filter("log_date is not null")
     if since:
         rows = rows.filter(F.col("log_date") >= since)
-    # lines of a file are numbered within the file; a file is one day of one kind
-    order = Window.partitionBy("path").orderBy("block", "at")
-    rows = rows.withColumn("line_no", F.row_number().over(order).cast("long"))
+    # lines are numbered in their block of the file, and blocks in the file: no task holds a whole file
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(blocks, ["path", "block"]).withColumn("line_no", F.col("before") + F.col("at") - F.col("first") + 1)
     key = T.day_key(F.col("log_date"), F.col("is_logged_file"))
     return rows.select((key * 10_000_000_000 + F.col("line_no")).alias("line_id"), "log_date", "is_logged_file", "line_no", "line")
 
