@@ -84,7 +84,7 @@ _ENABLE = (r"(?:\b(?:enable|activate|allow|unblock|turn(?:ing)? (?:it )?on|switc
 NOTICE = [rf"(?s)\A(?=.*?{_SCRIPTS})(?=.*?{_ENABLE})", r"^loading(?:…|\.\.\.)?$",
           r"^(?:please )?(?:turn|switch) (?:it|them) on and (?:reload|refresh|try)", r"^if nothing happens\b"]
 ERROR = [
-    r"\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b.*(?:not found|bad (?:request|gateway)|forbidden|unauthori[sz]ed|time-?d?[ -]?out|gone|internal|unavailable|error|too many|refus|introuvable|gefunden|encontrad|mostrar)",
+    r"\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b.{0,12}(?:not found|bad (?:request|gateway)|forbidden|unauthori[sz]ed|time-?d?[ -]?out|gone|internal|unavailable|error|too many|introuvable)",
     r"(?:error|http|erreur|fehler|status|code|oops|whoops|fatal)\W{0,4}(?:code\W{0,3})?\b[45][01]\d\b",
     r"^\W*(?:\[?\d+\]?\s*)?(?:(?:error|fatal|sorry|oops|whoops|hmm|warning|exception|notice)\b[!:.,…]?\s*)?(?:bad request|forbidden|unauthori[sz]ed|not found|internal (?:server )?(?:error|fault)|service unavailable|bad gateway|gateway time-?\s?out|request time-?\s?out|too many requests|access denied|permission denied|quota exceeded|session expired|not implemented|server error|method not allowed|connection (?:to \S+ )?(?:refused|reset|timed out))\b",
     r"\b(?:page|resource|file|document|site|thread|message|content|what you were looking for)\b.{0,40}\b(?:not (?:be )?(?:found|located|displayed|available|loaded)|could ?n[o']t be (?:found|located|displayed|loaded)|cannot be (?:found|displayed)|moved or never existed|no longer exists?|does ?n[o']t exist|unavailable)",
@@ -103,8 +103,8 @@ ERROR = [
     r"^the upstream \S+ |^reason: ",
 ]
 PLACEHOLDER = [
-    r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
-    r"^\W*(?:todo|tbd|fixme|tba)\b\W|^\W*(?:tbd|tba|todo|n/a|coming soon|under construction|content coming soon|to be (?:written|added|done|announced|completed))\W*$|\bno content yet\b",
+    r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\b(?:insert|enter|add|put|type|write|place)\b.{0,40}\b(?:text|content|title|name|summary|message|description|words?)\b.{0,12}\bhere\b|\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
+    r"^\W*(?:todo|tbd|fixme|tba)\b\W|^\W*(?:tbd|tba|todo|n/a|coming soon|under construction|content coming soon|to be (?:written|added|done|announced|completed))\W*$|\bno content yet\b|\bcontent coming soon\b",
     r"hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext",
     r"texto de (?:relleno|ejemplo|muestra)|sustituir antes de|escriba aquí|texte? (?:d['’]exemple|de remplissage|à remplacer)|à remplacer\b",
 ]
@@ -202,9 +202,13 @@ def _verdict(text: Column, tokens: Column) -> Column:
     )
 
 
+_BLOCK = r"(?i)</?(?:h[1-6]|p|div|br|hr|li|ul|ol|tr|td|th|table|title|head|body|html|header|footer|nav|section|article)(?:\s[^<>\n]*)?/?>"
+
+
 def records(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, head, n, own, chars) of every sentence of every line."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)<noscript>", " noscript: "), r"<[/!]?[a-zA-Z][^<>\n]*>", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)<noscript>", " noscript: "), _BLOCK, "\n")
+    plain = F.regexp_replace(plain, r"<[/!]?[a-zA-Z][^<>\n]*>", " ")
     plain = F.when(F.col(text).contains("<"), plain).otherwise(F.col(text))
     lines = F.split(plain, r"\r?\n|\r|(?<=[.!?。])\s+(?=[\p{Lu}¿¡\[\"'])")
     one = docs.select(F.col(key).alias("key"), F.explode(lines).alias("record")).withColumn("record", F.trim("record")).filter("record <> ''")
