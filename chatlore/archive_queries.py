@@ -400,7 +400,7 @@ def zmojis_list(spark: SparkSession, d: str) -> DataFrame:
     return facts.current_zmojis(table(spark, d, "zmojis_log")).select("user_id", F.size(T.zmoji_list(F.col("zmojis"))).cast("long").alias("n"))
 
 
-@_query(f"WITH {BASE} SELECT min(zgram_id) FILTER (zgram_id >= 777) AS by_id, min(zgram_id) FILTER (timesecs >= 983000000) AS by_time, max(zgram_id) + 1 AS end_id FROM z")
+@_query(f"WITH {BASE} SELECT coalesce(min(zgram_id) FILTER (zgram_id >= 777), max(zgram_id) + 1) AS by_id, coalesce(min(zgram_id) FILTER (timesecs >= 983000000), max(zgram_id) + 1) AS by_time, max(zgram_id) + 1 AS end_id FROM z")
 def lower_bounds(spark: SparkSession, d: str) -> DataFrame:
     m = current(spark, d).select("zgram_id", "timesecs")
     return spark.createDataFrame([(facts.lower_bound(m, zgram_id=777), facts.lower_bound(m, timesecs=983000000), facts.end_id(m))], "by_id long, by_time long, end_id long")
