@@ -31,11 +31,11 @@ def split_words(text: str) -> list[str]:
     return re.findall(r"[0-9A-Za-z\u0080-\U0010FFFF]+(?:'+[0-9A-Za-z\u0080-\U0010FFFF]+)*|[\x21-\x7E]", text)
 
 
-def glob_regex(glob: str) -> str:
+def glob_regex(glob: str, ascii_only: bool = False) -> str:
     r"""Glob to an anchored regular expression: ``?`` one character, ``*`` any, ``\x`` itself.
 
     An unescaped upper-case or an escaped lower-case letter makes the whole word exact; otherwise
-    each letter a-z also matches its other forms.
+    each letter a-z also matches its other forms (only its upper case if ``ascii_only``).
     """
     chars: list[tuple[str, bool]] = []
     i = 0
@@ -54,12 +54,20 @@ def glob_regex(glob: str) -> str:
         elif not e and c == "*":
             out.append(".*")
         elif "a" <= c <= "z" and not exact:
-            out.append(letter_class(c))
+            out.append(f"[{c}{c.upper()}]" if ascii_only else letter_class(c))
         else:
             out.append(rf"\x{{{ord(c):X}}}" if not c.isalnum() or not c.isascii() else c)
     return rf"(?s)\A{''.join(out)}\z"
 
 
+def glob_match(token: Column, glob: str) -> Column:
+    """Whether a word matches. The wide letter classes are tried only on words with other than ASCII characters."""
+    wide, narrow = glob_regex(glob), glob_regex(glob, True)
+    if wide == narrow:
+        return token.rlike(wide)
+    return token.rlike(narrow) | ((F.octet_length(token) > F.length(token)) & token.rlike(wide))
+
+
 def accepts_everything(glob: str) -> bool:
     return bool(glob) and set(glob) == {"*"}
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlore.functions.text import glob_regex
+from chatlore.functions.text import glob_match
 from chatlore.operators.index import Index
 from chatlore.plans import nodes as P
 from chatlore.plans.row_plan import _parts
@@ -24,7 +24,7 @@ def _hits(word, ix: Index) -> DataFrame:
     if right:
         post = post.filter("pos = field_len - 1")
     if isinstance(core, P.Pattern):
-        post = post.join(ix.vocab.filter(F.col("token").rlike(glob_regex(core.glob))).select("token"), "token", "left_semi")
+        post = post.join(ix.vocab.filter(glob_match(F.col("token"), core.glob)).select("token"), "token", "left_semi")
     return post.select("zgram_id", "field", "pos")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlore.functions.text import glob_regex
+from chatlore.functions.text import glob_match
 from chatlore.plans import nodes as P
 
 
@@ -18,7 +18,7 @@ def _parts(word) -> tuple[object, bool, bool]:
 
 def _hit(word, token: Column) -> Column:
     core = _parts(word)[0]
-    return F.lit(True) if isinstance(core, P.AnyWord) else token.rlike(glob_regex(core.glob))
+    return F.lit(True) if isinstance(core, P.AnyWord) else glob_match(token, core.glob)
 
 
 def _single(word, field: str) -> Column:
@@ -37,8 +37,15 @@ def _single(word, field: str) -> Column:
 
 
 def _near(node: P.Near, field: str) -> Column:
-    """Ordered proximity by dynamic programming over positions that match so far."""
-    tok = F.col(f"tok_{field}")
+    """Ordered proximity by dynamic programming over positions that match so far.
+
+    The word array is bound once: a filter is pushed below the projection that splits the words, and
+    would split them anew at each position.
+    """
+    return F.exists(F.array(F.col(f"tok_{field}")), lambda tok: _near_in(node, tok))
+
+
+def _near_in(node: P.Near, tok: Column) -> Column:
     every = F.when(F.size(tok) > 0, F.sequence(F.lit(0), F.size(tok) - 1)).otherwise(F.array().cast("array<int>"))
 
     def at(word, i: Column) -> Column:
@@ -52,7 +59,7 @@ def _near(node: P.Near, field: str) -> Column:
 
     reach = F.filter(every, lambda i: at(node.words[0], i))
     for w in node.words[1:]:
-        # bound once, as the only element of an array, so that it isn't evaluated anew at each position
+        # bound once as well, not for each position
         reach = F.get(F.transform(F.array(reach), _after(every, w, step)), F.lit(0))
     return F.size(reach) > 0
 
