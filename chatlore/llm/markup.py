@@ -3,7 +3,8 @@ r"""Markup residue: what markup a text holds, and clean text that keeps its stru
 ``kinds`` names the markup found; characters in their plain sense are none (``C:\dir``, ``$5 to $6``,
 ``a < b``, ``x++``/``x--``/``x~~`` scores, addresses in angle brackets, ``R&D;``). The clean text
 writes headings as ``# title``, list items as ``- item`` or ``1. item``, code in back quotes or
-indented by four spaces, formulas between dollar signs, and drops all other marks.
+indented by four spaces, formulas between dollar signs, and drops all other marks. Code and formulas
+of any number of lines are taken out whole before the rules and put back as they are after them.
 
 Content is then located by line blocks: text lengths are summed over a sliding window of lines;
 a block that reaches ``surge`` opens a stretch of content, the next empty block ends it, and the
@@ -20,6 +21,8 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlore.shared import fresh
+
 # Element names of HTML and of wiki extensions.
 TAGS = ("a abbr address article aside audio b base bdi bdo big blockquote body br button caption center cite code col "
         "colgroup dd del details dfn div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head "
@@ -88,26 +91,16 @@ def kinds(text: Column) -> Column:
 
 # (pattern, replacement) in this order
 STRIP: list[tuple[str, str]] = [
-    (r"\r\n?", "\n"),
-    (COMMENT, ""),
-    (r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", ""),
-    (r"(?is)<pre\b[^>]*>\s*<code\b[^>]*>(.*?)</code>\s*</pre>", "\n    $1\n"),
-    (r"(?is)<code\b[^>]*>(.*?)</code>", "`$1`"),
     (r"(?i)<h[1-6]\b[^<>]*>", "\n# "), (r"(?i)</h[1-6]\s*>", "\n"),
     (r"(?i)<li\b[^<>]*>", "\n- "),
     (r"(?i)</?(?:p|div|br|tr|table|ul|ol|li|blockquote|section|article|header|footer|nav|hr)\b[^<>]*/?>", "\n"),
     (r"(?i)</t[dh]\s*>(?=\s*<t[dh])", " | "),
     (TAG, ""),
-    # code blocks become indented lines
-    (r"(?m)^ {0,3}(```|~~~)[^\n`]*\n([^\n]*)\n {0,3}\1[ \t]*$", "    $2"),
-    (r"(?m)^ {0,3}(?:```|~~~)[^\n`]*$", ""),
     # headings
     (r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n]*[^=\s])[ \t]*\1[ \t]*$", "# $2"),
-    (r"(?m)^(?![ \t]*[>|#=-])(?=[ \t]*+\S)([^\n]++)\n(?:={3,}|-{3,})[ \t]*$", "# $1"),
+    (r"(?m)^(?![ \t]*[>|#=\uFDD0-])(?=[ \t]*+\S)([^\n]++)\n(?:={3,}|-{3,})[ \t]*$", "# $1"),
     (r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\{([^{}\n]*)\}", "# $1"),
     (r"(?m)^ {0,3}#{1,6}[ \t]+", "# "),
-    # formulas
-    (r"(?s)(?<!\\)\\[\[(](.+?)\\[\])]", "\\$$1\\$"), (r"(?s)\$\$([^$]+)\$\$", "\\$$1\\$"),
     # lists, quotes, tables
     (r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?", ""),
     (r"(?m)^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- "),
@@ -130,27 +123,95 @@ STRIP: list[tuple[str, str]] = [
     (r"(?<![\w'])''(?=[^\s'])([^\n]*?)(?<=[^\s'])''(?![\w'])", "$1"),
     (r"[ \t]+$", ""),
 ]
-# References that are written out.
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…",
-              "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "copy": "©", "reg": "®", "euro": "€", "amp": "&"}
+# All names of HTML; a no-break space is written as a space.
+REFERENCES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _references(text: Column) -> Column:
-    """Character references as characters; numeric ones piecewise, others by name, ``&amp;`` last."""
-    numeric = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    pieces = F.split(text, numeric, -1)
-    codes = F.transform(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)), lambda c: F.when(
-        F.lower(F.substring(c, 1, 1)) == "x", F.conv(F.substring(c, 2, 8), 16, 10)).otherwise(c).cast("int"))
+    """Character references as characters, each once (``&amp;lt;`` is ``&lt;``); unknown names stay."""
+    names = F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in REFERENCES.items())), F.lit("\1"), F.lit("\2"))
 
     def char(n: Column) -> Column:
-        # any plane, through UTF-32
-        ok = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        # any plane, through UTF-32; the marks of what is taken out can't be written as references
+        ok = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF) & ~n.between(0xFDD0, 0xFDEF)
         return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-    joined = F.array_join(F.flatten(F.zip_with(pieces, codes, lambda p, c: F.array(p, F.when(c.isNull(), F.lit("")).otherwise(char(c))))), "")
-    out = F.when(text.contains("&#"), joined).otherwise(text)
-    for name, c in REFERENCES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(c))
-    return out
+
+    def one(c: Column) -> Column:
+        return (F.when(F.substring(c, 1, 2).isin("#x", "#X"), char(F.conv(F.substring(c, 3, 8), 16, 10).try_cast("int")))
+                .when(F.substring(c, 1, 1) == "#", char(F.substring(c, 2, 8).try_cast("int")))
+                .otherwise(F.coalesce(F.try_element_at(names, c), F.concat(F.lit("&"), c, F.lit(";")))))
+    pieces = F.split(text, _REFERENCE, -1)
+    codes = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)), one)
+    joined = F.array_join(F.flatten(F.zip_with(pieces, codes, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
+    return F.when(text.rlike(_REFERENCE), joined).otherwise(text)
+
+
+# -- code and formulas: taken out whole, with a mark in their place --------------------------------
+def _fence(c: str, group: str, info: str) -> str:
+    """A fenced block up to its closing fence, or to the end where there is none."""
+    return rf"^ {{0,3}}(?<{group}>{c}{{3,}}+){info}(?:\n(?<{group}x>(?s:.*?)))??(?:\n {{0,3}}\k<{group}>{c}*+[ \t]*(?=\n|\z)|\z)"
+
+
+_FENCES = rf"(?:{_fence('`', 'a', '[^`' + chr(92) + 'n]*+')}|{_fence('~', 'b', '[^' + chr(92) + 'n]*+')})"
+_PRE = r"(?is:<pre\b[^>]*>\n?(?<pre>.*?)</pre\s*>)"
+_CODE = r"(?is:<code\b[^>]*>(?<code>.*?)</code\s*>)"
+_VERBATIM = (r"(?s:\\begin\{(?<v>verbatim\*?|Verbatim\*?|lstlisting|minted|alltt)\}(?:(?<!verbatim\}|verbatim\*\})\[[^\]\n]*\])?"
+             r"(?:(?<=minted\}|\])\{[^{}\n]*\})?[ \t]*\n?(?<vx>.*?)\n?[ \t]*\\end\{\k<v>\})")
+_EQUATION = (r"(?s:\\begin\{(?<e>(?:equation|align|alignat|aligned|flalign|gather|multline|eqnarray|math|displaymath)\*?)\}(?:(?<=alignat\}|alignat\*\})\{[^{}\n]*\})?"
+             r"\s*+(?<ex>.*?)\s*\\end\{\k<e>\})")
+_GONE = rf"(?:{COMMENT}|(?is:<(?<s>script|style)\b[^>]*>.*?</\k<s>\s*>))"
+_DISPLAY = r"(?s:\$\$(?<da>[^$]+)\$\$|(?<!\\)\\\[(?<db>.+?)\\\]|(?<!\\)\\\((?<dc>.+?)\\\))"
+_SPAN = rf"(?:{'|'.join(f'(?:{p})' for p in (PATTERNS['markdown'][3], *PATTERNS['formula'][3:]))})"
+# what starts first is taken; a text's own marks are taken too, so that all others are ours
+TAKEN = rf"(?md)(?:{_FENCES}|{_GONE}|{_PRE}|{_CODE}|{_VERBATIM}|{_EQUATION}|{_DISPLAY}|{_SPAN}|[\uFDD0-\uFDD2])"
+_MARK = r"[\uFDD0\uFDD1]([0-9]+)\uFDD2"
+
+
+def _written(m: Column) -> Column:
+    """What is taken out as it is put back."""
+    def inner(pattern: str, by: str) -> Column:
+        return F.regexp_replace(m, rf"(?md)\A{pattern}\z", by)
+
+    def lines(c: Column) -> Column:
+        return F.regexp_replace(c, r"(?md)^", "    ")
+
+    def html(c: Column) -> Column:
+        return _references(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), TAG, ""))
+
+    def apart(c: Column) -> Column:
+        return F.concat(F.lit("\n"), c, F.lit("\n"))
+    pre, code = html(inner(_PRE, "${pre}")), html(inner(_CODE, "${code}"))
+    return (F.when(m.rlike(r"\A {0,3}(?:```|~~~)"), lines(inner(_FENCES, "${ax}${bx}")))
+            .when(m.rlike(r"(?i)\A<pre"), apart(lines(F.regexp_replace(pre, r"\n\z", ""))))
+            .when(m.rlike(r"(?i)\A<code"), F.when(code.contains("\n"), apart(lines(code))).otherwise(F.concat(F.lit("`"), code, F.lit("`"))))
+            .when(m.rlike(rf"(?md)\A{_VERBATIM}\z"), apart(lines(inner(_VERBATIM, "${vx}"))))
+            .when(m.startswith("\\begin"), inner(_EQUATION, r"\$${ex}\$"))
+            .when(m.rlike(r"\A(?:\$\$|\\)"), inner(_DISPLAY, r"\$${da}${db}${dc}\$"))
+            .otherwise(m))
+
+
+def taken(text: Column) -> Column:
+    """Code, formulas, comments and scripts of ``text`` in their order."""
+    found = F.regexp_extract_all(text, F.lit(TAKEN), F.lit(0))
+    return F.when(text.rlike("[`~<$\\\\\uFDD0-\uFDD2]"), found).otherwise(F.array().cast("array<string>"))
+
+
+def marked(text: Column, took: Column) -> Column:
+    """``text`` with numbered marks for what is taken out, and nothing for comments and scripts."""
+    def mark(m: Column, i: Column) -> Column:
+        block = m.rlike(r"\A(?: {0,3}(?:```|~~~)|\\begin|(?i:<pre))")
+        put = F.concat(F.when(block, F.lit("\ufdd0")).otherwise(F.lit("\ufdd1")), i.cast("string"), F.lit("\ufdd2"))
+        return F.when(m.rlike(r"(?i)\A<(?:!--|script|style)"), F.lit("")).otherwise(put)
+    pieces = F.zip_with(F.split(text, TAKEN, -1), F.transform(took, mark), lambda p, k: F.array(p, F.coalesce(k, F.lit(""))))
+    return F.when(F.size(took) > 0, F.array_join(F.flatten(pieces), "")).otherwise(text)
+
+
+def put_back(text: Column, took: Column) -> Column:
+    places = F.regexp_extract_all(text, F.lit(_MARK), F.lit(1))
+    pieces = F.zip_with(F.split(text, _MARK, -1), F.transform(places, lambda n: _written(F.element_at(took, n.cast("int") + 1))),
+                        lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))
+    return F.when(F.size(took) > 0, F.array_join(F.flatten(pieces), "")).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -174,7 +235,11 @@ def content_lines(text: str, window: int = WINDOW, surge: int = SURGE) -> Column
 
 def clean(df: DataFrame, text: str = "body", kinds_col: str = "kinds", clean_col: str = "clean_text") -> DataFrame:
     """``df`` with the kinds of markup in ``text`` and its clean text."""
-    plain = df.withColumn(clean_col, strip(F.col(text)))
+    took = fresh(df.withColumn(clean_col, F.lit("")), "took")
+    plain = df.withColumn(clean_col, F.regexp_replace(F.col(text), r"\r\n?", "\n"))
+    plain = plain.withColumn(took, taken(F.col(clean_col)))
+    plain = plain.withColumn(clean_col, strip(marked(F.col(clean_col), F.col(took))))
     plain = plain.withColumn(clean_col, _references(F.col(clean_col)))
     plain = plain.withColumn(clean_col, content_lines(f"`{clean_col}`"))
+    plain = plain.withColumn(clean_col, put_back(F.col(clean_col), F.col(took))).drop(took)
     return plain.withColumn(kinds_col, kinds(F.col(text)))

@@ -165,6 +165,25 @@ def test_clean_text(spark):
     assert {k: squeeze(v) for k, v in got.items()} == {k: squeeze(v) for k, v in CLEAN.items()} | {None: None}
 
 
+WHOLE = {
+    "```py\n# a\n* x\n\n\n\n\n__init__ &amp; **b**\n```\n* y": "    # a\n    * x\n    \n    \n    \n    \n    __init__ &amp; **b**\n- y",
+    "~~~\n```\n<!-- c -->\n~~~\nz": "    ```\n    <!-- c -->\nz", "````\n```\n_a_\n````": "    ```\n    _a_", "a\n```\n* x\n_y_": "a\n    * x\n    _y_", "```\nx\n```\n---\nb": "    x\n---\nb",
+    "<pre><code>* a &lt; b\n__c__</code></pre>": "    * a < b\n    __c__", "<pre>\n# a\n<b>_b_</b>\n</pre>": "    # a\n    _b_", "use <code>__a__</code> now": "use `__a__` now", "use `__a__` **b**": "use `__a__` b",
+    "\\begin{verbatim}\n* x\n\\item __y__\n\\end{verbatim}": "    * x\n    \\item __y__", "\\begin{lstlisting}[language=C]\n* x\n# y\n\\end{lstlisting}": "    * x\n    # y", "\\begin{minted}{c}\n* x\n\\end{minted}": "    * x",
+    "\\begin{align*}\na &= b \\\\\n* c &= _d_\n\\end{align*} *e*": "$a &= b \\\\\n* c &= _d_$ e", "\\[ \n_a_ + \\mbox{x}\n\\]": "$ \n_a_ + \\mbox{x}\n$", "$a_1 * _b_ * c$": "$a_1 * _b_ * c$",
+    "<!-- ```\nx -->*y*": "y", "&eacute;&NotEqualTilde;&AMP;&amp;lt;&nosuch;&frac12;&#38;gt;&#65;": "é\u2242\u0338&&lt;&nosuch;½&gt;A", "\ufdd00\ufdd2 `a` &#xFDD1;0&#xFDD2;": "\ufdd00\ufdd2 `a` \ufffd0\ufffd",
+}
+
+
+def test_code_and_formulas_stay_whole(spark):
+    long = "```\n" + "* __a__\n" * 30_000 + "```"
+    df = spark.createDataFrame([(k, "t") for k in [*WHOLE, long]], "body string, took string")
+    got = {r.body: r.clean_text for r in M.clean(df).collect()}
+    assert got.pop(long) == "    * __a__\n" * 29_999 + "    * __a__"
+    assert {k: v.strip("\n") for k, v in got.items()} == WHOLE
+    assert M.clean(df).columns == ["body", "took", "clean_text", "kinds"]
+
+
 def test_line_blocks(spark):
     text = "nav\n\n\n\n" + "a long line of content\n" * 3 + "\n\n\n\nfoot"
     got = spark.createDataFrame([(text,)], "t string").select(M.content_lines("t", window=2, surge=20)).first()[0]
