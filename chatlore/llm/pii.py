@@ -8,15 +8,17 @@ sentences that are composed at random (``pii_training``); nothing of the archive
 
 Names need a lexicon where case tells nothing. It is mined from the whole collection: words that are
 written in title case before (or after) many different title-case partners, and seldom in lower
-case. The ``MAX_LEXICON`` best supported words of each position are kept, which bounds what is sent
-to the workers; names outside are still found by case and surroundings.
+case. Words with fewer than ``MIN_PARTNERS`` partners are kept as rare ones, which the model trusts
+less. The lexicon is a table; up to ``BROADCAST_WORDS`` words it is sent to the workers, beyond that each
+text gets those of its words that the table knows by a join. Pairs of lower-case words that it doesn't know
+are candidates too, by their surroundings.
 
 Kinds: email, phone, id_number, address, name. Defined cases: null and blank texts hold nothing and
 stay as they are; a segment is at most ``MAX_SPAN`` characters; texts of any length are read whole;
 repeated rows give repeated results; an empty table gives no rows; other columns stay.
 
 Scale: one pass over the rows in Arrow batches with no shuffle, after one partial aggregate for the
-lexicon.
+lexicon; texts are shuffled only where the lexicon is too large to be sent.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlore.shared import cut
+from chatlore.shared import cut, fresh
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 MAX_SPAN = 120
-MAX_LEXICON = 20_000
+BROADCAST_WORDS = 200_000
 MIN_PARTNERS = 5
 CACHE = 50_000
 
@@ -112,18 +114,29 @@ FILE_TYPES = frozenset("png jpg jpeg gif svg txt md py js ts css html json xml c
 
 
 class Lexicon:
-    """Words seen as given and as family names, in lower case."""
+    """Words seen as given and as family names, in lower case, and those seen with few partners."""
 
-    def __init__(self, given=(), family=()):
+    def __init__(self, given=(), family=(), rare_given=(), rare_family=()):
         self.given, self.family = frozenset(given), frozenset(family)
+        self.rare_given, self.rare_family = frozenset(rare_given), frozenset(rare_family)
+
+    @classmethod
+    def of(cls, codes) -> Lexicon:
+        """From words with their role before them: G, F; g, f for the rare ones."""
+        sets: dict[str, list[str]] = {"G": [], "F": [], "g": [], "f": []}
+        for c in codes:
+            sets[c[0]].append(c[1:])
+        return cls(*sets.values())
 
 
 class Text:
     """A folded text with its candidate segments: (start, end, kind, features)."""
 
-    def __init__(self, text: str, lexicon: Lexicon):
+    def __init__(self, text: str, lexicon: Lexicon, w: dict[str, float] | None = None, unknown: bool = True):
+        """With weights, unknown lower-case pairs that score nothing are left out: they are never chosen."""
+        self.unknown = unknown
         self.s, self.at = fold(text)
-        self.lexicon = lexicon
+        self.lexicon, self.w = lexicon, w
         self.segments: list[tuple[int, int, str, list[str]]] = []
         s = self.s
         if "@" in s or "at" in s:
@@ -264,6 +277,8 @@ class Text:
                 given, family = known(wa)[0], known(wb)[1]
                 if ka == "aa" or kb == "aa":
                     if not (family and (given or ka == "I")):
+                        if self.unknown and ka == kb and not (given or family):
+                            self._unknown(tokens, a, b, first, last, form)
                         if not (given or family) or ka != kb:
                             continue
                 if ka != "I" and wa.lower() in TITLES or wb.lower() in TITLES:
@@ -287,6 +302,30 @@ class Text:
                 self._add(x, y, "name", feats)
 
 
+    def _unknown(self, tokens: list[tuple[int, int, str]], a: int, b: int, first: int, last: int, form: str) -> None:
+        """A lower-case pair with no word that is well known."""
+        s, lex = self.s, self.lexicon
+        wa, wb = tokens[first][2], tokens[last][2]
+        if wa in TITLES or wb in TITLES:
+            return
+        rare = f"{'g' if not lex.rare_given.isdisjoint(_parts(wa)[:2]) else '-'}{'f' if not lex.rare_family.isdisjoint(_parts(wb)) else '-'}"
+        x, y = tokens[a][0], tokens[b][1]
+        before = tokens[a - 1] if a and x - tokens[a - 1][1] < 4 else None
+        prev = before[2].lower() if before else "^" if not a else s[x - 2 : x].strip() or "^"
+        after = tokens[b + 1][2].lower() if b + 1 < len(tokens) and tokens[b + 1][0] == y + 1 and s[y] == " " else s[y : y + 1] or "$"
+        whole = a == 0 and b == len(tokens) - 1 and not s[:x].strip(" \t\n—-–") and not s[y:].strip()
+        common = (wa in COMMON) + (wb in COMMON)
+        feats = [f"lower={rare}", f"lower,form={rare},{form}", f"lower,prev={prev}", f"lower,next={after}", f"lower,whole={rare},{whole}",
+                 f"lower,common={common}", f"lower,prev,rare={prev},{rare}", f"lower,short={min(len(wa), 4)},{min(len(wb), 4)}"]
+        if self.w is None or sum(self.w.get(f"name|{f}", 0.0) for f in feats) > 0:
+            self._add(x, y, "name", feats)
+
+
+def _parts(w: str) -> list[str]:
+    """A word and, where it has hyphens, its parts."""
+    return [w, *w.split("-")] if "-" in w else [w]
+
+
 # Frequent words that begin or fill title-case phrases but are no names.
 COMMON = frozenset(
     "the a an and or but if is it in on at of to for from by with who what when where why how can could does did do has have "
@@ -366,11 +405,12 @@ def expectations(t: Text, w: dict[str, float]) -> tuple[float, list[float]]:
     return z, [math.exp(fwd[place[a]] + scores[k] + bwd[place[b]] - z) for k, (a, b, _, _) in enumerate(segs)]
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, str]], Lexicon]], epochs: int = 6, rate: float = 0.25, l2: float = 1e-4) -> dict[str, float]:
+def train(labelled: list[tuple[str, list[tuple[int, int, str]], Lexicon]], epochs: int = 6, rate: float = 0.25, l2: float = 1e-4,
+          unknown: bool = True) -> dict[str, float]:
     """Weights by stochastic gradient ascent (Adagrad) on the log-likelihood."""
     data = []
     for text, gold, lexicon in labelled:
-        t = Text(text, lexicon)
+        t = Text(text, lexicon, unknown=unknown)
         y = [0.0] * len(t.segments)
         for a, b, kind in gold:  # the candidate of the kind that fits best
             fit = [(min(b, q) - max(a, p), -(max(b, q) - min(a, p)), n) for n, (p, q, k, _) in enumerate(t.segments) if k == kind and min(b, q) > max(a, p)]
@@ -401,12 +441,15 @@ def train(labelled: list[tuple[str, list[tuple[int, int, str]], Lexicon]], epoch
 def weights() -> dict[str, float]:
     from chatlore.llm import pii_training
 
-    return train(pii_training.sentences())
+    known = pii_training.sentences()
+    # the features of unknown lower-case pairs are their own; learning them leaves the other weights as they are
+    lower = {f: v for f, v in train(known + pii_training.lower_case()).items() if f.startswith("name|lower")}
+    return train(known, unknown=False) | lower
 
 
 def find(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the text itself."""
-    t = Text(text, lexicon)
+    t = Text(text, lexicon, w)
     got = decode(t, w)
     if t.at is None:
         return got
@@ -430,8 +473,8 @@ _TURNED = rf"{_HEAD}({_T})(?:-{_T})?,[  ]({_T})(?![\p{{L}}'’-])"
 _LOWER = r"(?<![\p{L}@.+\d_-])\p{Ll}[\p{Ll}'’]+(?![\p{L}@.+\d_-])"
 
 
-def mine_lexicon(texts: DataFrame, text: str = "text") -> Lexicon:
-    """Given and family names by their partners, over the whole collection."""
+def lexicon_table(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word, code) of all given and family names by their partners, over the whole collection; see ``Lexicon.of``."""
     def pairs(pattern: str, g: int, f: int):
         return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias("g"),
                             F.regexp_extract_all(text, F.lit(pattern), F.lit(f)).alias("f"))
@@ -439,35 +482,70 @@ def mine_lexicon(texts: DataFrame, text: str = "text") -> Lexicon:
     pair = some.select("t", F.explode(F.concat(pairs(_PAIR, 1, 2), pairs(_TURNED, 2, 1))).alias("p"))
     pair = cut(pair.select("t", F.lower("p.g").alias("g"), F.lower("p.f").alias("f")).distinct(), "pairs")
     # how many partners, and in how many different texts
-    given = pair.groupBy(F.col("g").alias("word")).agg(F.count_distinct("f").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("given").alias("role"))
-    family = pair.groupBy(F.col("f").alias("word")).agg(F.count_distinct("g").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("family").alias("role"))
-    named = cut(given.unionByName(family).filter(F.col("n") >= MIN_PARTNERS), "names")
-    # words that are written in lower case in half as many different texts are ordinary words
+    given = pair.groupBy(F.col("g").alias("word")).agg(F.count_distinct("f").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("g").alias("role"))
+    family = pair.groupBy(F.col("f").alias("word")).agg(F.count_distinct("g").alias("n"), F.count_distinct("t").alias("n_title"), F.lit("f").alias("role"))
+    named = cut(given.unionByName(family), "names")
+    # words that are written in lower case in half as many different texts are no sure names, in more texts ordinary words
     low = some.select("t", F.explode(F.regexp_extract_all(text, F.lit(_LOWER), F.lit(0))).alias("word"))
     low = low.join(named.select("word").distinct(), "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_low"))
-    kept = cut(named.join(low, "word", "left").filter(F.coalesce("n_low", F.lit(0)) * 2 <= F.col("n_title")), "names")
-    rows = []
-    for role in ("given", "family"):
-        rows += [(role, r.word) for r in kept.filter(F.col("role") == role).orderBy(F.desc("n"), "word").limit(MAX_LEXICON).collect()]
-    return Lexicon([w for r, w in rows if r == "given"], [w for r, w in rows if r == "family"])
+    n_low = F.coalesce("n_low", F.lit(0))
+    kept = named.join(low, "word", "left").filter(n_low <= F.col("n_title"))
+    role = F.when((F.col("n") >= MIN_PARTNERS) & (n_low * 2 <= F.col("n_title")), F.upper("role")).otherwise(F.col("role"))
+    return cut(kept.select("word", F.concat(role, "word").alias("code")), "names")
+
+
+def mine_lexicon(texts: DataFrame, text: str = "text") -> Lexicon:
+    return Lexicon.of(r.code for r in lexicon_table(texts, text).collect())
 
 
 # -- over tables -----------------------------------------------------------------------------------
-def _model(df: DataFrame, lexicon: Lexicon):
+def _known(df: DataFrame, fields: list[str], lexicon: Lexicon | DataFrame) -> tuple[DataFrame, Lexicon | None, str | None]:
+    """``df`` and the lexicon to send, or ``df`` with a column of the words that the lexicon knows."""
+    if isinstance(lexicon, Lexicon):
+        return df, lexicon, None
+    if lexicon.count() <= BROADCAST_WORDS:
+        return df, Lexicon.of(r.code for r in lexicon.collect()), None
+    at = fresh(df, "text_at")
+    df = df.withColumn(at, F.sha2(F.to_json(F.array(*fields)), 256))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for f in fields:
+                for k, text in zip(b[at], b[f]):
+                    out |= {(k, p) for m in WORD.findall(fold(text)[0]) for p in _parts(m.lower())} if text else set()
+            yield pd.DataFrame(list(out), columns=[at, "word"])
+    words = df.select(at, *fields).dropDuplicates([at]).mapInPandas(run, f"`{at}` string, word string").distinct()
+    known = fresh(df, "known")
+    hits = words.join(lexicon, "word").groupBy(at).agg(F.collect_set("code").alias(known))
+    return df.join(hits, at, "left").drop(at), None, known
+
+
+def _model(df: DataFrame, lexicon: Lexicon | None):
     return df.sparkSession.sparkContext.broadcast((lexicon, weights()))
 
 
-def entities(df: DataFrame, key: str, fields: list[str], lexicon: Lexicon) -> DataFrame:
+def _lexicons(b: pd.DataFrame, lexicon: Lexicon | None, known: str | None) -> list[Lexicon]:
+    """The lexicon of each row of a batch."""
+    if known is None:
+        return [lexicon] * len(b)
+    return [Lexicon.of(() if x is None else x) for x in b[known]]
+
+
+def entities(df: DataFrame, key: str, fields: list[str], lexicon: Lexicon | DataFrame) -> DataFrame:
     """(key, field, kind, n) for every kind that a field of a row holds."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, field string, kind string, n int"
+    df, lexicon, known = _known(df.select(key, *fields), fields, lexicon)
     model = _model(df, lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, w = model.value
+        sent, w = model.value
         cache: dict[str, dict[str, int]] = {}
         for b in batches:
             out = []
+            lexicons = _lexicons(b, sent, known)
             for f in fields:
-                for k, text in zip(b[key], b[f]):
+                for k, text, lex in zip(b[key], b[f], lexicons):
                     if not text:
                         continue
                     got = cache.get(text)
@@ -480,20 +558,21 @@ def entities(df: DataFrame, key: str, fields: list[str], lexicon: Lexicon) -> Da
                     out += [(k, f, kind, n) for kind, n in got.items()]
             yield pd.DataFrame(out, columns=[key, "field", "kind", "n"])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, field string, kind string, n int"
-    return df.select(key, *fields).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
-def mask(df: DataFrame, key: str, fields: list[str], lexicon: Lexicon) -> DataFrame:
+def mask(df: DataFrame, key: str, fields: list[str], lexicon: Lexicon | DataFrame) -> DataFrame:
     """(key, fields) with every entity replaced by a placeholder that names its kind."""
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *[f"`{f}` string" for f in fields]])
+    df, lexicon, known = _known(df.select(key, *fields), fields, lexicon)
     model = _model(df, lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, w = model.value
+        sent, w = model.value
         for b in batches:
+            lexicons = _lexicons(b, sent, known)
             for f in fields:
-                b[f] = [redact(x, find(x, lex, w)) if x else x for x in b[f]]
-            yield b
+                b[f] = [redact(x, find(x, lex, w)) if x else x for x, lex in zip(b[f], lexicons)]
+            yield b[[key, *fields]]
 
-    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *[f"`{f}` string" for f in fields]])
-    return df.select(key, *fields).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

@@ -190,3 +190,28 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
             text += x
         out.append((text, gold, Lexicon(given, family)))
     return out
+
+
+# Ordinary lower-case words that stand where a name could.
+ORDINARY = ("people list lists owner again everyone parser relay cache mailing group about it that one thread page line batch file files day week build server queue "
+            "reader index editor counter lock waits fails slower after lunch before noon nobody somebody else morning today never once more less same thing other side").split()
+
+
+def lower_case(n: int = N // 2, seed: int = SEED + 1) -> list[tuple[str, list[tuple[int, int, str]], Lexicon]]:
+    """Lower-case names that few or no texts write otherwise, and ordinary words in their places."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        g, f = _stem(r, 1, 2), _stem(r, 2, 3)
+        is_name = r.random() < 0.4
+        if not is_name:
+            g, f = (r.choice(ORDINARY) if r.random() < 0.8 else x for x in (g, f))
+        seen = (0.85, 0.85) if is_name else (0.06, 0.06)
+        lex = Lexicon((), (), [g] if r.random() < seen[0] else [], [f] if r.random() < seen[1] else [])
+        x = f"{f}, {g}" if r.random() < 0.1 else f"{g} {f}"
+        ctx = r.choice([c for c in NAME_CTX if "{N}" not in c])
+        ctx = ctx.lower().replace("{x}", "{X}") if r.random() < 0.5 else ctx
+        left = r.choice(FILL).replace("{w}", _stem(r, 2, 3)).replace("{n}", str(r.randint(1, 900))) + " " if r.random() < 0.4 else ""
+        text, at = left + ctx.replace("{X}", x), len(left) + ctx.index("{X}")
+        out.append((text, [(at, at + len(x), "name")] if is_name else [], lex))
+    return out

@@ -15,8 +15,8 @@ from chatlore.llm import tokenizer as K
 from chatlore.shared import spread, table
 
 
-def _lexicon(messages: DataFrame) -> P.Lexicon:
-    return P.mine_lexicon(messages.select(F.explode(F.array("body", "signature")).alias("text")))
+def _lexicon(messages: DataFrame) -> DataFrame:
+    return P.lexicon_table(messages.select(F.explode(F.array("body", "signature")).alias("text")))
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:

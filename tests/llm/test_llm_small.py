@@ -81,6 +81,30 @@ def test_lexicon_is_mined(spark):
     assert not P.mine_lexicon(spark.createDataFrame([], "text string")).given
 
 
+def test_rare_lower_case_names(spark):
+    """Names that one text of a small collection writes in title case, elsewhere in lower case."""
+    texts = ["I met Ulvo Trenkirst", "ask ulvo trenkirst about it", "ask the parser about it", "cc mailing list", "thanks for that", None, "nobody here waits for ok"]
+    df = spark.createDataFrame([(n, t, "k") for n, t in enumerate(texts)], "id long, body string, known string")
+    assert {r.id for r in P.entities(df, "id", ["body"], P.lexicon_table(df, "body")).collect()} - {0} == {1}
+    unknown = P.Text("ask ulvo trenkirst about it", P.Lexicon())
+    assert any(unknown.s[a:b] == "ulvo trenkirst" for a, b, _, _ in unknown.segments)
+
+
+def test_lexicon_too_large_to_send(spark, monkeypatch):
+    """The join finds what the sent lexicon finds, whatever its size; none of its words is cut off."""
+    names = [("gi" + a + b + "lo", "fa" + b + a + "mer") for a in "bcdfgklmnp" for b in "aeiouyrstz"]
+    lex = spark.createDataFrame([(w, c + w) for g, f in names for w, c in ((g, "G"), (f, "F"))], "word string, code string")
+    rows = [(n, f"ask {g} {f} about it", f"{f.upper()}-x, {g}") for n, (g, f) in enumerate(names)] + [(500, None, ""), (501, "ask the parser about it", None)] * 2
+    df = spark.createDataFrame(rows, "id long, body string, signature string")
+    fields = ["body", "signature"]
+    want = sorted(map(tuple, P.entities(df, "id", fields, lex).collect()))
+    masked = sorted(P.mask(df, "id", fields, lex).collect(), key=str)
+    assert {k for k, f, kind, _ in want if f == "body" and kind == "name"} == set(range(100))
+    monkeypatch.setattr(P, "BROADCAST_WORDS", 10)
+    assert sorted(map(tuple, P.entities(df, "id", fields, lex).collect())) == want
+    assert sorted(P.mask(df, "id", fields, lex).collect(), key=str) == masked
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("max_n", [1, 2, 4])
 def test_ngrams_against_brute_force(spark, max_n):
