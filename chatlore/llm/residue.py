@@ -123,7 +123,7 @@ NEEDS = {
     ],
     "ERROR": [
         ('40', '41', '42', '50'),
-        ('40', '41', '50'),
+        ('40', '41', '50', '51'),
         ('bad', 'forbidden', 'author', 'not found', 'internal', 'unavailable', 'time', 'too many', 'denied', 'exceeded', 'expired', 'not impl', 'server', 'not all', 'connection'),
         ('page', 'resource', 'file', 'document', 'site', 'thread', 'message', 'content', 'looking'),
         ('find',),
@@ -144,7 +144,7 @@ NEEDS = {
         ('here', 'replace', 'sample', 'placeholder', 'dummy', 'filler'),
         ('todo', 'tbd', 'fixme', 'tba', 'n/a', 'soon', 'under', 'to be', 'no content'),
         ('hier', 'platzhalter', 'blind', 'beispiel'),
-        ('relleno', 'ejemplo', 'muestra', 'sustituir', 'escriba', 'texte', 'remplacer'),
+        ('relleno', 'ejemplo', 'muestra', 'sustituir', 'escriba', 'exemple', 'remplissage', 'remplacer'),
     ],
     "NAVIGATION": [
         (),

@@ -2,7 +2,9 @@
 
 import collections
 import datetime as dt
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +309,49 @@ def test_residue(spark):
     assert R.judge(df.limit(0)).count() == 0
 
 
+def test_codes_of_error_pages(spark):
+    texts = [f"{x} {n}{y}" for x in ("HTTP ERROR", "Status code", "Oops, fatal") for n in (400, 419, 500, 501, 510, 511, 519) for y in ("", " was returned")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {texts[r.doc_id] for r in R.judge(df).collect()} == set(texts)
+
+
+def samples(parsed):
+    """Shortest texts of a parsed pattern: one for every choice of alternatives and of members of a small class."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append([chr(arg)])
+        elif op == "IN":
+            chars = [c for o, v in arg for c in (chr(v) if str(o) == "LITERAL" else map(chr, range(v[0], v[1] + 1)) if str(o) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "k", "CATEGORY_SPACE": " "}.get(str(v), ".") if str(o) == "CATEGORY" else "")]
+            out.append(["~" if str(arg[0][0]) == "NEGATE" else c for c in (chars if len(chars) < 6 else chars[-1:])])
+        elif op in ("ANY", "NOT_LITERAL"):
+            out.append(["~"])
+        elif op == "BRANCH":
+            out.append([x for b in arg[1] for x in samples(b)])
+        elif op == "SUBPATTERN":
+            out.append(samples(arg[3]))
+        elif op == "ATOMIC_GROUP":
+            out.append(samples(arg))
+        elif op.endswith("REPEAT"):
+            out.append([x * arg[0] for x in samples(arg[2])] if arg[0] else ["", " "] if str(arg[2][0][0]) in ("ANY", "IN") else [""])
+        elif op == "ASSERT" and arg[0] > 0:
+            out.append(samples(arg[1]))
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    return sorted({"".join(x) for x in itertools.product(*out)})
+
+
+@pytest.mark.parametrize("name", sorted(R.NEEDS))
+def test_what_is_looked_for_first_is_in_every_match(name):
+    for pattern, needs in zip(getattr(R, name), R.NEEDS[name], strict=True):
+        p = pattern.replace("\\p{L}", "a-zé").replace("\\p{Lu}", "A-Z")
+        found = [x for x in samples(re._parser.parse(p)) if re.search(p, x)]
+        assert found, pattern
+        if needs:
+            assert [x for x in found if not any(n in x for n in needs)] == [], pattern
+
+
 def test_templates_share_their_verdict(spark):
     rows = [("Error %d: archive reader stopped" % n, "error") for n in range(30)]
     df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)] + [(99, "nothing of the kind here today")], "doc_id long, text string")
