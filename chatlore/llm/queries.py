@@ -85,14 +85,20 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["zgram_id"])
 
 
-def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+def _with_markup(spark: SparkSession, d: str) -> DataFrame:
     """Rows with markup, those delivered several times included."""
     z = spread(table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", "body"))
-    return M.clean(z).filter((F.size("kinds") > 0) & (F.length("clean_text") >= 0))
+    return z.filter(F.size(M.kinds(F.col("body"))) > 0)
+
+
+def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows with markup, with its kinds and their clean text; only these are cleaned."""
+    return M.clean(_with_markup(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_rows(spark, d).select("zgram_id").distinct()
+    """Found by the patterns of ``kinds`` alone."""
+    return _with_markup(spark, d).select("zgram_id").distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

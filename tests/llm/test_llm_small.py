@@ -15,6 +15,7 @@ from chatlore.llm import leakage as L
 from chatlore.llm import markup as M
 from chatlore.llm import pii as P
 from chatlore.llm import pii_training
+from chatlore.llm import queries as Q
 from chatlore.llm import residue as R
 from chatlore.llm import tokenizer as K
 
@@ -216,6 +217,13 @@ def test_line_blocks(spark):
     assert got.strip("\n").split("\n") == ["a long line of content"] * 3
 
 
+def test_found_by_patterns_alone(spark, small):
+    """No text is stripped to find markup."""
+    found = Q.p6_found(spark, small)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.zgram_id for r in found.collect()} == {r.zgram_id for r in Q.p6_clean(spark, small).select("zgram_id").collect()}
+
+
 # -- 8 ---------------------------------------------------------------------------------------------
 TEXTS = ["", None, " ", "hello world", "<|endoftext|> is text", "naïve café 🤷‍♀️ \u200b\ufeff", "\r\n\t", "汉字" * 50, ("line one of it\nand 'two'  more\n\n" * 9_000), "x" * 150_000, "a\x00b", "e\u0301" * 20]
 
