@@ -2,8 +2,8 @@
 
 Candidate segments (whole spans with a type) are proposed over the folded text, scored by features
 of the whole span and of its surroundings, and a bounded-entity dynamic program chooses boundaries
-and types of all entities of a text together, with transition scores between neighbours. Plain text
-between entities scores zero. The weights are trained here, by maximum likelihood on labelled
+and types of all entities of a text together. The model is of order zero: segments don't overlap, and
+there are no transition scores between neighbours. Plain text between entities scores zero. The weights are trained here, by maximum likelihood on labelled
 sentences that are composed at random (``pii_training``); nothing of the archive is labelled.
 
 Names need a lexicon where case tells nothing. It is mined from the whole collection: words that are
