@@ -224,6 +224,19 @@ def metadata_for_ids(spark: SparkSession, d: str) -> DataFrame:
     return facts.metadata_for(wanted, *refs).groupBy("kind", "zgram_id").agg(F.count("*").alias("n"))
 
 
+@_query(f"WITH {BASE}, {_REFS} SELECT 'rx' AS kind, zgram_id, count(*) AS n FROM rx WHERE value AND zgram_id IS NOT NULL GROUP BY ALL UNION ALL "
+        "SELECT 'zgrev', zgram_id, count(DISTINCT seq) FROM revisions_log WHERE zgram_id IS NOT NULL GROUP BY ALL UNION ALL "
+        "SELECT 'ref', zgram_id, count(*) FROM ref WHERE value GROUP BY ALL")
+def metadata_for_all(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of all messages."""
+    refs = [table(spark, d, t) for t in ("reactions_log", "revisions_log", "refers_log")]
+    wanted = facts.messages(table(spark, d, "zgrams")).select("zgram_id")
+    for r in refs:
+        wanted = wanted.unionByName(r.select("zgram_id"))
+    wanted = wanted.filter("zgram_id is not null").distinct()
+    return facts.metadata_for(wanted, *refs).groupBy("kind", "zgram_id").agg(F.count("*").alias("n"))
+
+
 _K = T.KARMA_RE2.replace("'", "''")
 _PP = (f"k AS (SELECT zgram_id, unnest(regexp_extract_all(body, '{_K}', 1)) AS key, unnest(regexp_extract_all(body, '{_K}', 2)) AS op FROM z), "
        "pp AS (SELECT key, zgram_id, sum(CASE op WHEN '++' THEN 1 WHEN '--' THEN -1 ELSE 0 END)::BIGINT AS delta FROM k WHERE key NOT IN ('c', 'C') GROUP BY ALL)")
@@ -244,6 +257,13 @@ def karma_after(spark: SparkSession, d: str) -> DataFrame:
     return facts.karma_after(facts.karma_deltas(current(spark, d)), 5000)
 
 
+@_query(f"WITH {BASE}, {_PP} SELECT key, sum(delta)::BIGINT AS karma FROM pp GROUP BY key")
+def karma_after_end(spark: SparkSession, d: str) -> DataFrame:
+    """Karma of every key after the last message."""
+    z = current(spark, d)
+    return facts.karma_after(facts.karma_deltas(z), facts.end_id(z))
+
+
 @_query(f"WITH {BASE}, {_PP} SELECT zgram_id, count(*) AS n_keys, string_agg(key, ' ' ORDER BY key) AS keys FROM pp GROUP BY zgram_id")
 def karma_keys(spark: SparkSession, d: str) -> DataFrame:
     deltas = facts.karma_deltas(current(spark, d))
@@ -475,3 +495,14 @@ def notify_metadata(spark: SparkSession, d: str) -> DataFrame:
 def notify_karma(spark: SparkSession, d: str) -> DataFrame:
     deltas = facts.karma_deltas(current(spark, d))
     return ingest.notify_karma(deltas, deltas.filter("zgram_id between 2000 and 3000").select("key", "zgram_id"), 1000, 5000)
+
+
+@_query(f"WITH {BASE}, {_PP}, r AS (SELECT key, zgram_id, sum(delta) OVER (PARTITION BY key ORDER BY zgram_id)::BIGINT AS karma FROM pp), "
+        "c AS (SELECT key, min(zgram_id) AS since FROM pp WHERE zgram_id IN (SELECT zgram_id FROM revisions_log) GROUP BY key) "
+        "SELECT r.key, zgram_id, karma FROM r JOIN c USING (key) WHERE zgram_id >= since")
+def notify_karma_all(spark: SparkSession, d: str) -> DataFrame:
+    """For a subscription to the whole archive, after all revisions."""
+    z = current(spark, d)
+    deltas = facts.karma_deltas(z)
+    changed = deltas.join(table(spark, d, "revisions_log").select("zgram_id").distinct(), "zgram_id", "left_semi").select("key", "zgram_id")
+    return ingest.notify_karma(deltas, changed, 0, facts.end_id(z))

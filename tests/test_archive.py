@@ -164,3 +164,16 @@ def test_small_functions(spark):
     keys = spark.createDataFrame([(200102051,), (200113010,), (196902050,), (200102052,), (200102300,)], "k long")
     assert [str(r[0]) for r in keys.select(T.day_of_key(F.col("k"))[0]).collect()] == ["2001-02-05", "None", "None", "None", "None"]
     assert spark.range(1).select(T.linkify(F.lit("see https://a.example/b now"))).first()[0] == 'see <a href="https://a.example/b">https://a.example/b</a> now'
+
+
+def test_whole_archive_is_covered(spark, small):
+    """Queries with a fixed range of ids have one for all ids beside them."""
+    from chatlore.archive_queries import QUERIES
+
+    deltas = {(r.key, r.zgram_id): r.delta for r in QUERIES["karma_delta"](spark, small).collect()}
+    want = {}
+    for (key, _), n in deltas.items():
+        want[key] = want.get(key, 0) + n
+    assert {r.key: r.karma for r in QUERIES["karma_after_end"](spark, small).collect()} == want
+    assert {r.zgram_id % 100 for r in QUERIES["metadata_for_all"](spark, small).collect()} > {0}
+    assert {r.zgram_id for r in QUERIES["notify_karma_all"](spark, small).collect()} <= {z for _, z in deltas}
