@@ -1,28 +1,56 @@
-"""Helpers that every operator may use: table access and cutting of lineage."""
+"""Helpers that every operator may use: table access, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 1 << 30
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that all executors share.
+    """A new folder below the one that all executors share, named by ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset (tests, one
-    machine) a temporary folder takes its place.
+    Where that is unset, a local session takes a temporary folder; a cluster has no folder that all
+    executors would see, so it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='chatlore-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders that were named since then (all by default); their results can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    for p in _written[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[since:]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder within is deleted at the end: ``with scratch(spark): query().write...``."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
@@ -40,7 +68,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """What the optimizer expects ``df`` to hold."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer splits than that (small files); else as it is."""
+    """A small input that fills fewer splits than there are cores, over all cores; any other as it is.
+
+    At most ``SPREAD_BYTES`` are moved, whatever the size of the cluster: large inputs get their
+    parallelism from ``spark.sql.files.maxPartitionBytes``.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if size_in_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
