@@ -1,34 +1,43 @@
 r"""Template residue, filler, error pages and script notices in place of content.
 
-Records (sentences of each line) are routed through a prefix tree of fixed depth: first by number of
-tokens, then by the leading tokens, where a token with digits or one that is rare among its
-siblings becomes the wildcard. A leaf is a message template. Each template gets one verdict from
-the records in it, by what most of them say, and the verdict is propagated to all records of the
-leaf; records that speak for themselves keep their own. A document is residue if the records with a
-verdict outweigh its ordinary text, site navigation left aside. Separately, unresolved slots are
-looked for inside ordinary records; slots quoted as code are none.
+A record is a sentence of a line, written as its lower-case words; numbers become ``<*>``, a number
+of the form of a status code ``<code>``. Records are routed through a prefix tree of fixed depth:
+first by number of words, then by the first ``DEPTH`` words. In a leaf, a word stays in the template
+if at least 1/``SPLIT`` of the leaf's records have it at that place, all others become ``<*>``; so a
+leaf holds one template for each combination of its frequent words, and a leaf of one record is a
+template by itself. These are shares, so a template doesn't depend on the size of the table.
+
+Each distinct template is classified once, from its own words: notice, error, filler, navigation or
+none. Verdicts are propagated to the records by way of the distinct records; no record is judged
+by itself. A document is residue if records with a verdict weigh at least as much as its ordinary
+text, site navigation left aside. Separately, unresolved slots are looked for inside ordinary
+records; slots quoted as code are none.
 
 Defined cases: null, empty and blank texts are no residue; repeated documents are judged alike; very
 long texts are cut into records, never shortened; empty tables give no rows; other columns are
 ignored.
 
-Scale: only narrow rows (document, token count, leading tokens, flags, length) are shuffled. A level
-keeps a token only if it has at least 1/``MAX_CHILDREN`` of its node's records, which bounds the
-children of a node without ranking them, and all counts are partial aggregates.
+Scale: equal records are merged before they are routed. Words of a leaf are counted by partial
+aggregates, never gathered; what is kept of a leaf is at most ``SPLIT`` words a place. Python sees
+distinct templates only. Tables are broadcast only where their size, known at run time, allows it.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+from re import _parser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlore.shared import cut, spread
 
 DEPTH = 3
-MAX_CHILDREN = 100
-MAX_LENGTH = 40  # longer records share a node
-LEAF_SHARE = 0.8
-LEAF_SUPPORT = 3
+SPLIT = 20
+ANY = "<*>"
 
 # -- unresolved slots ------------------------------------------------------------------------------
 # Environment variables that are no slots; words that name a slot.
@@ -62,6 +71,10 @@ SLOTS = [
     r"(?<![\w/])(?:XX?[/.\-]XX?[/.\-](?:XXXX|XX)|(?:DD|MM|JJ|TT)[/.\-](?:MM|DD)[/.\-](?:YYYY|AAAA|JJJJ|YY))(?![\w/])",
     r"(?u)_{4,}\s*\([\p{L} ]{2,30}\)",
 ]
+# What a text must hold for the pattern at the same place to match; looked for first, as it is cheap.
+SLOT_NEEDS = [
+    ('{{',), ('${',), ('#{',), ('<%',), ('{%',), ('%%',), ('@@',), ('<<',), ('%(',), ('%',), ('[[',), ('{',), ('[', '<', '('), ('[', '<'), ('[',), ('<',), ('GOES HERE',), ('INSERT', 'ENTER', 'ADD'), ('X', 'DD', 'MM', 'JJ', 'TT'), ('____',),
+]
 CODE = [r"(?s)(?m)^ {0,3}(```|~~~)[^\n]*\n.*?^ {0,3}\1[ \t]*$", r"(?s)<(pre|code)\b[^>]*>.*?</\1>", r"`[^`\n]+`"]
 
 
@@ -69,187 +82,249 @@ def has_slot(text: Column) -> Column:
     for p in CODE:
         text = F.regexp_replace(text, p, " ")
     # bound once, as the only element of an array
-    return F.exists(F.array(text), lambda t: _any(t, "SLOTS"))
+    return F.exists(F.array(text), _any_slot)
+
+
+def _any_slot(text: Column) -> Column:
+    hit = F.lit(False)
+    for p, needs in zip(SLOTS, SLOT_NEEDS, strict=True):
+        some = F.lit(False)
+        for x in needs:
+            some = some | text.contains(x)
+        hit = hit | (some & text.rlike(p))
+    return hit
 
 
-# -- what single records say -----------------------------------------------------------------------
+# -- what templates say ----------------------------------------------------------------------------
 # The pseudo-Latin of filler text, with cut endings.
 LATIN = ("lorem ipsum dolor dolore dolorem sit amet consec consectetur consectetuer adipis adipisci adipiscing elit sed eiusmod tempor incidunt "
          "incididunt ut et labor labore laboris laborum magna aliqua aliquam aliquip enim ad minim veniam quis nostrud exercitation ullamco nisi ex ea "
          "commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
          "proident sunt culpa qui officia deserunt mollit anim id est do").split()
-_SCRIPTS = r"(?:java ?scripts?|\bjs\b|(?:client[- ]side )?script(?:s|ing)\b|noscript|les scripts|los scripts|skripte)"
-_ENABLE = (r"(?:\b(?:enable|activate|allow|unblock|turn(?:ing)? (?:it )?on|switch(?:ing)? (?:it )?on|requires?|required|needs?|without|disabled|"
-           r"enabled|must have|support|run|turned off|switched off|blocked)\b|activ[ae]|activez|habilit|aktivier|einschalten|benötig|nécessaire|necesari|requis|erforderlich|won'?t)")
-NOTICE = [rf"(?s)\A(?=.*?{_SCRIPTS})(?=.*?{_ENABLE})", r"^loading(?:…|\.\.\.)?$",
-          r"^(?:please )?(?:turn|switch) (?:it|them) on and (?:reload|refresh|try)", r"^if nothing happens\b"]
-ERROR = [
-    r"\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b.{0,12}(?:not found|bad (?:request|gateway)|forbidden|unauthori[sz]ed|time-?d?[ -]?out|gone|internal|unavailable|error|too many|introuvable)",
-    r"(?:error|http|erreur|fehler|status|code|oops|whoops|fatal)\W{0,4}(?:code\W{0,3})?\b[45][01]\d\b",
-    r"^\W*(?:\[?\d+\]?\s*)?(?:(?:error|fatal|sorry|oops|whoops|hmm|warning|exception|notice)\b[!:.,…]?\s*)?(?:bad request|forbidden|unauthori[sz]ed|not found|internal (?:server )?(?:error|fault)|service unavailable|bad gateway|gateway time-?\s?out|request time-?\s?out|too many requests|access denied|permission denied|quota exceeded|session expired|not implemented|server error|method not allowed|connection (?:to \S+ )?(?:refused|reset|timed out))\b",
-    r"\b(?:page|resource|file|document|site|thread|message|content|what you were looking for)\b.{0,40}\b(?:not (?:be )?(?:found|located|displayed|available|loaded)|could ?n[o']t be (?:found|located|displayed|loaded)|cannot be (?:found|displayed)|moved or never existed|no longer exists?|does ?n[o']t exist|unavailable)",
-    r"we could ?n['’o]?t find (?:what|the page)|we can ?n['’o]?t find (?:what|the page)",
-    r"you (?:must|need to|have to) (?:be )?(?:sign|log)(?:ed|ged)? in to (?:see|view)|you do not have (?:permission|access)|you are not authori[sz]ed|^(?:please )?(?:sign|log) in again\b|your session (?:has )?(?:expired|timed out)|session (?:has )?expired",
-    r"something went wrong|an? (?:unexpected|unknown|internal) error|(?:try|retry|please try) again (?:later|in)|retry in \d+|slow down and retry",
-    r"(?:down|offline|closed) (?:for (?:scheduled )?maintenance|at the moment)|(?:is|are) (?:currently|temporarily) (?:unavailable|offline|down)|expect to be back at",
-    r"server took too long|sent an invalid (?:reply|response)|no backend is (?:ready|available)|problem accessing /|(?:gateway|request|connection) (?:has )?time-?d?\s?[ -]?out",
-    r"service est (?:momentanément|temporairement) indisponible|page (?:demandée|que vous).{0,40}introuvable|accès (?:refusé|interdit)|erreur interne|réessayer plus tard",
-    r"(?:interner|unerwarteter) fehler|seite (?:wurde )?nicht gefunden|zugriff verweigert|später erneut versuchen|nicht erreichbar|vorübergehend nicht",
-    r"no se puede mostrar|página (?:solicitada )?no (?:encontrada|existe|disponible)|acceso denegado|error interno|inténtelo (?:de nuevo )?más tarde|servicio no disponible",
-    r"^traceback \(most recent call last\)|^\s*file \"[^\"]+\", line \d+, in |^\s*raise \w+\(|^\w*(?:error|exception)\b:|^\s*at [\w.$]+\([\w.]+:\d+\)",
-    r"^\W*(?:error|request|reference|incident|trace|ray)\s*(?:id|code|no\.?|number)?\W{0,3}[#:]?\s*[\w-]*\d[\w-]*\W*$",
-    r"\{\"(?:error|errors|status|code|message)\"\s*:",
-    r"^relayd/\d+",
-    r"^the upstream \S+ |^reason: ",
-]
-PLACEHOLDER = [
-    r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\b(?:insert|enter|add|put|type|write|place)\b.{0,40}\b(?:text|content|title|name|summary|message|description|words?)\b.{0,12}\bhere\b|\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
-    r"^\W*(?:todo|tbd|fixme|tba)\b\W|^\W*(?:tbd|tba|todo|n/a|coming soon|under construction|content coming soon|to be (?:written|added|done|announced|completed))\W*$|\bno content yet\b|\bcontent coming soon\b",
-    r"hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext",
-    r"texto de (?:relleno|ejemplo|muestra)|sustituir antes de|escriba aquí|texte? (?:d['’]exemple|de remplissage|à remplacer)|à remplacer\b",
-]
-NAVIGATION = [
-    r"^\W*(?:home|menu|search|archive|sign in|log ?in|sign up|register|back|go back|report this|next|previous|help|contact|about|skip to content|top|start|inicio|accueil|startseite|menü|buscar|suche|recherche|privacy|terms)(?:\s*[|·»›/•]\s*(?:home|menu|search|archive|sign in|log ?in|sign up|register|back|go back|report this|next|previous|help|contact|about|top|start|privacy|terms)\b)*\W*$",
-    r"^(?:©|\(c\)|copyright)\s|^\S+ » \S+$|^[\w.-]+ (?:»|›|>|::) [\w.-]+$|^go back (?:\||to )|^(?:try again|go back|return).{0,20}start page",
-]
-
-# What a text must hold for the pattern at the same place to match; looked for first, as it is cheap.
-NEEDS = {
-    "NOTICE": [
-        ('script', 'skript', 'js'),
-        ('loading',),
-        ('on and',),
-        ('if nothing',),
-    ],
-    "ERROR": [
-        ('40', '41', '42', '50'),
-        ('40', '41', '50', '51'),
-        ('bad', 'forbidden', 'author', 'not found', 'internal', 'unavailable', 'time', 'too many', 'denied', 'exceeded', 'expired', 'not impl', 'server', 'not all', 'connection'),
-        ('page', 'resource', 'file', 'document', 'site', 'thread', 'message', 'content', 'looking'),
-        ('find',),
-        ('you', 'sign', 'log', 'session'),
-        ('wrong', 'error', 'again', 'retry'),
-        ('down', 'offline', 'closed', 'unavailable', 'expect'),
-        ('server', 'sent', 'backend', 'problem', 'time'),
-        ('indisponible', 'page', 'accès', 'erreur', 'réessayer'),
-        ('fehler', 'seite', 'zugriff', 'erneut', 'nicht er', 'vorüber'),
-        ('mostrar', 'página', 'acceso', 'error', 'inténtelo', 'servicio'),
-        ('traceback', 'file', 'raise', 'error', 'exception', 'at '),
-        ('error', 'request', 'reference', 'incident', 'trace', 'ray'),
-        ('{"',),
-        ('relayd/',),
-        ('upstream', 'reason'),
-    ],
-    "PLACEHOLDER": [
-        ('here', 'replace', 'sample', 'placeholder', 'dummy', 'filler'),
-        ('todo', 'tbd', 'fixme', 'tba', 'n/a', 'soon', 'under', 'to be', 'no content'),
-        ('hier', 'platzhalter', 'blind', 'beispiel'),
-        ('relleno', 'ejemplo', 'muestra', 'sustituir', 'escriba', 'exemple', 'remplissage', 'remplacer'),
+_LATIN = frozenset(LATIN)
+_ROW = re.compile("[asdfghjklöäñ]{10,}")
+# Reason phrases of HTTP (RFC 9110) for client and server errors.
+REASONS = ("bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request time-?\\s?out|conflict|gone|"
+           "length required|precondition failed|content too large|payload too large|uri too long|unsupported media type|range not satisfiable|expectation failed|"
+           "misdirected request|unprocessable content|upgrade required|too many requests|internal server error|not implemented|bad gateway|service unavailable|"
+           "gateway time-?\\s?out|http version not supported")
+_SCRIPTS = r"\b(?:java ?scripts?|js|(?:client-side )?script(?:s|ing)?|noscript|skripte?n?|les scripts|los scripts)\b"
+_ENABLE = (r"\b(?:enabled?|activated?|allow|unblock|turn|turned|turning|switch|switched|requires?|required|needs?|without|disabled|must|support|run|blocked|won't|"
+           r"activ[ae]r?|activez|active|habilit\w+|aktivier\w+|einschalten|ben[öo]tigt?|nécessaires?|necesari[oa]|requis|erforderlich|ohne|sans|sin)\b")
+_THING = (r"(?:page|site|website|resource|file|document|content|url|address|link|item|thread|message|topic|"
+          r"seite|datei|inhalt|adresse|ressource|página|archivo|recurso|contenido|fichier|adresse|contenu)")
+_GONE = (r"(?:not (?:be )?(?:found|located|displayed|available|loaded|exist\w*|reachable)|couldn't be (?:found|located|displayed|loaded)|cannot be (?:found|displayed|loaded|reached)|"
+         r"can't be (?:found|displayed|loaded|reached)|no longer (?:exists?|available)|doesn't exist|does not exist|never existed|unavailable|missing|removed|moved|"
+         r"nicht (?:gefunden|verfügbar|erreichbar|vorhanden)|existiert nicht|introuvable|n'existe (?:pas|plus)|indisponible|no (?:encontrad[ao]|existe|disponible)|no se (?:encontró|encuentra|puede mostrar))")
+_SERVER = r"(?:server|servers|gateway|upstream|backend|proxy|host|service|serveur|servidor|dienst|servicio)"
+_DOWN = (r"(?:timed? ?-?out|too long|refused|reset|unreachable|overloaded|not respond\w*|no response|invalid response|not ready|unavailable|not available|offline|failed|"
+         r"(?:bad|invalid|malformed|empty|unexpected) (?:response|reply|answer|header)|temporarily|momentan\w*|vorübergehend|überlastet|momentanément|temporairement|temporalmente|fuera de servicio|indisponible)")
+_LATER = (r"(?:try again (?:later|soon|in|shortly)|please try again|retry (?:later|in|after)|come back (?:later|soon)|check back (?:later|soon)|later erneut|später (?:erneut|noch ?mal|wieder)|"
+          r"réessay\w+|más tarde|inténtelo|vuelva a intentar\w*)")
+# What links around a page are called.
+NAVIGATION = ("home menu search archive archives sign log login in up register back to the go report this next previous help contact about us skip content top start page return "
+              "try again reload refresh privacy terms inicio accueil startseite menü buscar suche recherche").split()
+_NAVIGATION = frozenset(NAVIGATION)
+TEMPLATES: dict[str, list[str]] = {
+    "notice": [
+        rf"(?s)\A(?=.*?{_SCRIPTS})(?=.*?{_ENABLE})", r"^loading$",
+        r"^(?:please )?(?:turn|switch) (?:it|them) on and (?:reload|refresh|try)", r"^if nothing happens\b",
     ],
-    "NAVIGATION": [
-        (),
-        ('©', '(c)', 'copyright', '»', '›', '>', '::', 'go back', 'try', 'return'),
+    "error": [
+        rf"<code>(?: \S+){{0,2}} (?:{REASONS})\b|\b(?:{REASONS})(?: \S+){{0,2}} <code>",
+        r"\b(?:error|errors|http|status|code|erreur|fehler|código|oops|whoops|fatal)(?: (?:code|no|nr|number|status))? <code>",
+        r"^<code>(?: (?:error|oops|sorry|whoops)\b.*)?$",
+        rf"^(?:<code> |<\*> )?(?:(?:http|error|fatal|sorry|oops|whoops|hmm|warning|exception|notice|the|an?|this|reason|cause|grund|raison|motivo) ){{0,2}}(?:{REASONS}|internal (?:error|fault)|server (?:error|fault)|access denied|permission denied|quota exceeded|"
+        r"connection (?:to \S+ |from \S+ )?(?:was )?(?:refused|reset|timed out|closed)|acceso denegado|prohibido|zugriff verweigert|accès (?:refusé|interdit)|interner (?:server)?fehler|erreur interne|error interno)\b",
+        rf"\b{_THING}\b(?: \S+){{0,7}} {_GONE}", rf"\bno se (?:encontró|pudo cargar|puede mostrar)(?: \S+){{0,2}} {_THING}\b",
+        r"\bwe (?:could(?: not|n't)|can(?:not|'t)) (?:find|locate|load|display|process) (?:what|the|this|that|your)\b",
+        r"\b(?:must|need to|have to) (?:be )?(?:sign|log)(?:ed|ged)? ?in to (?:see|view|access|read|continue)\b|\bdo(?:n't| not) have (?:permission|access|the right)\b|\bnot (?:authori[sz]ed|allowed|permitted) to\b",
+        r"^(?:please )?(?:sign|log) in (?:again|to continue)\b|\bsession (?:has |is )?(?:expired|timed out|ended)\b|\bsitzung (?:ist )?abgelaufen\b|\bsession a expiré\b|\bsesión ha (?:caducado|expirado)\b",
+        r"\bsomething went wrong\b|\ban? (?:unexpected|unknown|internal) error\b|\b(?:unerwarteter|interner|unbekannter) fehler\b|\berreur (?:inattendue|inconnue|interne)\b|\berror (?:inesperado|desconocido|interno)\b",
+        rf"^(?:please )?(?:\S+ ){{0,6}}{_LATER}",
+        r"^(?:\S+ ){1,4}is (?:currently |temporarily )?(?:offline|down|unavailable)(?: at the moment| right now| for now)?(?: <code>)?$",
+        r"^(?:there was an? )?(?:problem|error|failure|trouble) (?:while |when |in )?(?:accessing|loading|opening|reading|processing|fetching|retrieving|displaying)\b",
+        r"\b(?:down|offline|closed) for (?:\S+ )?maintenance\b|\bmaintenance (?:mode|window|in progress)\b|\bwartungsarbeiten\b|\ben maintenance\b|\ben mantenimiento\b",
+        rf"^(?:\S+ ){{0,2}}{_SERVER}\b(?: \S+){{0,5}} {_DOWN}", rf"^(?:no|none of the|all) {_SERVER} (?:is |are )?(?:available|ready|reachable|down|busy|responded)",
+        r"^traceback most recent call last|^file \S+ line \S+ in \S|^raise \w+|^at [\w.$]+ \S+ java\b|^\w*(?:error|exception) \S+ at\b|^caused by \w*(?:error|exception)",
+        r"^(?:error|request|reference|incident|trace|ray|correlation|transaction|vorgang|référence|referencia)(?: (?:id|code|no|nr|number|nummer))? <\*>$|^(?:error|status|code|message)(?: (?:error|status|code|message|<code>|<\*>)){1,6}$",
     ],
-    "SLOTS": [
-        ('{{',),
-        ('${',),
-        ('#{',),
-        ('<%',),
-        ('{%',),
-        ('%%',),
-        ('@@',),
-        ('<<',),
-        ('%(',),
-        ('%',),
-        ('[[',),
-        ('{',),
-        ('[', '<', '('),
-        ('[', '<'),
-        ('[',),
-        ('<',),
-        ('GOES HERE',),
-        ('INSERT', 'ENTER', 'ADD'),
-        ('X', 'DD', 'MM', 'JJ', 'TT'),
-        ('____',),
+    "filler": [
+        r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\b(?:insert|enter|add|put|type|write|place)\b(?: \S+){0,5} (?:text|content|title|name|summary|message|description|words?)(?: \S+){0,2} here\b",
+        r"\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry|for)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
+        r"^(?:todo|tbd|fixme|tba)\b|^(?:n a|(?:content )?coming soon|under construction|to be (?:written|added|done|announced|completed))$|\bno content yet\b|\bcontent coming soon\b",
+        r"hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext|mustertext",
+        r"texto de (?:relleno|ejemplo|muestra|prueba)|escriba aquí|reempla\w+ este texto|sustituy\w+ este texto|texte? (?:d'exemple|d’exemple|de remplissage|à remplacer|factice)|remplace\w* ce texte|à remplacer\b",
     ],
 }
 
 
-def _any(text: Column, name: str) -> Column:
-    hit = F.lit(False)
-    for p, needs in zip(globals()[name], NEEDS[name], strict=True):
-        some = F.lit(not needs)
-        for x in needs:
-            some = some | text.contains(x)
-        hit = hit | (some & text.rlike(p))
-    return hit
+MOST = 60  # literals of one pattern that are looked for first
+
+
+def _runs(parsed) -> list[frozenset[str]]:
+    """Sets of literals of a parsed pattern; every match holds a member of each set."""
+    out: list[frozenset[str]] = []
+    exact: list[str] = [""]  # all that the pattern can match so far since the last break
+
+    def end() -> None:
+        nonlocal exact
+        if all(exact):
+            out.append(frozenset(exact))
+        exact = [""]
+    for op, arg in parsed:
+        op = str(op)
+        options: list[str] | None = None
+        if op == "LITERAL":
+            options = [chr(arg)]
+        elif op == "IN" and len(arg) <= 3 and all(str(o) == "LITERAL" for o, _ in arg):
+            options = [chr(v) for _, v in arg]
+        elif op in ("AT", "ASSERT_NOT"):
+            continue
+        elif op == "ASSERT":
+            out += _runs(arg[1]) if arg[0] > 0 else []
+            continue
+        elif op == "SUBPATTERN" or op == "BRANCH":
+            branches = arg[1] if op == "BRANCH" else [arg[3]]
+            words = [_word(b) for b in branches]
+            if all(w is not None for w in words) and len(exact) * sum(map(len, words)) <= MOST:
+                options = [x for w in words for x in w]
+            else:
+                sets = [_best(_runs(b)) for b in branches]
+                if all(sets):
+                    out.append(frozenset().union(*sets))
+        elif op.endswith("REPEAT"):
+            if arg[0] == 0 and arg[1] == 1 and (w := _word(arg[2])) is not None and len(exact) * (len(w) + 1) <= MOST:
+                options = ["", *w]
+            elif arg[0] > 0:
+                out += _runs(arg[2])
+        if options is None:
+            end()
+        else:
+            exact = [e + o for e in exact for o in options]
+    end()
+    return out
+
 
+def _word(parsed) -> list[str] | None:
+    """All strings that a pattern without repeats can match, or None."""
+    exact = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            options = [chr(arg)]
+        elif op == "IN" and len(arg) <= 3 and all(str(o) == "LITERAL" for o, _ in arg):
+            options = [chr(v) for _, v in arg]
+        elif op in ("SUBPATTERN", "BRANCH"):
+            words = [_word(b) for b in (arg[1] if op == "BRANCH" else [arg[3]])]
+            if any(w is None for w in words):
+                return None
+            options = [x for w in words for x in w]
+        elif op.endswith("REPEAT") and arg[0] == 0 and arg[1] == 1 and (w := _word(arg[2])) is not None:
+            options = ["", *w]
+        elif op == "AT":
+            continue
+        else:
+            return None
+        exact = [e + o for e in exact for o in options]
+        if len(exact) > MOST:
+            return None
+    return exact
 
-def own_verdict(text: Column, tokens: Column) -> Column:
-    """What a record says by itself: notice, error, filler, navigation or null."""
-    return F.transform(F.array(F.lower(text)), lambda t: _verdict(t, tokens))[0]
 
+def _best(sets: list[frozenset[str]]) -> frozenset[str]:
+    """The set that says most: literals of some length, and few of them."""
+    return max(sets, key=lambda s: (min(4, *map(len, s)) if len(s) > 1 else min(4, len(*s)), -len(s)), default=frozenset())
 
-def _verdict(text: Column, tokens: Column) -> Column:
-    n = F.size(tokens)
-    latin = F.size(F.filter(tokens, lambda t: t.isin(*LATIN)))
-    drum = (n >= 6) & (F.size(F.array_distinct(tokens)) * 4 <= n)
-    mash = (F.length(text) >= 12) & text.rlike(r"\A[asdfghjklöäñ;\s]+\z")
-    return (
-        F.when(_any(text, "NOTICE"), "notice").when(_any(text, "ERROR"), "error")
-        .when(_any(text, "PLACEHOLDER") | ((n >= 4) & (latin >= 0.6 * n)) | drum | mash, "filler")
-        .when(_any(text, "NAVIGATION"), "navigation")
-    )
+
+@functools.lru_cache(maxsize=256)
+def needs(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match holds one, so that they can be looked for first; empty if none is known."""
+    found = _best(_runs(_parser.parse(pattern)))
+    short = {x.strip(" ") for x in found}
+    if not found or "" in short:
+        return ()
+    return tuple(sorted(x for x in short if not any(y in x for y in short if y != x)))
+
+
+@functools.lru_cache(maxsize=1)
+def _compiled() -> list[tuple[str, tuple[str, ...], re.Pattern]]:
+    return [(kind, needs(p), re.compile(p)) for kind, patterns in TEMPLATES.items() for p in patterns]
+
+
+def verdict(template: str) -> str | None:
+    """What a template says: notice, error, filler, navigation or None."""
+    for kind, literals, pattern in _compiled():
+        if (not literals or any(x in template for x in literals)) and pattern.search(template):
+            return kind
+    words = [w for w in template.split(" ") if w != ANY]
+    if not words:
+        return None
+    # pseudo-Latin, a word over and over, keys of one row
+    latin = sum(w in _LATIN for w in words)
+    if len(words) >= 3 and latin >= 0.6 * len(words) or len(words) >= 6 and len(set(words)) * 4 <= len(words) or len(words) >= 2 and _ROW.fullmatch("".join(words)):
+        return "filler"
+    if len(words) <= 12 and ANY not in template and _NAVIGATION.issuperset(words) or len(words) <= 5 and words[0] in ("©", "copyright"):
+        return "navigation"
+    return None
 
 
 _BLOCK = r"(?i)</?(?:h[1-6]|p|div|br|hr|li|ul|ol|tr|td|th|table|title|head|body|html|header|footer|nav|section|article)(?:\s[^<>\n]*)?/?>"
 
 
 def records(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, head, n, own, chars) of every sentence of every line."""
+    """(key, record, chars): the words of every sentence of every line."""
     plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)<noscript>", " noscript: "), _BLOCK, "\n")
     plain = F.regexp_replace(plain, r"<[/!]?[a-zA-Z][^<>\n]*>", " ")
     plain = F.when(F.col(text).contains("<"), plain).otherwise(F.col(text))
     lines = F.split(plain, r"\r?\n|\r|(?<=[.!?。])\s+(?=[\p{Lu}¿¡\[\"'])")
-    one = docs.select(F.col(key).alias("key"), F.explode(lines).alias("record")).withColumn("record", F.trim("record")).filter("record <> ''")
-    tokens = F.regexp_extract_all(F.lower("record"), F.lit(r"[\p{L}\p{N}_'’-]+"), F.lit(0))
-    one = one.withColumn("tokens", tokens)
-    masked = F.transform(F.slice("tokens", 1, DEPTH), lambda t: F.when(t.rlike(r"\p{N}"), "<*>").otherwise(t))
-    return one.select("key", masked.alias("head"), F.least(F.size("tokens"), F.lit(MAX_LENGTH)).alias("n"),
-                      own_verdict(F.col("record"), F.col("tokens")).alias("own"), F.length("record").alias("chars"))
-
-
-def mine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with the path of their leaf, and the templates (path, support, verdict)."""
-    rows = rows.withColumn("path", F.col("n").cast("string"))
-    for level in range(1, DEPTH + 1):
-        rows = rows.withColumn("token", F.coalesce(F.try_element_at("head", F.lit(level)), F.lit("")))
-        children = rows.groupBy("path", "token").agg(F.count("*").alias("c"))
-        node = rows.groupBy("path").agg(F.count("*").alias("total"))
-        kept = children.join(node, "path").filter(F.col("c") * MAX_CHILDREN >= F.col("total")).select("path", "token", F.lit(True).alias("kept"))
-        rows = rows.join(kept, ["path", "token"], "left")
-        rows = rows.withColumn("path", F.concat_ws("\u0001", "path", F.when(F.col("kept"), F.col("token")).otherwise("<*>"))).drop("token", "kept")
-    verdicts = ["notice", "error", "filler"]
-    counts = [F.sum((F.col("own").eqNullSafe(v)).cast("long")).alias(v) for v in verdicts]
-    leaf = rows.groupBy("path").agg(F.count("*").alias("support"), *counts)
-    verdict = F.lit(None).cast("string")
-    for v in verdicts:
-        verdict = F.when((F.col("support") >= LEAF_SUPPORT) & (F.col(v) >= LEAF_SHARE * F.col("support")), v).otherwise(verdict)
-    return rows, leaf.select("path", "support", verdict.alias("verdict"))
+    one = docs.select(F.col(key).alias("key"), F.explode(lines).alias("line"))
+    words = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{M}\p{N}_'’©-]+", " "))
+    coded = F.regexp_replace("words", r"(?<![^ ])[45][0-9][0-9](?![^ ])", "<code>")
+    masked = F.regexp_replace(coded, r"[^ ]*[0-9][^ ]*", ANY)
+    one = one.select("key", words.alias("words"), F.length(F.trim("line")).alias("chars")).filter("words <> ''")
+    return one.select("key", F.when(F.col("words").rlike("[0-9]"), masked).otherwise(F.col("words")).alias("record"), "chars")
+
+
+def mine(records: DataFrame) -> DataFrame:
+    """(record, template) of all distinct records."""
+    words = F.split("record", " ")
+    path = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))
+    distinct = cut(records.groupBy("record").agg(F.count("*").alias("c")).withColumn("path", path), "distinct")
+    leaf = distinct.groupBy("path").agg(F.sum("c").alias("total"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # words of the places below the head that enough of the leaf's records have
+    shared = distinct.join(leaf, "path")
+    places = shared.select("path", "c", "total", F.posexplode(words).alias("at", "word")).filter(F.col("at") >= DEPTH)
+    kept = places.groupBy("path", "total", "at", "word").agg(F.sum("c").alias("c")).filter(F.col("c") * SPLIT >= F.col("total"))
+    kept = kept.groupBy("path").agg(F.collect_set(F.concat_ws(" ", "at", "word")).alias("kept"))
+    # a leaf of several records without any shared word has an empty list, a leaf of one has none
+    kept = leaf.select("path").join(kept, "path", "left").select("path", F.coalesce("kept", F.array().cast("array<string>")).alias("kept"))
+    template = F.array_join(F.transform(words, lambda w, i: F.when((i < DEPTH) | F.array_contains("kept", F.concat_ws(" ", i, w)), w).otherwise(ANY)), " ")
+    return distinct.join(kept, "path", "left").select("record", F.when(F.col("kept").isNull(), F.col("record")).otherwise(template).alias("template"))
+
+
+def classified(routed: DataFrame) -> DataFrame:
+    """(record, verdict): each distinct template gets its verdict once, its records get it from there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [(t, v) for t in b.column(0).to_pylist() if (v := verdict(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in said], pa.string()) for n in (0, 1)], ["template", "verdict"])
+    routed = cut(routed, "routed")
+    templates = cut(routed.select("template").distinct().mapInArrow(run, "template string, verdict string"), "templates")
+    return routed.join(templates, "template").select("record", "verdict")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, reason) of every document to leave out; reason is slot, notice, error or filler."""
-    docs = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
-    docs = spread(docs)
+    docs = spread(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text))
     slots = docs.filter(has_slot(F.col(text))).select(F.col(key).alias("key"), F.lit("slot").alias("reason"))
     rows = cut(records(docs, key, text), "records")
-    rows, templates = mine(rows)
-    rows = rows.join(templates.filter("verdict is not null").select("path", "verdict"), "path", "left")
-    said = F.coalesce(F.col("own"), F.col("verdict"))
-    title = (F.col("n") <= 2) & said.isNull()
-    sums = [F.sum(F.when(said == v, F.col("chars")).otherwise(0)).alias(v) for v in ("notice", "error", "filler")]
-    weight = rows.groupBy("key").agg(*sums, F.sum(F.when(said.isNull() & ~title, F.col("chars")).otherwise(0)).alias("ordinary"))
+    said = cut(classified(mine(rows)), "verdicts")
+    rows = rows.join(said, "record", "left")
+    v, chars = F.col("verdict"), F.col("chars")
+    title = v.isNull() & (F.size(F.split("record", " ")) <= 2)
+    sums = [F.sum(F.when(v == x, chars).otherwise(0)).alias(x) for x in ("notice", "error", "filler")]
+    weight = rows.groupBy("key").agg(*sums, F.sum(F.when(v.isNull() & ~title, chars).otherwise(0)).alias("ordinary"))
     total = F.col("notice") + F.col("error") + F.col("filler")
     reason = (F.when((F.col("notice") >= F.col("error")) & (F.col("notice") >= F.col("filler")), "notice")
               .when(F.col("error") >= F.col("filler"), "error").otherwise("filler"))
