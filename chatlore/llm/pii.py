@@ -2,20 +2,23 @@
 
 Candidate segments (whole spans with a type) are proposed over the folded text, scored by features
 of the whole span and of its surroundings, and a bounded-entity dynamic program chooses boundaries
-and types of all entities of a text together. The model is of order zero: segments don't overlap, and
-there are no transition scores between neighbours. Plain text between entities scores zero. The weights are trained here, by maximum likelihood on labelled
-sentences that are composed at random (``pii_training``); nothing of the archive is labelled.
+and types of all entities of a text together. The chain has transitions: an entity is also scored by
+the type of the entity right before it and what lies between them (``name>address,line``), or by
+having none there (``O>name``). Plain text between entities scores zero. Weights of spans and
+transitions are trained here, by maximum likelihood with forward and backward sums, on labelled
+sentences that are composed at random (``pii_training``); no text of any collection is used.
 
 Names need a lexicon where case tells nothing. It is mined from the whole collection: words that are
 written in title case before (or after) many different title-case partners, and seldom in lower
-case. Words with fewer than ``MIN_PARTNERS`` partners are kept as rare ones, which the model trusts
-less. The lexicon is a table; up to ``BROADCAST_WORDS`` words it is sent to the workers, beyond that each
-text gets those of its words that the table knows by a join. Pairs of lower-case words that it doesn't know
-are candidates too, by their surroundings.
+case. A word is sure if it has at least ``SURE_SHARE`` of the partners that well connected words of its
+role have (the 90th percentile), so what counts as many follows from the collection; others are kept
+as rare ones, which the model trusts less. The lexicon is a table; up to ``BROADCAST_WORDS`` words it
+is sent to the workers, beyond that each text gets those of its words that the table knows by a join.
+Pairs of lower-case words that it doesn't know are candidates too, by their surroundings.
 
 Kinds: email, phone, id_number, address, name. Defined cases: null and blank texts hold nothing and
-stay as they are; a segment is at most ``MAX_SPAN`` characters; texts of any length are read whole;
-repeated rows give repeated results; an empty table gives no rows; other columns stay.
+stay as they are; segments and texts of any length are read whole; repeated rows give repeated
+results; an empty table gives no rows; other columns stay.
 
 Scale: one pass over the rows in Arrow batches with no shuffle, after one partial aggregate for the
 lexicon; texts are shuffled only where the lexicon is too large to be sent.
@@ -27,6 +30,7 @@ import functools
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,9 +40,9 @@ from pyspark.sql import functions as F
 from chatlore.shared import cut, fresh
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-MAX_SPAN = 120
 BROADCAST_WORDS = 200_000
-MIN_PARTNERS = 5
+SURE_SHARE = 0.2
+NEAR = 6  # characters between neighbours of the chain
 CACHE = 50_000
 
 # -- folding: compatibility forms and dashes, with the place of each character ---------------------
@@ -103,13 +107,13 @@ INITIAL = re.compile(r"[^\W\d_a-z]\.")
 TITLES = frozenset("mr mrs ms miss mx dr prof sir madam herr frau mme mlle m monsieur madame sr sra srta don doña señor señora".split())
 # Words near a number that tell what it counts.
 CUES = {
-    "phone": r"tel|téléphone|telefon|teléfono|phone|phones|fax|pager|call|call me|mobile|cell|handy|móvil|text|number|numéro|nummer|número|rückruf|rappel\w*|anruf\w*|llám\w*|llame|ring|voicemail|dial|reach|whatsapp|sms|on call",
-    "id": r"passport|pass|reisepass|passeport|pasaporte|ssn|social security|sécurité sociale|seguridad social|licen[cs]e|führerschein|permis|dni|nie|nif|steuer|steuernummer|tax|fiscal|national id|identity|identité|identidad|personalausweis|ausweis|id card|visitor|badge|id|nino|insurance",
-    "thing": r"build|builds|part|parts|ticket|tickets|zgram|message|messages|host|port|offset|size|epoch|bytes|copies|version|release|room|item|order|page|line|lines|issue|files|merged|lane|per run|a day|stock|printer|serial|model|sku|invoice|lot|batch|parser|case|ref|commit|revision|id of the|address of the host|answers on|slower|faster|off by|hash|checksum|sha|md5",
+    "phone": r"tel|téléphone|telefon|teléfono|phones?|telephone|fax|telefax|pager|call|calls|called|calling|mobile|cell|handy|móvil|text|texted|sms|whatsapp|ring|dial|voicemail|hotline|extension|reach|on call|rückruf|anruf\w*|durchwahl|erreichbar|rappel\w*|appel\w*|joign\w*|llám\w*|llam\w*|marc\w*",
+    "id": r"passports?|reisepass|passeport|pasaporte|ssn|social security|sécurité sociale|seguridad social|sozialversicherung\w*|licen[cs]e|licence|driver'?s?|führerschein|permis|carné|dni|nie|nif|nino|insurance|steuer\w*|tax|taxpayer|fiscal|national id|identity|identification|identité|identidad|personalausweis|ausweis\w*|id card|id number|ids?|visitor|visa|permit",
+    "thing": r"builds?|parts?|tickets?|messages?|hosts?|ports?|offsets?|sizes?|epochs?|bytes?|versions?|releases?|revisions?|commits?|rooms?|items?|orders?|invoices?|pages?|lines?|rows?|issues?|files?|serial|models?|sku|batch|lots?|cases?|ref|hash|checksum|sha|md5|server|ip|address of|counter|sensor|error|code|score|total|sum|price|cost|record|records|counts?|seconds|ms|percent|volume|chapter|section|bug|isbn|barcode|stock|printer|scanner",
 }
 _CUES = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)", re.I) for k, v in CUES.items()}
-_CUES_AFTER = _CUES | {"thing": re.compile(
-    r"^\W*(?:of the|of a|is (?:slower|faster|off|out)|bytes|files|merged|size|port|per|copies|that is where|has the|it has|fails|and \d|in stock)(?!\w)", re.I)}
+# What is counted or described also follows the number, at once or after one word.
+_CUES_AFTER = _CUES | {"thing": re.compile(rf"^\W*(?:[^\W\d_]+\W+)?(?:{CUES['thing']}|of the|of an?|kb|mb|gb|times|units|pieces|euros?|dollars?)(?!\w)", re.I)}
 FILE_TYPES = frozenset("png jpg jpeg gif svg txt md py js ts css html json xml csv pdf zip log sh c h cc go rs java 2x 3x".split())
 
 
@@ -148,11 +152,10 @@ class Text:
                 for m in p.finditer(s):
                     self._add(m.start(), m.end(), "address", self._address(m.group(), n, m.start()))
         self._names()
-        self.segments.sort(key=lambda x: (x[1], x[0]))
+        self.segments.sort(key=lambda x: (x[0], x[1]))
 
     def _add(self, a: int, b: int, kind: str, features: list[str]) -> None:
-        if b - a <= MAX_SPAN:
-            self.segments.append((a, b, kind, [f"{kind}|{f}" for f in features]))
+        self.segments.append((a, b, kind, [f"{kind}|{f}" for f in features]))
 
     def _around(self, a: int, b: int) -> list[str]:
         """Cues before and after a span, the nearest words first."""
@@ -183,8 +186,8 @@ class Text:
             spans.add((a, b))
             cuts = [a, *[a + x.end() for x in re.finditer(r" ", m.group())]]
             ends = [*[a + x.start() for x in re.finditer(r" ", m.group())], b]
-            for i in cuts[:6]:
-                for j in ends[-6:]:
+            for i in cuts:
+                for j in ends:
                     if j - i >= 7 and sum(map(str.isdigit, s[i:j])) >= 7:
                         spans.add((i, j))
         for a, b in spans:
@@ -230,6 +233,7 @@ class Text:
         s, lex = self.s, self.lexicon
         tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(s)]
         n = len(tokens)
+        lower = [t[2].lower() for t in tokens]
 
         def kind(i: int) -> str:
             w = tokens[i][2]
@@ -238,87 +242,94 @@ class Text:
             if w[0].isupper():
                 return "AA" if w.isupper() else "Aa"
             return "aa"
+        kinds = [kind(i) for i in range(n)]
 
         def known(w: str) -> tuple[bool, bool]:
-            w = w.lower()
+            if "-" not in w:
+                return w in lex.given, w in lex.family
             first, *rest = w.split("-")
             return (w in lex.given or first in lex.given,
                     w in lex.family or bool(rest) and any(p in lex.family for p in (first, *rest)))
 
-        for i in range(n):
-            k = kind(i)
-            if k == "-" or k != "I" and tokens[i][2].lower() in TITLES:
+        for i in range(n - 1):
+            k = kinds[i]
+            if k == "-" or k != "I" and lower[i] in TITLES:
                 continue
             spans = []
             j = i + 1
-            if j < n:
-                gap = s[tokens[i][1] : tokens[j][0]]
-                if k == "I":
-                    if gap in (". ", "."):
-                        spans.append((i, j, "I F"))
+            gap = s[tokens[i][1] : tokens[j][0]]
+            if k == "I":
+                if gap in (". ", "."):
+                    spans.append((i, j, "I F"))
                     # two initials
-                    if gap in (". ", ".") and kind(j) == "I" and j + 1 < n and s[tokens[j][1] : tokens[j + 1][0]] in (". ", "."):
+                    if kinds[j] == "I" and j + 1 < n and s[tokens[j][1] : tokens[j + 1][0]] in (". ", "."):
                         spans.append((i, j + 1, "I I F"))
-                elif gap == " ":
-                    spans.append((i, j, "G F"))
-                    if kind(j) == "I" and j + 1 < n and s[tokens[j][1] : tokens[j + 1][0]] == ". ":
-                        spans.append((i, j + 1, "G I F"))
-                elif gap == ", ":
-                    if kind(j) == "I":
-                        spans.append((i, j, "F, I"))
-                    else:
-                        spans.append((i, j, "F, G"))
+            elif gap == " ":
+                spans.append((i, j, "G F"))
+                if kinds[j] == "I" and j + 1 < n and s[tokens[j][1] : tokens[j + 1][0]] == ". ":
+                    spans.append((i, j + 1, "G I F"))
+            elif gap == ", ":
+                spans.append((i, j, "F, I" if kinds[j] == "I" else "F, G"))
             for a, b, form in spans:
-                first, last = (b, a) if form.startswith("F,") else (a, b)
-                ka, kb = kind(first), kind(last)
+                first, last = (b, a) if form[0:2] == "F," else (a, b)
+                ka, kb = kinds[first], kinds[last]
                 if kb in ("I", "-"):
                     continue
-                wa, wb = tokens[first][2], tokens[last][2]
+                wa, wb = lower[first], lower[last]
                 given, family = known(wa)[0], known(wb)[1]
                 if ka == "aa" or kb == "aa":
                     if not (family and (given or ka == "I")):
                         if self.unknown and ka == kb and not (given or family):
-                            self._unknown(tokens, a, b, first, last, form)
+                            self._unknown(tokens, lower, a, b, first, last, form)
                         if not (given or family) or ka != kb:
                             continue
-                if ka != "I" and wa.lower() in TITLES or wb.lower() in TITLES:
+                if ka != "I" and wa in TITLES or wb in TITLES:
                     continue
                 shape = f"{ka} {kb}"
                 lexical = f"{'g' if given else '-'}{'f' if family else '-'}"
                 swapped = known(wb)[0] and known(wa)[1] and not (given and family)
                 x, y = tokens[a][0], tokens[b][1]
-                before = [t[2].lower() for t in tokens[max(0, a - 2) : a] if x - t[1] < 24]
+                before = [lower[q] for q in range(max(0, a - 2), a) if x - tokens[q][1] < 24]
                 between = s[tokens[a - 1][1] : x] if a else s[:x]
                 title = bool(before) and before[-1] in TITLES and between in (" ", ". ")
-                start = not s[:x].strip() or bool(re.search(r"[.?!;:\n]\s*$", s[:x]))
+                start = not s[:x].strip() or bool(re.search(r"[.?!;:\n]\s*$", s[max(0, x - 40) : x]))
                 after = WORD.match(s, y + 1) if s[y : y + 1] == " " else None
                 whole = not s[:x].strip(" \t\n—-–") and not s[y:].strip()
-                mark = "dash" if re.search(r"(?:—|--|–)\s?$", s[:x]) else "none"
+                mark = "dash" if re.search(r"(?:—|--|–)\s?$", s[max(0, x - 8) : x]) else "none"
                 feats = ["bias", f"form={form}", f"lex={lexical}", f"shape={shape}", f"form,lex={form},{lexical}", f"shape,lex={shape},{lexical}",
                          f"title={title}", f"start={start}", f"whole={whole}", f"dash={mark}", f"swapped={swapped}", f"hyphen={'-' in wb}",
                          f"prev={before[-1] if before and not start else '^'}", f"next={after.group().lower() if after else s[y : y + 1] or '$'}",
                          f"upper context={ka == 'AA' and s[max(0, x - 12) : x].upper() == s[max(0, x - 12) : x] and x > 3}",
-                         f"common={wa.lower() in COMMON or wb.lower() in COMMON}"]
+                         f"common={wa in COMMON or wb in COMMON}", f"lex,common={lexical},{(wa in COMMON) + (wb in COMMON)}"]
                 self._add(x, y, "name", feats)
 
-
-    def _unknown(self, tokens: list[tuple[int, int, str]], a: int, b: int, first: int, last: int, form: str) -> None:
-        """A lower-case pair with no word that is well known."""
+    def _unknown(self, tokens: list[tuple[int, int, str]], lower: list[str], a: int, b: int, first: int, last: int, form: str) -> None:
+        """A lower-case pair with no word that is well known. With weights, one that can't be chosen is left out."""
         s, lex = self.s, self.lexicon
-        wa, wb = tokens[first][2], tokens[last][2]
+        wa, wb = lower[first], lower[last]
         if wa in TITLES or wb in TITLES:
             return
         rare = f"{'g' if not lex.rare_given.isdisjoint(_parts(wa)[:2]) else '-'}{'f' if not lex.rare_family.isdisjoint(_parts(wb)) else '-'}"
         x, y = tokens[a][0], tokens[b][1]
-        before = tokens[a - 1] if a and x - tokens[a - 1][1] < 4 else None
-        prev = before[2].lower() if before else "^" if not a else s[x - 2 : x].strip() or "^"
-        after = tokens[b + 1][2].lower() if b + 1 < len(tokens) and tokens[b + 1][0] == y + 1 and s[y] == " " else s[y : y + 1] or "$"
+        prev = lower[a - 1] if a and x - tokens[a - 1][1] < 4 else "^" if not a else s[x - 2 : x].strip() or "^"
+        after = lower[b + 1] if b + 1 < len(tokens) and tokens[b + 1][0] == y + 1 and s[y] == " " else s[y : y + 1] or "$"
         whole = a == 0 and b == len(tokens) - 1 and not s[:x].strip(" \t\n—-–") and not s[y:].strip()
-        common = (wa in COMMON) + (wb in COMMON)
-        feats = [f"lower={rare}", f"lower,form={rare},{form}", f"lower,prev={prev}", f"lower,next={after}", f"lower,whole={rare},{whole}",
-                 f"lower,common={common}", f"lower,prev,rare={prev},{rare}", f"lower,short={min(len(wa), 4)},{min(len(wb), 4)}"]
-        if self.w is None or sum(self.w.get(f"name|{f}", 0.0) for f in feats) > 0:
-            self._add(x, y, "name", feats)
+        values = (rare, f"{rare},{form}", prev, after, f"{rare},{whole}", str((wa in COMMON) + (wb in COMMON)), f"{prev},{rare}", f"{min(len(wa), 4)},{min(len(wb), 4)}")
+        if isinstance(self.w, Weights) and sum([t.get(v, 0.0) for t, v in zip(self.w.lower, values)]) + self.w.bonus <= 0:
+            return
+        self._add(x, y, "name", [f"{g}={v}" for g, v in zip(LOWER, values)])
+
+
+LOWER = ("lower", "lower,form", "lower,prev", "lower,next", "lower,whole", "lower,common", "lower,prev,rare", "lower,short")
+
+
+class Weights(dict):
+    """Weights by feature, with those of unknown lower-case pairs by group, and the most that a transition can add to a name."""
+
+    def __init__(self, w: dict[str, float]):
+        super().__init__(w)
+        self.lower = [{f.partition("=")[2]: v for f, v in w.items() if f.startswith(f"name|{g}=")} for g in LOWER]
+        self.bonus = max([0.0, *(v for f, v in w.items() if ">" in f and "name" in f)]) * 2
 
 
 def _parts(w: str) -> list[str]:
@@ -326,52 +337,74 @@ def _parts(w: str) -> list[str]:
     return [w, *w.split("-")] if "-" in w else [w]
 
 
-# Frequent words that begin or fill title-case phrases but are no names.
+# Frequent words of the four languages, days and months, and words of streets.
 COMMON = frozenset(
-    "the a an and or but if is it in on at of to for from by with who what when where why how can could does did do has have "
-    "please yesterday between nothing anyone minutes looks rolled contact blue night monday tuesday wednesday thursday friday saturday sunday "
-    "january february march april may june july august september october november december hill lantern relay standup street road lane way "
-    "north south east west old new high upper lower calle plaza rue place avenue court drive row box apt puerto our my your their this that these "
-    "der die das ein eine wer wie was gestern ich wir mit ohne für und le la les un une est hier je nous avec sans pour et el los las una ayer yo con sin por que".split())
+    "the a an and or but if is are was were it its in on at of to for from by with who what when where why how can could does did do has have had not no yes so as be been this that these those "
+    "my our your their his her there here then than just also only all any some each more most other same new old first second last next please thanks thank hello hi dear sorry ok "
+    "today tomorrow yesterday monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
+    "street road lane way avenue drive court place square north south east west upper lower saint rue calle plaza avenida paseo puerto box suite apartment apt "
+    "der die das ein eine und oder aber wer wie was wo wann ich wir ihr sie er es mit ohne für von zu im am um auf aus bei nach gestern heute morgen nicht "
+    "le la les un une des et ou mais qui que quoi où quand je nous vous il elle est hier avec sans pour dans sur pas "
+    "el los las una y o pero quien como cuando yo ella con sin por para en de del al ayer hoy no".split())
 
 
 # -- the model -------------------------------------------------------------------------------------
-ADJACENT = 3
+def _score(w: dict[str, float], features: list[str]) -> float:
+    return sum([w.get(f, 0.0) for f in features])
 
 
-def _score(w: dict[str, float], features: list[str]) -> float:
-    return sum(w.get(f, 0.0) for f in features)
+def _between(s: str, a: int, b: int) -> str:
+    gap = s[a:b]
+    return "line" if "\n" in gap else "comma" if "," in gap or ";" in gap else "blank" if not gap.strip() else "mark"
+
+
+def transition(t: Text, q: int, k: int) -> str:
+    """Feature of segment ``k`` right after segment ``q``."""
+    (_, b, before, _), (a, _, kind, _) = t.segments[q], t.segments[k]
+    return f"{before}>{kind},{_between(t.s, b, a)}"
+
+
+def _neighbours(t: Text) -> tuple[list[int], list[list[int]]]:
+    """For each segment the number of those (by end) that end out of reach before it, and those within reach."""
+    by_end = sorted(range(len(t.segments)), key=lambda k: t.segments[k][1])
+    ends = [t.segments[k][1] for k in by_end]
+    far, near = [], []
+    for a, _, _, _ in t.segments:
+        i, j = bisect_left(ends, a - NEAR), bisect_right(ends, a)
+        far.append(i)
+        near.append(by_end[i:j])
+    return far, near
 
 
 def decode(t: Text, w: dict[str, float]) -> list[tuple[int, int, str]]:
-    """Best set of segments that don't overlap, as (start, end, kind) in the folded text."""
+    """Best chain of segments that don't overlap, as (start, end, kind) in the folded text.
+
+    Segments are taken by start; all that end before one begins are done by then. Those out of reach
+    count only by the best of them, those within reach one by one with their transition.
+    """
     segs = t.segments
     if not segs:
         return []
-    best_end: list[int] = []          # ends in ascending order
-    best_val: list[tuple[float, int]] = []   # best value of any chain that ends there or before
+    if len(segs) == 1:
+        a, b, kind, feats = segs[0]
+        return [(a, b, kind)] if _score(w, feats) + w.get(f"O>{kind}", 0.0) > 0 else []
+    far, near = _neighbours(t)
+    by_end = sorted(range(len(segs)), key=lambda k: segs[k][1])
     value, back = [0.0] * len(segs), [-1] * len(segs)
-    from bisect import bisect_right
-
-    recent: list[int] = []
-    for k, (a, b, kind, feats) in enumerate(segs):
-        base, prev = 0.0, -1
-        p = bisect_right(best_end, a) - 1
-        if p >= 0:
-            base, prev = best_val[p]
-        for q in recent:
-            if 0 <= a - segs[q][1] <= ADJACENT:
-                v = value[q] + w.get(f"{segs[q][2]}>{kind}", 0.0)
-                if v > base:
-                    base, prev = v, q
+    top: list[tuple[float, int]] = [(0.0, -1)]  # best of the first n segments by end
+    for k, (_, _, kind, feats) in enumerate(segs):
+        while len(top) <= far[k]:
+            q = by_end[len(top) - 1]
+            top.append(max(top[-1], (value[q], q)))
+        base, prev = top[far[k]]
+        base += w.get(f"O>{kind}", 0.0)
+        for q in near[k]:
+            v = value[q] + w.get(transition(t, q, k), 0.0)
+            if v > base:
+                base, prev = v, q
         value[k], back[k] = base + _score(w, feats), prev
-        top = best_val[-1] if best_val else (0.0, -1)
-        best_end.append(b)
-        best_val.append((value[k], k) if value[k] > top[0] else top)
-        recent.append(k)
-        while recent and segs[recent[0]][1] < a - MAX_SPAN:
-            recent.pop(0)
-    out, k = [], best_val[-1][1]
+    best, k = max([(0.0, -1), *((v, n) for n, v in enumerate(value))])
+    out = []
     while k >= 0:
         out.append(segs[k][:3])
         k = back[k]
@@ -380,34 +413,45 @@ def decode(t: Text, w: dict[str, float]) -> list[tuple[int, int, str]]:
 
 def _lse(xs: list[float]) -> float:
     m = max(xs)
-    return m + math.log(sum(math.exp(x - m) for x in xs))
+    return m + math.log(sum([math.exp(x - m) for x in xs]))
 
 
-def expectations(t: Text, w: dict[str, float]) -> tuple[float, list[float]]:
-    """log Z and the probability of each segment, by forward and backward sums (no transitions)."""
+def expectations(t: Text, w: dict[str, float]) -> tuple[float, list[float], dict[tuple[int, int], float]]:
+    """log Z, the probability of each segment, and of each pair of neighbours within reach, by forward and backward sums."""
     segs = t.segments
-    points = sorted({0, *[x for a, b, _, _ in segs for x in (a, b)]})
-    place = {p: i for i, p in enumerate(points)}
-    scores = [max(-25.0, min(25.0, _score(w, f))) for _, _, _, f in segs]
-    fwd = [0.0] * len(points)
-    by_end: dict[int, list[int]] = {}
-    for k, (a, b, _, _) in enumerate(segs):
-        by_end.setdefault(place[b], []).append(k)
-    for i in range(1, len(points)):
-        fwd[i] = _lse([fwd[i - 1], *[fwd[place[segs[k][0]]] + scores[k] for k in by_end.get(i, ())]])
-    bwd = [0.0] * len(points)
-    by_start: dict[int, list[int]] = {}
-    for k, (a, b, _, _) in enumerate(segs):
-        by_start.setdefault(place[a], []).append(k)
-    for i in range(len(points) - 2, -1, -1):
-        bwd[i] = _lse([bwd[i + 1], *[bwd[place[segs[k][1]]] + scores[k] for k in by_start.get(i, ())]])
-    z = fwd[-1]
-    return z, [math.exp(fwd[place[a]] + scores[k] + bwd[place[b]] - z) for k, (a, b, _, _) in enumerate(segs)]
+    n = len(segs)
+    far, near = _neighbours(t)
+    by_end = sorted(range(n), key=lambda k: segs[k][1])
+    score = [max(-25.0, min(25.0, _score(w, f))) for _, _, _, f in segs]
+    first = [w.get(f"O>{kind}", 0.0) for _, _, kind, _ in segs]
+    step = {(q, k): w.get(transition(t, q, k), 0.0) for k in range(n) for q in near[k]}
+    fwd = [0.0] * n
+    done = [0.0]  # log sum over the first segments by end, with none at all
+    for k in range(n):
+        while len(done) <= far[k]:
+            done.append(_lse([done[-1], fwd[by_end[len(done) - 1]]]))
+        fwd[k] = score[k] + _lse([done[far[k]] + first[k], *[fwd[q] + step[q, k] for q in near[k]]])
+    z = _lse([0.0, *fwd])
+    # after a segment: nothing more, or a segment that it is out of reach of, or a neighbour
+    after: list[list[int]] = [[] for _ in range(n)]
+    for k in range(n):
+        for q in near[k]:
+            after[q].append(k)
+    bwd = [0.0] * n
+    rest = [0.0] * (n + 1)  # log sum of what starts from the k-th segment by start on, out of reach, with none at all
+    starts = [s[0] for s in segs]
+    for k in range(n - 1, -1, -1):
+        i = bisect_right(starts, segs[k][1] + NEAR)
+        bwd[k] = _lse([rest[i], *[step[k, j] + score[j] + bwd[j] for j in after[k]]])
+        rest[k] = _lse([rest[k + 1], first[k] + score[k] + bwd[k]])
+    p = [math.exp(fwd[k] + bwd[k] - z) for k in range(n)]
+    pairs = {(q, k): math.exp(fwd[q] + x + score[k] + bwd[k] - z) for (q, k), x in step.items()}
+    return z, p, pairs
 
 
 def train(labelled: list[tuple[str, list[tuple[int, int, str]], Lexicon]], epochs: int = 6, rate: float = 0.25, l2: float = 1e-4,
           unknown: bool = True) -> dict[str, float]:
-    """Weights by stochastic gradient ascent (Adagrad) on the log-likelihood."""
+    """Weights of spans and transitions by stochastic gradient ascent (Adagrad) on the log-likelihood."""
     data = []
     for text, gold, lexicon in labelled:
         t = Text(text, lexicon, unknown=unknown)
@@ -416,20 +460,28 @@ def train(labelled: list[tuple[str, list[tuple[int, int, str]], Lexicon]], epoch
             fit = [(min(b, q) - max(a, p), -(max(b, q) - min(a, p)), n) for n, (p, q, k, _) in enumerate(t.segments) if k == kind and min(b, q) > max(a, p)]
             if fit:
                 y[max(fit)[2]] = 1.0
-        data.append((t, y))
+        if t.segments:
+            data.append((t, y))
     w: dict[str, float] = {}
     g2: dict[str, float] = {}
     for _ in range(epochs):
         for t, y in data:
-            if not t.segments:
-                continue
-            _, p = expectations(t, w)
+            _, p, pairs = expectations(t, w)
             grad: dict[str, float] = {}
-            for (_, _, _, feats), yi, pi in zip(t.segments, y, p):
-                d = yi - pi
+            alone = [yi - pi for yi, pi in zip(y, p)]  # what is left of these has no neighbour before it
+            for (_, _, _, feats), d in zip(t.segments, alone):
                 if abs(d) > 1e-4:
                     for f in feats:
                         grad[f] = grad.get(f, 0.0) + d
+            for (q, k), x in pairs.items():
+                d = y[q] * y[k] - x
+                if abs(d) > 1e-4:
+                    f = transition(t, q, k)
+                    grad[f] = grad.get(f, 0.0) + d
+                alone[k] -= d
+            for (_, _, kind, _), d in zip(t.segments, alone):
+                if abs(d) > 1e-4:
+                    grad[f"O>{kind}"] = grad.get(f"O>{kind}", 0.0) + d
             for f, d in grad.items():
                 d -= l2 * w.get(f, 0.0)
                 g2[f] = g2.get(f, 1e-6) + d * d
@@ -444,7 +496,7 @@ def weights() -> dict[str, float]:
     known = pii_training.sentences()
     # the features of unknown lower-case pairs are their own; learning them leaves the other weights as they are
     lower = {f: v for f, v in train(known + pii_training.lower_case()).items() if f.startswith("name|lower")}
-    return train(known, unknown=False) | lower
+    return Weights(train(known, unknown=False) | lower)
 
 
 def find(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -490,7 +542,10 @@ def lexicon_table(texts: DataFrame, text: str = "text") -> DataFrame:
     low = low.join(named.select("word").distinct(), "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_low"))
     n_low = F.coalesce("n_low", F.lit(0))
     kept = named.join(low, "word", "left").filter(n_low <= F.col("n_title"))
-    role = F.when((F.col("n") >= MIN_PARTNERS) & (n_low * 2 <= F.col("n_title")), F.upper("role")).otherwise(F.col("role"))
+    # how many partners well connected words have, of those with more than one
+    usual = {r.role: r.usual for r in named.filter("n > 1").groupBy("role").agg(F.percentile_approx("n", 0.9).alias("usual")).collect()}
+    least = F.when(F.col("role") == "g", usual.get("g", 0) * SURE_SHARE).otherwise(usual.get("f", 0) * SURE_SHARE)
+    role = F.when((F.col("n") > 1) & (F.col("n") >= least) & (n_low * 2 <= F.col("n_title")), F.upper("role")).otherwise(F.col("role"))
     return cut(kept.select("word", F.concat(role, "word").alias("code")), "names")
 
 

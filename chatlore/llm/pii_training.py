@@ -1,8 +1,9 @@
 """Labelled sentences for the segment model, composed at random from a fixed seed.
 
-Names are invented from syllables, numbers follow public formats, and hard negatives count things
-(builds, parts, hosts, offsets) in the same formats. Each sentence comes with a lexicon that knows
-most of its names, so that the model learns how far to trust it.
+Names are invented from syllables, numbers follow public formats, and hard negatives count things in
+the same formats. Each sentence comes with a lexicon that knows most of its names, so that the model
+learns how far to trust it. The sentences around them are of everyday office talk, invented for this
+purpose; a test holds that none of their fixed phrases stands in the archive.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import random
 
 from chatlore.llm.pii import WORD, Lexicon
 
-SEED, N = 20010205, 2600
+SEED, N = 20010205, 3600
 
 _ON = "b c d f g h j k l m n p r s t v w z br dr fr gr kl pr st tr th sch".split()
 _VO = "a e i o u ie ei ou á é ö ü".split()
@@ -23,33 +24,34 @@ def _stem(r: random.Random, lo: int, hi: int) -> str:
 
 
 FILL = [
-    "The importer merged the whole batch after lunch.", "Can someone check why the cache dropped two lines?", "I restarted it again.",
-    "Nothing in {w} explains why the relay held back the list.", "My guess: {w} and {w} share a lock.", "Gestern hat der Import die Liste gekürzt.",
-    "Hier le relais a perdu la page.", "With {w} turned off it waits, and with {w} on it fails.", "When the window is narrow, so I went, it failed; nobody touched {w}.", "Ayer la pasarela repitió la página.", "ok", "thanks", "Rolled back {w} to build {n}, the parser still failed.",
-    "@{w} I grepped {n} day files for {w}.", "Is it normal that {w} waits?", "Who owns {w} these days, and is {w} part of it?", "",
+    "Lunch moved to one o'clock.", "Did you see the game last night?", "I forgot my umbrella again.", "Nobody likes {w} in the rain.", "My tea went cold while {w} was loading.",
+    "Wir haben gestern lange gewartet.", "Le café du coin est fermé.", "Mañana hay mercado en la plaza.", "If {w} breaks we go home, and if {w} holds we stay.", "ok", "sure", "Updated {w} to {n}, all good now.",
+    "@{w} we counted {n} apples in {w}.", "Does {w} need a lid?", "Which of these belongs to {w}, and should {w} stay?", "", "Green tea or black coffee?", "It snowed all weekend.", "The Long Winter was a dull film.", "Half of {w} burnt, the other half did not.",
 ]
 NAME_CTX = [
-    "{X}", "— {X}", "-- {X}", "yours, {X}", "{X} (nights)", "{X}, archive desk", "ask {X}", "ask {X} about it", "blame {X} for that", "I talked to {X} about the backlog",
-    "please add {X} to the discussion", "{X} has the keys until Friday", "is {X} still on leave?", "merci à {X} pour la revue", "Gruß von {X}", "lo escribió {X} ayer",
-    "the badge says {X}", "new starter on Monday: {X}", "half of this came from {X}, the rest from the relay", "as {X} said, the counter is right", "{X}: I never touched it",
-    "{X} did it again", "{X} → mute list", "cc {X}", "danke {X}", "met {X} at lunch", "signed by {X}", "regards, {X}", "{X} wrote this", "from {X}", "{X} is on holiday", "thanks {X}!",
+    "{X}", "— {X}", "-- {X}", "– {X}", "cheers, {X}", "{X} (evenings)", "{X}, front desk", "go and see {X}", "have you met {X} yet?", "{X} sang at the party", "I sat next to {X} on the train",
+    "could {X} bring the cake?", "{X} owes me a coffee", "ask {X}", "is {X} coming to dinner?", "grüß {X} recht schön", "c'est {X} qui chante", "saluda a {X} de mi parte", "was it {X} or someone else", "{X} → kitchen duty", "cc {X}", "merci {X}", "danke {X}", "mil gracias {X}",
+    "{X} painted the fence", "photo by {X}", "sincerely, {X}", "{X} won the raffle", "from {X}", "{X} is my neighbour", "well done {X}!", "according to {X}, we are late", "{X}: sorry for the noise", "by {X}", "to {X}", "with {X}", "for {X}", "{X} says hello",
+    "the new teacher is called {X}", "we all miss {X}", "it was {X}, not me", "the parcel is for {X}", "invite {X} too", "{X} and I went home", "Herr Ober fragt nach {X}", "avec {X}", "con {X}", "mit {X}", "de {X}", "any news from {X}?", "tell {X} that dinner is cold", "blame {X}",
 ]
-PHONE_CTX = ["{X}", "tel {X}", "tel. {X}", "pager {X}", "fax {X}", "fax (yes, fax) {X}", "call me on {X} if it breaks", "the pager is {X}", "new number {X}, old one is dead",
-             "text {X} after eight", "Rückruf unter {X}", "rappelez-moi au {X} ce soir", "{X} goes straight to voicemail", "my mobile: {X}", "either me or {X} works", "reach me at {X}", "llámame al {X}"]
-EMAIL_CTX = ["{X}", "write to {X}", "mailto:{X}", "{X} for rota swaps", "send the dump to {X} please", "cc {X} on the next one", "my new address is {X}", "forwarded from {X} this morning",
-             "{X} bounced again", "écrivez à {X}", "Mail bitte an {X}", "nobody reads {X}", "<{X}>", "ask me ({X}) for the export", "correo: {X}"]
-ID_CTX = ["passport no. {X}", "SSN {X}", "national id: {X}", "DNI {X}", "Steuer-ID {X}", "driver's licence {X}", "tax number {X}", "the form wants an id, mine is {X}", "{X} was pasted into the ticket by mistake",
-          "they printed {X} on the badge, take that down", "for the visitor list: {X}", "visitor {N} / {X} needs a day pass", "my passport is {X}", "numéro de sécurité sociale {X}", "Personalausweis {X}", "NIE {X}"]
-ADDRESS_CTX = ["{X}", "find me at {X}", "we moved, the office is at {X}", "dinner is at {X} tonight", "ship the spare keyboard to {X}", "parcel for {N} went to {X} by accident", "{X} is the right door, not the old one",
-               "livraison au {X}", "lives at {X}", "Lieferung an {X}", "envíalo a {X}", "{N}\n{X}\ntel {P}\n{E}", "{N}\n{X}"]
+PHONE_CTX = ["{X}", "tel {X}", "tel. {X}", "tel: {X}", "fax {X}", "fax: {X}", "pager {X}", "phone {X}", "mobile {X}", "dial {X} for the bakery", "the florist's number is {X}", "you can ring {X} any evening", "sms {X} when you land", "Anruf an {X} genügt", "telefonisch unter {X}",
+             "appelez le {X} avant midi", "mi móvil: {X}", "marca {X} desde casa", "{X} is my cell", "{X} or {X2} after work", "my landline became {X}", "voicemail at {X}", "{X} (ring twice)", "reach grandma on {X}", "hotline {X}", "{X} rings but nobody picks up", "wähl {X}", "cell: {X}",
+             "try {X} instead", "leave a voicemail on {X} if you can", "the fax machine is at {X}"]
+EMAIL_CTX = ["{X}", "cc {X}", "mail the recipe to {X}", "{X} wants the photos", "my inbox is {X}", "subscribe with {X} for the choir", "got it from {X} on Sunday", "{X} is full again", "schreib an {X}", "envoyez la photo à {X}", "<{X}>", "({X})", "correo: {X}", "e-mail: {X}",
+             "was {X} a typo?", "rsvp to {X} by noon", "{X}, {X2}", "drop {X} a note"]
+ID_CTX = ["passport-no {X}", "passport# {X}", "SSN {X}", "ssn: {X}", "nat. id card {X}", "DNI {X}", "NIE: {X}", "Steuer-Id. {X}", "Steuernummer: {X}", "driver licence {X}", "driving licence no. {X}", "tax id {X}", "social security {X}", "id card {X}", "my id is {X}",
+          "the bank asked for an id, so I gave {X}", "the visa form shows passport-no {X}", "identity card {X} got lost on the ferry", "visitor badge for {N}: {X}", "{N}, id {X}, arrives by train", "numéro fiscal {X}", "sécurité sociale : {X}", "Reisepass {X}", "Personalausweis {X}", "Führerschein {X}",
+          "pasaporte {X}", "permis de conduire {X}", "carné {X}", "why is {X} printed on my mug?", "someone wrote {X} on the wall", "delete {X} from the form, it is mine", "{N} / {X}", "I typed {X} by pure chance", "NINO {X}", "{X} belongs to {N}"]
+ADDRESS_CTX = ["{X}", "pick me up at {X}", "the shop moved to {X}", "party at {X} on Sunday", "send flowers to {X}", "the bus stops near {X}", "{X} has a red door", "rendez-vous au {X}", "she grew up at {X}", "Treffpunkt: {X}", "nos vemos en {X}", "{N}\n{X}\ntel {P}\n{E}", "{N}\n{X}", "{N}, {X}",
+               "{X}\ntel {P}", "deliver the sofa to {X}", "at {X}", "our address: {X}", "is {X} far from the station?", "meet in front of {X} at noon", "for {N}: {X}", "the letter for {N} reached {X} last week"]
 THING = [
-    "part no. {d3}-{d2}-{d4} of the printer is out of stock", "build {d3}.{d3}.{d4} is slower than {d1}.{d2}", "offset {d9} size {d4}, that is where it stops", "epoch {e10} is off by one day",
-    "the host answers on 10.{d3}.{d3}.{d3} port {d4}", "copies {d3}.{d3}.{d4} bytes per run, {d2} runs a day", "ticket TK-{d4}-{d2} was closed on 20{d2}-0{d1}-1{d1}", "see zgram {d8}, it has the trace",
-    "message {d8} has the log", "icon@{d1}x.png is missing", "lunch: {d2} @ {d1}.50 each, room {d2} of the annex", "{d3}-{d3} files merged, {d2} left on lane {d1}", "serial {d3}-{d2}-{d4} on the printer",
-    "keeper of build {d1}.{d2}.{d3}", "@{w} / room {d3}", "instance {w}@{d2} means page {d2}, not a mailbox", "Amber Gate was the name of the {d1}th release", "Green Kettle beats Iron Chair by {d1} to {d1} in the Tuesday Review poll",
-    "hash {d8} fails, the one before works", "hash {d4}a{d6} fails", "back to build {d2}, the long row", "{d2} times this week in the last lane", "{d3}, the short way", "{d1} of the best place", "checksum {d7}c",
-    "order {d3}.{d3}.{d4} of cables", "parts {d3}-{d3}-{d4} and {d3}-{d3}-{d4}", "version {d3}.{d3}.{d4}", "see page {d3} line {d4}", "The Second Window by the Long Thread", "Between {d2}:{d2} and {d2}:{d2} it ignored the list",
-    "Silver Bridge is next", "Daily Digest for Green Kettle", "model {d3}-{d2}-{d4} of the scanner", "item {d8} from batch {d6}", "commit {d8} by the bot", "{d4} messages in {d2} rooms", "it took {d3} {d4} {d3} bytes",
+    "part {d3}-{d2}-{d4} fits the old lamp", "serial {d3}-{d2}-{d4} of the kettle", "version {d3}.{d3}.{d4} runs warmer than {d1}.{d2}", "size {d9} at offset {d4}", "epoch {e10} was a Sunday", "the server at 10.{d3}.{d3}.{d3} port {d4}", "we sent {d3}.{d3}.{d4} bytes within {d2} hours",
+    "ticket AB-{d4}-{d2} from 20{d2}-0{d1}-1{d1}", "letter {d8} is a joke", "record {d8} shows a cat", "logo@{d1}x.png looks odd", "coffee: {d2} @ {d1}.20 a cup, row {d2} of the hall", "{d3}-{d3} plates washed, {d2} in the sink", "item {d3}-{d2}-{d4} on the shelf",
+    "goal keeper of the {d1}.{d2} league", "@{w} / table {d3}", "seat {w}@{d2} is upstairs", "Silver Moon was the title of song {d1}", "Red Lion beats Old Oak by {d1} to {d1} in the Sunday League", "checksum {d8} holds", "hash {d4}a{d6} differs", "commit {d4}e{d6} by the bot", "route {d2}, the scenic one", "{d2} laps this week on the inner track",
+    "{d3}, the quiet side", "{d1} of the tall trees", "barcode {d7}c", "order {d3}.{d3}.{d4} of beans", "parts {d3}-{d3}-{d4} and {d3}-{d3}-{d4} are blue", "chapter {d3} page {d4}", "The Third Door by the Green River", "From {d2}:{d2} till {d2}:{d2} the shop sleeps", "Golden Gate is closed", "Weekly Menu for Red Lion",
+    "model {d3}-{d2}-{d4} of the toaster", "lot {d8} out of bin {d6}", "invoice {d8} is paid", "{d4} stamps in {d2} albums", "it weighs {d3} {d4} {d3} grams", "isbn {d3}-{d1}-{d4}-{d4}", "score {d3}-{d2}", "{d3}-{d2}-{d4} pieces in the puzzle of the cat", "{d3}.{d3}.{d4} times around the lake", "sku {d3} {d2} {d4}",
+    "{d3} {d3} {d4} is the sum of the votes", "{d10} bytes free", "timestamp {e10}", "{d8} rows in the ledger", "bug {d6}-{d4} is old", "{d3}-{d2}-{d4} of the drill", "2001-0{d1}-1{d1} {d2}:{d2}:{d2}", "{d1}.{d1}.{d1}-{d2}", "New Year starts on Monday", "Lost Bottle Green Hat", "North Wind and Cold Soup", "Big Table, Small Chair", "please bring Brown Bread and White Wine",
+    "on Monday Morning or Friday Evening", "User Guide for Blue Box", "Open Source Tea Club", "{w}@{w} is a tag, not mail", "@{w} wrote {d2} poems", "the {d2} way road", "{d2} long lane songs", "{d1} place mats and a square", "{d3} drive letters",
 ]
 
 
@@ -67,7 +69,7 @@ def _phone(r: random.Random) -> str:
 
 
 def _email(r: random.Random) -> str:
-    local = r.choice([_stem(r, 1, 2), f"{_stem(r, 1, 2)}.{_stem(r, 1, 2)}", f"{_stem(r, 1, 2)}_{_stem(r, 1, 2)}", f"{_stem(r, 1, 1)}-{_stem(r, 1, 1)}", f"{_stem(r, 1, 2)}{r.randint(1, 99)}", f"{_stem(r, 1, 1)}+archive"])
+    local = r.choice([_stem(r, 1, 2), f"{_stem(r, 1, 2)}.{_stem(r, 1, 2)}", f"{_stem(r, 1, 2)}_{_stem(r, 1, 2)}", f"{_stem(r, 1, 1)}-{_stem(r, 1, 1)}", f"{_stem(r, 1, 2)}{r.randint(1, 99)}", f"{_stem(r, 1, 1)}+news"])
     domain = r.choice(["example.org", "example.com", "mail.example", "lists.example.net", "corp.test", "inbox.invalid", "post.example"])
     local = local.translate(str.maketrans("áéöü", "aeou"))
     x = r.choice([f"{local}@{domain}"] * 4 + [f"{local} (at) {domain.replace('.', ' (dot) ')}", f"{local} [at] {domain}", f"{local} @ {domain}", f"{local} (at) {domain}"])
@@ -101,9 +103,9 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
 
         def name() -> tuple[str, str]:
             g, f = _stem(r, 1, 2), _stem(r, 2, 3)
-            if r.random() < 0.85:
+            if r.random() < 0.9:
                 given.add(g)
-            if r.random() < 0.85:
+            if r.random() < 0.9:
                 family.add(f)
             G, Fa = g.title(), f.title()
             if r.random() < 0.12:
@@ -120,11 +122,12 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
             return title, x
 
         parts: list[tuple[str, str | None]] = []
+        make = {"phone": _phone, "email": _email, "id_number": _id, "address": _address}
 
         def put(context: str, kind: str, value: str) -> None:
-            rest = context
+            rest = context.replace("{X2}", "{2}")
             while rest:
-                k = min((i for i in (rest.find(m) for m in ("{X}", "{N}", "{P}", "{E}")) if i >= 0), default=-1)
+                k = min((i for i in (rest.find(m) for m in ("{X}", "{N}", "{P}", "{E}", "{2}")) if i >= 0), default=-1)
                 if k < 0:
                     parts.append((rest, None))
                     break
@@ -140,7 +143,7 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
                 elif m == "{E}":
                     parts.append((_email(r), "email"))
                 else:
-                    parts.append((value, kind))
+                    parts.append((make[kind](r) if m == "{2}" else value, kind))
                 rest = rest[k + 3 :]
 
         def plain() -> str:
@@ -177,12 +180,13 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
                     x = x[:k] + v + x[k + len(c) + 2 :]
                 parts.append((x, None))
             else:
-                parts.append((" ".join(_stem(r, 2, 3) for _ in range(r.randint(2, 5))), None))
+                x = " ".join(_stem(r, 2, 3) for _ in range(r.randint(2, 5)))
+                parts.append((x.title() if r.random() < 0.5 else x, None))
             parts.append((r.choice([" ", ". ", "\n"]), None))
         if r.random() < 0.4:
             parts.append((plain(), None))
         # a few common words are in every lexicon by mistake
-        given.update(r.sample(["iron", "green", "second", "the", "daily"], 1 if r.random() < 0.2 else 0))
+        given.update(r.sample(["red", "green", "silver", "the", "old"], 1 if r.random() < 0.2 else 0))
         text, gold = "", []
         for x, kind in parts:
             if kind:
@@ -193,8 +197,8 @@ def sentences(n: int = N, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
 
 
 # Ordinary lower-case words that stand where a name could.
-ORDINARY = ("people list lists owner again everyone parser relay cache mailing group about it that one thread page line batch file files day week build server queue "
-            "reader index editor counter lock waits fails slower after lunch before noon nobody somebody else morning today never once more less same thing other side").split()
+ORDINARY = ("people friends neighbours everyone nobody somebody anyone again about it that one kitchen garden window door table chair water bread coffee music rain snow morning evening "
+            "tonight later before after lunch dinner never once more less same thing other side house train school work tired slow fast hungry late early much very really just then but and or so").split()
 
 
 def lower_case(n: int = N // 2, seed: int = SEED + 1) -> list[tuple[str, list[tuple[int, int, str]], Lexicon]]:
@@ -209,9 +213,17 @@ def lower_case(n: int = N // 2, seed: int = SEED + 1) -> list[tuple[str, list[tu
         seen = (0.85, 0.85) if is_name else (0.06, 0.06)
         lex = Lexicon((), (), [g] if r.random() < seen[0] else [], [f] if r.random() < seen[1] else [])
         x = f"{f}, {g}" if r.random() < 0.1 else f"{g} {f}"
-        ctx = r.choice([c for c in NAME_CTX if "{N}" not in c])
+        ctx = r.choice(NAME_CTX)
         ctx = ctx.lower().replace("{x}", "{X}") if r.random() < 0.5 else ctx
         left = r.choice(FILL).replace("{w}", _stem(r, 2, 3)).replace("{n}", str(r.randint(1, 900))) + " " if r.random() < 0.4 else ""
         text, at = left + ctx.replace("{X}", x), len(left) + ctx.index("{X}")
         out.append((text, [(at, at + len(x), "name")] if is_name else [], lex))
     return out
+
+
+def phrases() -> list[str]:
+    """All fixed phrases of the sentences around what is labelled."""
+    import re
+
+    every = [*FILL, *NAME_CTX, *PHONE_CTX, *EMAIL_CTX, *ID_CTX, *ADDRESS_CTX, *THING]
+    return sorted({p.strip() for c in every for p in re.split(r"\{[^{}]*\}|\n", c) if p.strip()})
