@@ -6,9 +6,12 @@ writes headings as ``# title``, list items as ``- item`` or ``1. item``, code in
 indented by four spaces, formulas between dollar signs, and drops all other marks. Code and formulas
 of any number of lines are taken out whole before the rules and put back as they are after them.
 
-Content is then located by line blocks: text lengths are summed over a sliding window of lines;
-a block that reaches ``surge`` opens a stretch of content, the next empty block ends it, and the
-lines between are kept. With the default of one character only lines without text go.
+Content is then located by line blocks: text lengths are summed over a sliding window of lines; a
+block that reaches ``surge`` of the largest block of the text opens a stretch of content, the next
+empty block ends it, and the lines between are kept. So short lines apart from the text (navigation,
+footers) go, while a text of even lines stays whole, whatever its length; code and formulas are text
+of any length. A text holds markup if what is left by the stripping isn't the text itself
+(``residue``); ``kinds`` names what was there and spares the stripping of texts that can't have any.
 
 Defined cases: null gives null text and no kinds, empty and blank text give themselves emptied;
 repeated rows give repeated results; all other columns stay. Everything is a JVM expression.
@@ -30,7 +33,7 @@ TAGS = ("a abbr address article aside audio b base bdi bdo big blockquote body b
         "ol option p param pre q ref s samp script section select small source span strike strong style sub summary "
         "sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr").split()
 _ATTR = r"""(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>`]+)|\s+(?:disabled|checked|selected|hidden|async|defer|open|required|readonly))"""
-TAG = rf"(?i)<(?:/(?:{'|'.join(TAGS)})\s*|(?:{'|'.join(TAGS)}){_ATTR}{{0,100}}\s*/?)>"
+TAG = rf"(?i)<(?:/(?:{'|'.join(TAGS)})\s*|(?:{'|'.join(TAGS)}){_ATTR}*+\s*/?)>"
 COMMENT = r"(?s)<!--.*?-->"
 _NAMES = sorted({k[:-1] for k in html5 if k.endswith(";")})
 CHAR_REF = rf"&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_NAMES)});"
@@ -49,7 +52,7 @@ PATTERNS: dict[str, list[str]] = {
         r"(?<![\w~])~~(?=[^\s~])[^~\n]*(?<=[^\s~])~~(?![\w~])",
         r"!?\[[^\[\]\n]*\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)",
         r"(?m)^ {0,3}>{1,3}[ \t]+\S",
-        r"(?m)^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*){1,500}\|?[ \t]*$",
+        r"(?m)^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*+:?-{2,}+:?[ \t]*+)++\|?[ \t]*$",
         r"(?m)^ {0,3}[-*+][ \t]+\S[^\n]*\n(?:[ \t]*\n)?(?: {0,3}|\t)[-*+][ \t]+\S",
         r"(?m)^ {0,3}\d{1,3}[.)][ \t]+\S[^\n]*\n(?:[ \t]*\n)?(?: {0,3}|\t)\d{1,3}[.)][ \t]+\S",
     ],
@@ -75,7 +78,7 @@ PATTERNS: dict[str, list[str]] = {
         r"(?<![\\$\w])\$[A-Za-z]\$(?![\w$])",
     ],
 }
-WINDOW, SURGE = 3, 1
+WINDOW, SURGE = 3, 0.125
 
 
 def kinds(text: Column) -> Column:
@@ -106,19 +109,24 @@ STRIP: list[tuple[str, str]] = [
     (r"(?m)^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- "),
     (r"(?m)^ {0,3}[*+][ \t]+", "- "),
     (r"(?m)^ {0,3}>{1,3}[ \t]+", ""),
-    (r"(?m)^[ \t]*(?:\{\|[^\n]*|\|\}|\|-|\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*){1,500}\|?)[ \t]*$", ""),
+    (r"(?m)^[ \t]*(?:\{\|[^\n]*|\|\}|\|-|\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*+:?-{2,}+:?[ \t]*+)++\|?)[ \t]*$", ""),
     (r"(?m)^[ \t]*\|[ \t]*([^\n]*?)[ \t]*\|?[ \t]*$", "$1"),
     # links, templates, emphasis
     (r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)", "$1"),
     (r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]", "$1"),
     (r"\[https?://[^\s\]]+\s([^\]\n]*)\]", "$1"),
-    (r"\{\{[^{}\n]+\}\}", ""),
+    # a template of words is text, so are its arguments without a name; other templates are calls
+    (r"\{\{[^{}|\n]*\|(?=[^{}=\n]*\}\})(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", "$1"),
+    (r"\{\{\s*([^{}|\s]+(?:[ \t]+[^{}|\s]+)+)\s*\}\}", "$1"), (r"\{\{[^{}\n]+\}\}", ""),
     (r"\\(?:cite|ref|label|footnotemark|pageref|vspace|hspace|input|include|bibliography|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", ""),
-    (r"\\(?:emph|text(?:bf|it|tt|sc|rm|sf)|underline|mbox|footnote|caption|title|author)\*?\{([^{}\n]*)\}", "$1"),
+    # commands in commands, from the inside out
+    *[(r"\\(?:emph|text(?:bf|it|tt|sc|rm|sf)|underline|mbox|footnote|caption|title|author|href\{[^{}\n]*\}|textcolor\{[^{}\n]*\})\*?\{([^{}\n]*)\}", "$1")] * 4,
+    (r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", "$1"),
     (r"(?<![*\w])\*\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*\*(?!\*)", "$1"),
     (r"(?<![\w_])__(?=[^\s_])([^\n]*?)(?<=[^\s_])__(?![\w_])", "$1"),
     (r"(?<![\w~])~~(?=[^\s~])([^~\n]*)(?<=[^\s~])~~(?![\w~])", "$1"),
     (r"(?<![\w*])\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*(?![\w*])", "$1"),
+    (r"(?<![\w_])_(?=[^\s_])([^_\n]*)(?<=[^\s_])_(?![\w_])", "$1"),
     (r"(?<![\w'])'''(?=[^\s'])([^\n]*?)(?<=[^\s'])'''(?!')", "$1"),
     (r"(?<![\w'])''(?=[^\s'])([^\n]*?)(?<=[^\s'])''(?![\w'])", "$1"),
     (r"[ \t]+$", ""),
@@ -220,26 +228,35 @@ def strip(text: Column) -> Column:
     return text
 
 
-def content_lines(text: str, window: int = WINDOW, surge: int = SURGE) -> Column:
+def content_lines(text: str, window: int = WINDOW, surge: float = SURGE) -> Column:
     """Text of a column between the surge and dive points of its line blocks."""
-    lengths = f"transform(split({text}, '\\n', -1), x -> length(regexp_replace(x, '\\\\s', '')))"
+    lengths = f"transform(split({text}, '\\n', -1), x -> if(x rlike '[\ufdd0\ufdd1]', 1000, length(regexp_replace(x, '\\\\s', ''))))"
+    blocks = f"transform(d.n, (x, i) -> aggregate(slice(d.n, i + 1, {window}), 0, (a, b) -> a + b))"
     return F.expr(f"""
-        element_at(transform(array(named_struct('l', split({text}, '\\n', -1), 'n', {lengths})), d ->
+        element_at(transform(transform(transform(array(named_struct('l', split({text}, '\\n', -1), 'n', {lengths})),
+          d -> named_struct('l', d.l, 'b', {blocks})), d -> named_struct('l', d.l, 'b', d.b, 'most', array_max(d.b))), d ->
           array_join(aggregate(sequence(0, size(d.l) - 1),
             named_struct('on', false, 'kept', cast(array() as array<string>)),
-            (s, i) -> transform(array(aggregate(slice(d.n, i + 1, {window}), 0, (a, b) -> a + b)), block ->
-              named_struct('on', if(block = 0, false, s.on or block >= {surge}),
-                'kept', if(block > 0 and (s.on or block >= {surge}), concat(s.kept, array(d.l[i])), s.kept)))[0],
+            (s, i) -> named_struct('on', d.b[i] > 0 and (s.on or d.b[i] >= {surge} * d.most),
+              'kept', if(d.b[i] > 0 and (s.on or d.b[i] >= {surge} * d.most), concat(s.kept, array(d.l[i])), s.kept)),
             s -> s.kept), '\\n')), 1)""")
 
 
+def residue(text: Column, stripped: Column) -> Column:
+    """Whether the prose is less than the text: blanks aside, stripping took or rewrote something. The marks of
+    headings and items that the clean text keeps, and those of what was taken out whole, are no prose."""
+    prose = F.regexp_replace(stripped, r"(?m)^(?:#|-|[0-9]{1,3}[.)])[ \t]+", "")
+    return F.coalesce(F.regexp_replace(text, r"\s", "") != F.regexp_replace(prose, r"\s", ""), F.lit(False))
+
+
 def clean(df: DataFrame, text: str = "body", kinds_col: str = "kinds", clean_col: str = "clean_text") -> DataFrame:
-    """``df`` with the kinds of markup in ``text`` and its clean text."""
+    """``df`` with the kinds of markup in ``text`` (none if stripping leaves the text as it is) and its clean text."""
     took = fresh(df.withColumn(clean_col, F.lit("")), "took")
+    bare = fresh(df.withColumn(clean_col, F.lit("")), "bare")
     plain = df.withColumn(clean_col, F.regexp_replace(F.col(text), r"\r\n?", "\n"))
     plain = plain.withColumn(took, taken(F.col(clean_col)))
-    plain = plain.withColumn(clean_col, strip(marked(F.col(clean_col), F.col(took))))
-    plain = plain.withColumn(clean_col, _references(F.col(clean_col)))
-    plain = plain.withColumn(clean_col, content_lines(f"`{clean_col}`"))
-    plain = plain.withColumn(clean_col, put_back(F.col(clean_col), F.col(took))).drop(took)
-    return plain.withColumn(kinds_col, kinds(F.col(text)))
+    plain = plain.withColumn(bare, _references(strip(marked(F.col(clean_col), F.col(took)))))
+    plain = plain.withColumn(kinds_col, F.when(residue(F.col(text), F.col(bare)), kinds(F.col(text))).otherwise(F.array().cast("array<string>")))
+    plain = plain.withColumn(clean_col, put_back(content_lines(f"`{bare}`"), F.col(took)))
+    rest = [c for c in plain.columns if c not in (took, bare, clean_col, kinds_col)]
+    return plain.select(*rest, clean_col, kinds_col)

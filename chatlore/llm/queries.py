@@ -79,26 +79,21 @@ def _messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", *columns).dropDuplicates(["zgram_id"])
 
 
+def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows from which stripping takes markup, repeated deliveries included; texts that can't hold any aren't stripped."""
+    z = spread(table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", "body"))
+    return M.clean(z.filter(F.size(M.kinds(F.col("body"))) > 0)).filter(F.size("kinds") > 0)
+
+
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of every message with markup."""
     rows = p6_rows(spark, d).select("zgram_id", F.array_join("kinds", ",").alias("kinds"), "clean_text")
     return rows.dropDuplicates(["zgram_id"])
 
 
-def _with_markup(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with markup, those delivered several times included."""
-    z = spread(table(spark, d, "zgrams").filter("zgram_id is not null").select("zgram_id", "body"))
-    return z.filter(F.size(M.kinds(F.col("body"))) > 0)
-
-
-def p6_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rows with markup, with its kinds and their clean text; only these are cleaned."""
-    return M.clean(_with_markup(spark, d))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Found by the patterns of ``kinds`` alone."""
-    return _with_markup(spark, d).select("zgram_id").distinct()
+    """Messages from which stripping takes markup."""
+    return p6_rows(spark, d).select("zgram_id").distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
