@@ -17,9 +17,11 @@ Defined cases: null, empty and blank texts are no residue; repeated documents ar
 long texts are cut into records, never shortened; empty tables give no rows; other columns are
 ignored.
 
-Scale: equal records are merged before they are routed. Words of a leaf are counted by partial
-aggregates, never gathered; what is kept of a leaf is at most ``SPLIT`` words a place. Python sees
-distinct templates only. Tables are broadcast only where their size, known at run time, allows it.
+Scale: equal records are merged before they are routed. Leaves none of whose records has a word that
+any verdict needs are left out, since a template's words are its records' words. Words of a leaf are
+counted by partial aggregates, never gathered; what is kept of a leaf is at most ``SPLIT`` words a
+place. Python sees distinct templates only. Tables are broadcast only where their size, known at run
+time, allows it.
 """
 
 from __future__ import annotations
@@ -102,7 +104,9 @@ LATIN = ("lorem ipsum dolor dolore dolorem sit amet consec consectetur consectet
          "commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
          "proident sunt culpa qui officia deserunt mollit anim id est do").split()
 _LATIN = frozenset(LATIN)
-_ROW = re.compile("[asdfghjklöäñ]{10,}")
+LATIN_LONG = 5  # pseudo-Latin has a word of this length
+# keys of one row
+ROW = r"^(?=[^ ]+ )[asdfghjklöäñ ]{10,}$"
 # Reason phrases of HTTP (RFC 9110) for client and server errors.
 REASONS = ("bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request time-?\\s?out|conflict|gone|"
            "length required|precondition failed|content too large|payload too large|uri too long|unsupported media type|range not satisfiable|expectation failed|"
@@ -124,7 +128,8 @@ _LATER = (r"(?:try again (?:later|soon|in|shortly)|please try again|retry (?:lat
 # What links around a page are called.
 NAVIGATION = ("home menu search archive archives sign log login in up register back to the go report this next previous help contact about us skip content top start page return "
               "try again reload refresh privacy terms inicio accueil startseite menü buscar suche recherche").split()
-_NAVIGATION = frozenset(NAVIGATION)
+# links around a page, or its copyright line
+AROUND = rf"^(?:(?:{'|'.join(NAVIGATION)})(?: |$)){{1,12}}$|^(?:©|copyright)(?: [^ ]+){{0,4}}$"
 TEMPLATES: dict[str, list[str]] = {
     "notice": [
         rf"(?s)\A(?=.*?{_SCRIPTS})(?=.*?{_ENABLE})", r"^loading$",
@@ -247,26 +252,53 @@ def needs(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(x for x in short if not any(y in x for y in short if y != x)))
 
 
+def _trie(words: set[str]) -> str:
+    """A pattern for any of the words, with their beginnings shared."""
+    if "" in words:
+        return ""
+    heads: dict[str, set[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], set()).add(w[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 @functools.lru_cache(maxsize=1)
-def _compiled() -> list[tuple[str, tuple[str, ...], re.Pattern]]:
-    return [(kind, needs(p), re.compile(p)) for kind, patterns in TEMPLATES.items() for p in patterns]
+def any_need() -> str:
+    """What a template must hold to get a verdict by a pattern or as pseudo-Latin."""
+    every = {x.replace(ANY, "").strip() for patterns in TEMPLATES.values() for p in patterns for x in needs(p)} | {w for w in LATIN if len(w) >= LATIN_LONG}
+    return _trie({x for x in every if not any(y in x for y in every if y != x)})
+
+
+@functools.lru_cache(maxsize=1)
+def _compiled() -> tuple[re.Pattern, list[tuple[str, tuple[str, ...], re.Pattern]]]:
+    return re.compile(any_need()), [(kind, needs(p), re.compile(p)) for kind, patterns in TEMPLATES.items() for p in patterns]
 
 
 def verdict(template: str) -> str | None:
     """What a template says: notice, error, filler, navigation or None."""
-    for kind, literals, pattern in _compiled():
-        if (not literals or any(x in template for x in literals)) and pattern.search(template):
-            return kind
-    words = [w for w in template.split(" ") if w != ANY]
-    if not words:
+    some, patterns = _compiled()
+    words = template.split(" ")
+    if some.search(template):
+        for kind, literals, pattern in patterns:
+            if any(x in template for x in literals) and pattern.search(template):
+                return kind
+        own = [w for w in words if w != ANY]
+        latin = [w for w in own if w in _LATIN]
+        if len(own) >= 3 and len(latin) >= 0.6 * len(own) and max(map(len, latin)) >= LATIN_LONG:
+            return "filler"
+    if ANY in template:
         return None
-    # pseudo-Latin, a word over and over, keys of one row
-    latin = sum(w in _LATIN for w in words)
-    if len(words) >= 3 and latin >= 0.6 * len(words) or len(words) >= 6 and len(set(words)) * 4 <= len(words) or len(words) >= 2 and _ROW.fullmatch("".join(words)):
+    if len(words) >= 6 and len(set(words)) * 4 <= len(words) or re.search(ROW, template):
         return "filler"
-    if len(words) <= 12 and ANY not in template and _NAVIGATION.issuperset(words) or len(words) <= 5 and words[0] in ("©", "copyright"):
-        return "navigation"
-    return None
+    return "navigation" if re.search(AROUND, template) else None
+
+
+def may_say(record: Column) -> Column:
+    """Whether a template with the words of a record may get a verdict; its words are among the record's."""
+    words = F.split(record, " ")
+    drum = (F.size(words) >= 6) & (F.size(F.array_distinct(words)) * 4 <= F.size(words))
+    return record.rlike(any_need()) | drum | record.rlike(ROW) | record.rlike(AROUND)
 
 
 _BLOCK = r"(?i)</?(?:h[1-6]|p|div|br|hr|li|ul|ol|tr|td|th|table|title|head|body|html|header|footer|nav|section|article)(?:\s[^<>\n]*)?/?>"
@@ -287,11 +319,15 @@ def records(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def mine(records: DataFrame) -> DataFrame:
-    """(record, template) of all distinct records."""
+    """(record, template) of the distinct records of all leaves that may get a verdict."""
     words = F.split("record", " ")
     path = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))
-    distinct = cut(records.groupBy("record").agg(F.count("*").alias("c")).withColumn("path", path), "distinct")
-    leaf = distinct.groupBy("path").agg(F.sum("c").alias("total"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    distinct = records.groupBy("record").agg(F.count("*").alias("c")).withColumns({"path": path, "may": may_say(F.col("record"))})
+    distinct = cut(distinct, "distinct")
+    # leaves none of whose templates can get a verdict are left as they are
+    every = cut(distinct.groupBy("path").agg(F.sum("c").alias("total"), F.count("*").alias("n"), F.max("may").alias("may")).filter("may"), "leaves")
+    distinct = distinct.join(every.select("path"), "path", "left_semi")
+    leaf = every.filter("n > 1").select("path", "total")
     # words of the places below the head that enough of the leaf's records have
     shared = distinct.join(leaf, "path")
     places = shared.select("path", "c", "total", F.posexplode(words).alias("at", "word")).filter(F.col("at") >= DEPTH)
