@@ -1,18 +1,21 @@
 """Change feeds kept as merge-on-read tables with delete vectors.
 
-Every change is an appended image at a fixed place: file ``seq div FILE_ROWS``, position
-``seq mod FILE_ROWS``. A change that is delivered again falls on the same place, so repeated
-and out-of-order deliveries need no ordering of their own. A key-to-position index names the
-newest image of each key; the places of all other images are superseded and become bits of one
-bitmap per file. A read looks each place up in its file's bitmap and skips the set ones.
+Every change is an image that is appended to a file of its batch and never rewritten; its place is
+the file as written and its row there. A stored index, in buckets of the key, leads from each key to
+the place of its newest image. A batch looks its keys up in the buckets it touches; images that are
+superseded, be it old ones or late arrivals of the batch, become bits in the bitmap of their file,
+and the touched buckets are written anew. A read looks each place up in its file's bitmaps and skips
+the set ones. Order of delivery doesn't matter; a batch that is applied again changes nothing, and
+the table can be opened again from its folder alone.
 
 Defined cases: rows with a null in the key or in ``order_col`` change nothing; a tie in
-``order_col`` is one change delivered several times (the earliest delivery stays); an empty feed
-gives an empty state; columns beyond the named ones are carried through unread.
+``order_col`` is one change delivered several times (the earliest delivery stays, and across batches
+the one that came first); an empty feed gives an empty state; columns beyond the named ones are
+carried through unread.
 
-Scale: no group of a key is ever gathered. The index is a partial aggregate, a superseded place is
-found by an anti join on (file, position), which is even however skewed the keys are, and a bitmap
-holds FILE_ROWS bits.
+Scale: no group of a key is ever gathered: the newest place is a partial aggregate. A batch costs what
+it holds and the index buckets it touches. Bitmaps are of rows of a file, so they are as small as the
+file is, however sparse ``order_col`` is; a bitmap holds 32,768 bits, longer files have several.
 """
 
 from __future__ import annotations
@@ -21,52 +24,90 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chatlore.shared import fresh, shared_dir
+from chatlore.operators.state import BUCKET, STEP, State
+from chatlore.shared import shared_dir
 
-FILE_ROWS = 32_768  # bits of one built-in bitmap
+BUCKETS = 16
+PLACE = ["_file", "_pos"]
 
 
-class Images:
-    """The images of a feed with their places (columns ``file`` and ``pos``, named apart)."""
+class ChangeTable:
+    """A table of changes in a folder, fed batch by batch (for ``foreachBatch`` or a scheduler)."""
+
+    def __init__(self, spark: SparkSession, keys: Sequence[str], order_col: str = "seq", path: str | None = None,
+                 deleted: Column | None = None, changes: Column | None = None, delivered_col: str | None = "delivered_at", buckets: int = BUCKETS):
+        self.spark, self.keys, self.order_col = spark, list(keys), order_col
+        self.path = path or shared_dir(spark, "changes")
+        self.deleted, self.changes, self.delivered_col = deleted, changes, delivered_col
+        self.state = State(spark, self.path, buckets)
+
+    def _images(self, schema: T.StructType) -> DataFrame:
+        """Images of all batches that count, with their places."""
+        root = f"{self.path}/images"
+        full = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
+        rows = self.spark.read.schema(full).parquet(root).filter(F.col("_batch").isin(*self.state.manifest["images"]))
+        return rows.select("*", F.concat_ws("/", "_batch", "_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+
+    def _schema(self) -> T.StructType:
+        return T.StructType.fromJson(self.state.manifest["schema"])
 
-    def __init__(self, feed: DataFrame, keys: Sequence[str], order_col: str, changes: Column | None = None):
-        self.keys, self.order_col = list(keys), order_col
-        self.file, self.pos = fresh(feed, "_file"), fresh(feed, "_pos")
-        valid = F.col(order_col).isNotNull()
+    def _renamed(self, df: DataFrame) -> DataFrame:
+        """Columns of the feed under numbered names, so that none can clash with those of the table."""
+        return df.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(df.columns)])
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        state = self.state
+        if state.done(batch_id):
+            return
+        manifest = state.manifest
+        if "columns" not in manifest:
+            manifest["columns"] = batch.columns
+        names = {c: f"c{n}" for n, c in enumerate(manifest["columns"])}
+        valid = F.col(self.order_col).isNotNull()
         for k in self.keys:
             valid &= F.col(k).isNotNull()
-        if changes is not None:
-            valid &= changes
-        at = F.col(order_col)
-        self.rows = feed.filter(valid).withColumns({
-            self.file: F.floor(at / FILE_ROWS).cast("long"),
-            self.pos: F.pmod(at, F.lit(FILE_ROWS)).cast("long"),
-        })
-
-    def index(self) -> DataFrame:
-        """Key -> place of its newest image."""
-        newest = self.rows.groupBy(*self.keys).agg(F.max(self.order_col).alias("_newest"))
-        return newest.select(
-            *self.keys,
-            F.floor(F.col("_newest") / FILE_ROWS).cast("long").alias(self.file),
-            F.pmod(F.col("_newest"), F.lit(FILE_ROWS)).cast("long").alias(self.pos),
-        )
-
-    def delete_vectors(self) -> DataFrame:
-        """(file, bitmap) with a bit for every superseded place of the file."""
-        place = [self.file, self.pos]
-        superseded = self.rows.select(*place).join(self.index().select(*place), place, "left_anti")
-        return superseded.groupBy(self.file).agg(F.bitmap_construct_agg(self.pos).alias("_bits"))
-
-    def live(self) -> DataFrame:
-        """The images that no bitmap marks, one for each place."""
-        vectors = self.delete_vectors()
-        read = self.rows.join(vectors, self.file, "left")
-        byte = F.conv(F.hex(F.expr(f"substring(_bits, cast({self.pos} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        marked = F.expr(f"shiftleft(1, cast({self.pos} % 8 as int))").bitwiseAND(byte) != 0
-        kept = read.filter(F.col("_bits").isNull() | ~marked).drop("_bits")
-        return kept
+        if self.changes is not None:
+            valid &= self.changes
+        rows = self._renamed(batch.select(*manifest["columns"]).filter(valid))
+        manifest.setdefault("schema", rows.schema.jsonValue())
+        manifest["images"] = [*manifest.get("images", []), state.next]
+        folder = f"{self.path}/images/_batch={state.next}"
+        rows.write.mode("overwrite").parquet(folder)
+
+        # places of the new images, and of the newest ones so far of the buckets they touch
+        keys, order = [names[k] for k in self.keys], names[self.order_col]
+        given = self.delivered_col is not None and self.delivered_col in names
+        late = F.coalesce(F.unix_micros(F.col(names[self.delivered_col]).cast("timestamp")), F.lit(2**62)) if given else F.lit(0).cast("long")
+        new = self._images(self._schema()).filter(F.col("_batch") == state.next).select(
+            *keys, F.col(order).alias("_order"), late.alias("_late"), *PLACE, state.bucket(*keys).alias(BUCKET))
+        touched = state.touched(new)
+        index = T.StructType([f for f in new.schema.fields if f.name != BUCKET])
+        old = state.read("index", index, touched).drop(STEP).withColumn("_late", F.lit(-1).cast("long"))  # came first
+        places = new.unionByName(old)
+        first = F.struct("_order", (-F.col("_late")).alias("_early"), F.col("_file"), F.col("_pos"))
+        newest = places.groupBy(*keys, BUCKET).agg(F.max(first).alias("_n"))
+        state.write("index", newest.select(*keys, "_n._order", F.lit(-1).cast("long").alias("_late"), "_n._file", "_n._pos", BUCKET), replace=touched)
+        now = state.read("index", index, touched).select(*PLACE)
+        gone = places.select(*PLACE).join(now, PLACE, "left_anti")
+        bits = gone.groupBy("_file", F.floor(F.col("_pos") / 32768).alias("_chunk")).agg(F.bitmap_construct_agg(F.col("_pos") % 32768).alias("_bits"))
+        bits.write.mode("overwrite").parquet(f"{self.path}/vectors/_batch={state.next}")
+        state.commit(batch_id)
+
+    def read(self) -> DataFrame:
+        """The newest image of each key that isn't a delete, with the columns of the feed."""
+        manifest = self.state.manifest
+        if not manifest["steps"]:
+            raise ValueError("no batch was applied yet")
+        vectors = self.spark.read.schema("_file string, _chunk long, _bits binary, _batch int").parquet(f"{self.path}/vectors")
+        vectors = vectors.filter(F.col("_batch").isin(*manifest["images"])).groupBy("_file", "_chunk").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+        rows = self._images(self._schema()).withColumn("_chunk", F.floor(F.col("_pos") / 32768)).join(vectors, ["_file", "_chunk"], "left")
+        byte = F.conv(F.hex(F.expr("substring(_bits, cast(_pos % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        marked = F.expr("shiftleft(1, cast(_pos % 8 as int))").bitwiseAND(byte) != 0
+        rows = rows.filter(F.col("_bits").isNull() | ~marked)
+        rows = rows.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(manifest["columns"])])
+        return rows if self.deleted is None else rows.filter(~F.coalesce(self.deleted, F.lit(False)))
 
 
 def current_state(
@@ -76,62 +117,19 @@ def current_state(
     deleted: Column | None = None,
     changes: Column | None = None,
     delivered_col: str | None = "delivered_at",
+    batches: int = 2,
 ) -> DataFrame:
     """Latest image of each key, without the keys whose latest image is a delete.
 
-    ``changes`` tells which rows are changes at all, ``deleted`` which of them are deletes.
-    """
-    images = Images(feed, keys, order_col, changes)
-    live = images.live()
-    if deleted is not None:
-        live = live.filter(~F.coalesce(deleted, F.lit(False)))
-    if delivered_col and delivered_col in feed.columns:
-        # what is left of a place are deliveries of one change: keep the earliest
-        rest = [c for c in feed.columns if c not in (order_col, delivered_col)]
-        first = live.groupBy(order_col).agg(
-            F.min(F.struct(F.col(delivered_col), *[F.col(c) for c in rest])).alias("_first")
-        )
-        return first.select(*[F.col(c) if c == order_col else F.col("_first")[c].alias(c) for c in feed.columns])
-    return live.drop(images.file, images.pos).dropDuplicates([order_col])
-
-
-class ChangeTable:
-    """The same kept on disk and fed batch by batch (for ``foreachBatch`` or a scheduler).
-
-    A batch appends its images below ``images/batch=N`` and the superseded places it caused below
-    ``vectors/batch=N``; nothing is rewritten. Applying a batch twice changes nothing.
+    The feed goes through a change table in ``batches`` slices of delivery. ``changes`` tells which
+    rows are changes at all, ``deleted`` which of them are deletes.
     """
-
-    def __init__(self, spark: SparkSession, keys: Sequence[str], order_col: str = "seq", path: str | None = None,
-                 deleted: Column | None = None, changes: Column | None = None):
-        self.spark, self.keys, self.order_col = spark, list(keys), order_col
-        self.path = path or shared_dir(spark, "changes")
-        self.deleted, self.changes = deleted, changes
-        self.schema = None
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        new = Images(batch, self.keys, self.order_col, self.changes)
-        rows = new.rows.withColumnsRenamed({new.file: "_file", new.pos: "_pos"}).dropDuplicates(["_file", "_pos"])
-        rows.write.mode("overwrite").parquet(f"{self.path}/images/batch={batch_id}")
-        self.schema = rows.schema
-        stored = self._images()
-        touched = self.spark.read.parquet(f"{self.path}/images/batch={batch_id}").select(*self.keys).distinct()
-        places = stored.join(touched, self.keys, "left_semi").select(*self.keys, "_file", "_pos")
-        newest = places.groupBy(*self.keys).agg(F.max(F.struct("_file", "_pos")).alias("_top"))
-        old = places.join(newest.select("_top._file", "_top._pos"), ["_file", "_pos"], "left_anti")
-        bits = old.groupBy("_file").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
-        bits.write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch_id}")
-
-    def _images(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/images")
-
-    def read(self) -> DataFrame:
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").groupBy("_file").agg(
-            F.bitmap_or_agg("_bits").alias("_bits"))
-        byte = F.conv(F.hex(F.expr("substring(_bits, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        marked = F.expr("shiftleft(1, cast(_pos % 8 as int))").bitwiseAND(byte) != 0
-        rows = self._images().drop("batch").join(vectors, "_file", "left")
-        rows = rows.filter(F.col("_bits").isNull() | ~marked).dropDuplicates(["_file", "_pos"])
-        if self.deleted is not None:
-            rows = rows.filter(~F.coalesce(self.deleted, F.lit(False)))
-        return rows.drop("_bits", "_file", "_pos")
+    table = ChangeTable(feed.sparkSession, keys, order_col, None, deleted, changes, delivered_col)
+    cuts = []
+    if batches > 1 and delivered_col and delivered_col in feed.columns:
+        lo, hi = feed.agg(F.min(delivered_col), F.max(delivered_col)).first()
+        cuts = [] if lo is None else [lo + (hi - lo) * k / batches for k in range(1, batches)]
+    at = F.coalesce(F.size(F.filter(F.array(*[F.col(delivered_col) >= F.lit(c) for c in cuts]), lambda x: x)), F.lit(0)) if cuts else F.lit(0)
+    for n in range(len(cuts) + 1):
+        table.apply(feed.filter(at == n) if cuts else feed, n)
+    return table.read()

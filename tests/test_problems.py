@@ -44,6 +44,27 @@ def test_change_table_in_batches_equals_one_pass(spark):
     assert sorted((r.k, r.seq) for r in t.read().collect()) == sorted((r.k, r.seq) for r in whole.collect())
 
 
+def test_change_table_opens_again_and_reads_touched_buckets_only(spark):
+    def rows(part):
+        return spark.createDataFrame([(s, k, v) for s, k, v in part], "seq long, k string, value string")
+    many = [(n * 10**12, f"k{n}", f"v{n}") for n in range(200)]  # sparse order
+    t = ChangeTable(spark, ["k"], deleted=F.col("value").isNull(), delivered_col=None, buckets=32)
+    t.apply(rows(many), 0)
+    assert len(t.state.manifest["tables"]["index"]) == 32
+    again = ChangeTable(spark, ["k"], path=t.path, deleted=F.col("value").isNull(), delivered_col=None)
+    again.apply(rows([(5, "k3", "old"), (10**15, "k3", "new"), (10**15 + 1, "k4", None)]), 1)
+    again.apply(rows([(10**16, "k3", "never")]), 1)  # the same batch again
+    assert 1 <= len(again.state.read_buckets["index"]) <= 2
+    want = {k: v for _, k, v in many} | {"k3": "new"}
+    want.pop("k4")
+    for table in (again, ChangeTable(spark, ["k"], path=t.path, deleted=F.col("value").isNull(), delivered_col=None)):
+        assert {r.k: r.value for r in table.read().collect()} == want
+    assert spark.read.parquet(f"{t.path}/vectors").count() <= 4  # one bitmap a file that lost images
+    late = ChangeTable(spark, ["k"], path=t.path)
+    late.state.manifest["steps"].append("half")  # a step that never came to its manifest
+    assert ChangeTable(spark, ["k"], path=t.path).state.manifest["steps"] == [0, 1]
+
+
 def why(line):
     """Independent check of a log line."""
     def no(_):
@@ -151,6 +172,26 @@ def test_orphans_missing_late_deleted_reopened(spark, periods):
     assert got == {(1, "late"), (3, "missing"), (4, "late"), (6, "deleted"), (7, "deleted")}
 
 
+def test_orphan_state_is_incremental(spark):
+    t = OrphanTracker(spark, buckets=32)
+    parents = lambda rows: spark.createDataFrame([(i, at(h)) for i, h in rows], "parent_id long, first_seen timestamp")
+    gone = lambda ids: spark.createDataFrame([(i,) for i in ids], "parent_id long")
+    t.advance(orphan_rows(spark, [(n, n, 2) for n in range(300)]), parents([(n, 1) for n in range(150)]), gone([]), "jan")
+    assert t._read("waiting").count() == 150 and t._read("held").count() == 150
+    again = OrphanTracker(spark, t.path)
+    again.advance(orphan_rows(spark, [(999, 7, 30)]), parents([(200, 30)]), gone([8]), "feb")
+    assert all(1 <= len(again.state.read_buckets[n]) <= 3 for n in ("parents", "gone", "held", "opened") if again.state.read_buckets[n])
+    again.advance(orphan_rows(spark, [(1, 5000, 1)]), parents([]), gone([9]), "feb")  # the same step again
+    assert again._read("waiting").count() == 149
+    status = {r.seq: r.status for r in again.report().collect()}
+    assert status == {n: "missing" for n in range(150, 300)} | {200: "late", 8: "deleted"}
+    counts = {(r.step, r.status): r.n_refs for r in again.snapshots().collect()}
+    assert counts == {("jan", "missing"): 150, ("feb", "missing"): 149, ("feb", "late"): 1, ("feb", "deleted"): 1}
+    for n in range(10):
+        again.advance(orphan_rows(spark, [(1000 + n, 7, 40)]), parents([]), gone([]), n)
+    assert max(len(s) for s in again.state.manifest["tables"]["held"].values()) <= 9
+
+
 def test_orphans_empty(spark):
     t = OrphanTracker(spark)
     empty = orphan_rows(spark, [(1, 1, 1)]).limit(0)
