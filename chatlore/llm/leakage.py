@@ -5,28 +5,34 @@ each passage is a query that must get back every item it may hold a run of. The
 and an item is the sum of BM25 impacts of the item's terms in it; an item's threshold is the least
 such sum over all runs of ``min_run`` words of its own text, so no run can score below it. The
 retrieval prunes by the upper bounds of terms and of posting blocks. Retrieved pairs are verified by
-the exact run of words, and the words of question and answer found in the document are reported.
+the longest run of words that document and item share, and each leak says what else bears it out:
+the share of the question's words and whether the answer stands in the document (``evidence``).
 
 Passages are cut from stretches of indexed words: a word that no item has ends any run.
 
 Words are runs of letters and digits after NFKC, lower-casing, and removal of tags, character
-references, link targets and invisible characters. A word broken by a hyphen at a line end is also
-tried as one word.
+references, link targets and invisible characters. Where a hyphen breaks a word at a line end, each
+such place by itself may be one word or two: a passage asks for both, and a run may take either.
 
 Defined cases: null, empty and blank texts hold nothing; items with fewer than ``min_run`` words
 can't leak; repeated documents and items are judged one by one; very long texts are walked passage
 by passage; empty tables give no rows.
 
-Scale: documents are one narrow pass without a shuffle. The items are read in blocks of at most
-``ITEM_BLOCK`` rows, so the index sent to the workers has a proven bound whatever their number.
+Scale: documents are one narrow pass without a shuffle. The index is flat arrays, about three times
+the items' text; items of at most ``BLOCK_BYTES`` of text are one pass and one broadcast (over 100,000
+items of usual length), and only more text than that takes another pass.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
+import sys
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,17 +42,38 @@ from pyspark.sql import functions as F
 
 MIN_RUN = 13
 PASSAGE = 2 * MIN_RUN
-ITEM_BLOCK = 20_000
+BLOCK_BYTES = 64 << 20
 POSTING_BLOCK = 16
 K1, B = 1.2, 0.75
+QUESTION_SHARE = 0.8
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 _TARGET = re.compile(r"\]\([^()\s]*\)")
-_WORD = re.compile(r"[^\W_]+")
+JOINT = "\ue000"  # stands for a hyphen at a line end; a text's own is dropped
+_WORD = re.compile(rf"[^\W_]+(?:{JOINT}[^\W_]+)*")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t>]*(?=\w)")
 
 
-def words(text: str) -> list[str]:
+@functools.lru_cache(maxsize=1)
+def _unseen() -> re.Pattern:
+    """Invisible characters and combining marks that are no letters."""
+    parts, n = [], 0
+    while n <= sys.maxunicode:
+        m = n
+        while m <= sys.maxunicode and unicodedata.category(chr(m)) in ("Cf", "Mn") and not chr(m).isalnum():
+            m += 1
+        if m > n:
+            parts.append(f"{re.escape(chr(n))}-{re.escape(chr(m - 1))}")
+        n = max(m, n + 1)
+    return re.compile(f"[{''.join(parts)}]+")
+
+
+def units(text: str) -> list[str]:
+    """Words of a text; one broken at a line end holds ``JOINT`` at that place."""
+    if JOINT in text:
+        text = text.replace(JOINT, "")
+    if "-" in text:
+        text = _BROKEN.sub(JOINT, text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
@@ -54,63 +81,81 @@ def words(text: str) -> list[str]:
     if "](" in text:
         text = _TARGET.sub("] ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join([c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c.isalnum()])
+        text = _unseen().sub("", unicodedata.normalize("NFKC", text))
     text = text.lower()
     if "'" in text or "’" in text:
         text = text.replace("'", "").replace("’", "")
     return _WORD.findall(text)
 
 
-def variants(text: str) -> list[list[str]]:
-    out = [words(text)]
-    if _BROKEN.search(text):
-        out.append(words(_BROKEN.sub("", text)))
-    return out
+def words(text: str) -> list[str]:
+    """Words of a text; a word broken at a line end is two."""
+    return [w for u in units(text) for w in u.split(JOINT)]
+
+
+def readings(unit: str) -> set[str]:
+    """All words that a unit may hold: any of its neighbouring parts together."""
+    parts = unit.split(JOINT)
+    return {"".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)}
+
+
+def longest_run(document: list[str], item: list[str], at: dict[str, list[int]]) -> int:
+    """Words of the longest run that the units of a document share with an item; ``at``: word -> its places in the item."""
+    best = 0
+    open_runs: dict[int, int] = {}  # next place in the item -> words so far
+    for u in document:
+        parts = u.split(JOINT) if JOINT in u else [u]
+        states: list[dict[int, int]] = [open_runs, *({} for _ in parts)]
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                for place in at.get("".join(parts[i:j]), ()):
+                    n = states[i].get(place, 0) + 1
+                    if n > states[j].get(place + 1, 0):
+                        states[j][place + 1] = n
+                        best = max(best, n)
+        open_runs = states[-1]
+    return best
 
 
 class Index:
-    """Impact-ordered postings of a block of items, with the exact runs of each."""
+    """Postings of a block of items in flat arrays, with the upper bounds of terms and posting blocks."""
 
     def __init__(self, items: list[tuple[int, str, str, str]], min_run: int = MIN_RUN):
         self.min_run = min_run
-        self.ids, texts = [], []
+        self.ids, self.texts = array("q"), []
         self.question, self.answer = [], []
         for item_id, passage, question, answer in items:
             w = words(passage or "")
             if len(w) >= min_run:
                 self.ids.append(item_id)
-                texts.append(w)
-                self.question.append(frozenset(words(question or "")))
-                self.answer.append(words(answer or ""))
-        n = len(texts)
-        mean = sum(map(len, texts)) / n if n else 1
-        df = Counter(t for w in texts for t in set(w))
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.threshold = []
-        self.runs: list[frozenset] = []
-        for o, w in enumerate(texts):
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
-                      for t, f in Counter(w).items()}
-            for t, x in impact.items():
-                postings[t].append((o, x))
+                self.texts.append(" ".join(w))
+                self.question.append(" ".join(words(question or "")))
+                self.answer.append(" ".join(words(answer or "")))
+        n = len(self.texts)
+        mean = sum(t.count(" ") + 1 for t in self.texts) / n if n else 1
+        df = Counter(x for t in self.texts for x in set(t.split()))
+        postings: dict[str, tuple[array, array]] = defaultdict(lambda: (array("l"), array("d")))
+        self.threshold = array("d")
+        for o, t in enumerate(self.texts):
+            w = t.split()
+            impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
+                      for x, f in Counter(w).items()}
+            for x, v in impact.items():
+                postings[x][0].append(o)
+                postings[x][1].append(v)
             starts = range(len(w) - min_run + 1)
-            self.threshold.append(min(sum(impact[t] for t in set(w[i : i + min_run])) for i in starts) - 1e-9)
-            self.runs.append(frozenset(tuple(w[i : i + min_run]) for i in starts))
+            self.threshold.append(min(sum(impact[x] for x in set(w[i : i + min_run])) for i in starts) - 1e-9)
         self.least = min(self.threshold, default=math.inf)
-        # term -> (most, ordinals, impacts, [(last ordinal, most) of each block])
-        self.postings = {}
-        for t, p in postings.items():
-            blocks = [(p[min(k + POSTING_BLOCK, len(p)) - 1][0], max(x for _, x in p[k : k + POSTING_BLOCK])) for k in range(0, len(p), POSTING_BLOCK)]
-            self.postings[t] = (max(x for _, x in p), [o for o, _ in p], [x for _, x in p], blocks)
+        # term -> (most, ordinals, impacts, the most of each block)
+        self.postings = {x: (max(v), o, v, array("d", [max(v[k : k + POSTING_BLOCK]) for k in range(0, len(o), POSTING_BLOCK)]))
+                         for x, (o, v) in postings.items()}
 
     def above(self, terms: set[str]) -> list[int]:
         """Ordinals of all items whose score reaches their threshold, by block-max WAND."""
         lists = [p for t in terms if (p := self.postings.get(t))]
-        if sum(p[0] for p in lists) < self.least:
+        if sum([p[0] for p in lists]) < self.least:
             return []
-        # cursor: [ordinal, position, list]
-        cursors = [[p[1][0], 0, p] for p in lists]
+        cursors = [[p[1][0], 0, p] for p in lists]  # ordinal, position, list
         end, out = len(self.ids), []
         least = self.least
         while cursors:
@@ -126,105 +171,105 @@ class Index:
             o = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == o:
                 pivot += 1
-            # upper bound by the blocks that hold the pivot
+            # upper bound by the blocks that may hold the pivot
             bound, nearest = 0.0, end
             for c in cursors[: pivot + 1]:
-                last, most = c[2][3][self._block(c, o)]
-                if last >= o:
-                    bound += most
-                    nearest = min(nearest, last)
+                i = bisect_left(c[2][1], o, c[1])
+                if i < len(c[2][1]):
+                    k = i // POSTING_BLOCK
+                    bound += c[2][3][k]
+                    nearest = min(nearest, c[2][1][min((k + 1) * POSTING_BLOCK, len(c[2][1])) - 1])
             if bound < least:
                 # no item up to the nearest block end can reach it
                 to = nearest + 1
                 if pivot + 1 < len(cursors):
                     to = min(to, cursors[pivot + 1][0])
-                self._advance(cursors, pivot, max(to, o + 1))
+                self._advance(cursors, pivot, max(to, o + 1), end)
             else:
-                score = 0.0
-                self._advance(cursors, pivot, o)
-                for c in cursors:
-                    if c[0] == o:
-                        score += c[2][2][c[1]]
-                if score >= self.threshold[o]:
+                self._advance(cursors, pivot, o, end)
+                if sum([c[2][2][c[1]] for c in cursors if c[0] == o]) >= self.threshold[o]:
                     out.append(o)
-                self._advance(cursors, len(cursors) - 1, o + 1)
+                self._advance(cursors, len(cursors) - 1, o + 1, end)
             cursors = [c for c in cursors if c[0] < end]
         return out
 
     @staticmethod
-    def _block(c: list, o: int) -> int:
-        blocks, k = c[2][3], c[1] // POSTING_BLOCK
-        while k + 1 < len(blocks) and blocks[k][0] < o:
-            k += 1
-        return k
-
-    def _advance(self, cursors: list, upto: int, o: int) -> None:
+    def _advance(cursors: list, upto: int, o: int, end: int) -> None:
         """Move the first cursors to the first ordinal from ``o`` on."""
         for c in cursors[: upto + 1]:
-            if c[0] >= o:
-                continue
-            ordinals, i = c[2][1], c[1]
-            k = self._block(c, o)
-            i = max(i, k * POSTING_BLOCK)
-            while i < len(ordinals) and ordinals[i] < o:
-                i += 1
-            c[1] = i
-            c[0] = ordinals[i] if i < len(ordinals) else len(self.ids)
-
-    def _stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
-        """Maximal stretches of indexed words that are long enough; no run goes beyond one."""
-        begin = 0
-        for i, x in enumerate(w):
-            if x not in self.postings:
-                if i - begin >= self.min_run:
-                    yield begin, i
-                begin = i + 1
-        if len(w) - begin >= self.min_run:
-            yield begin, len(w)
-
-    def search(self, text: str) -> dict[int, int]:
+            if c[0] < o:
+                ordinals = c[2][1]
+                c[1] = i = bisect_left(ordinals, o, c[1])
+                c[0] = ordinals[i] if i < len(ordinals) else end
+
+    def stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
+        """Maximal stretches of units with indexed words that are long enough; no run goes beyond one.
+
+        A run has a word at least of each unit, so it spans at most ``min_run`` units if it is as short as that.
+        A unit of several words may make a stretch of fewer units long enough.
+        """
+        known = self.postings.__contains__
+        flags = bytes(map(known, w))
+        joints = [i for i, u in enumerate(w) if JOINT in u] if JOINT in "".join(w) else []
+        if joints:
+            flags = bytearray(flags)
+            for i in joints:
+                flags[i] = any(map(known, readings(w[i])))
+        extra = sum(w[i].count(JOINT) for i in joints)
+        for m in re.finditer(rb"\x01{%d,}" % max(1, self.min_run - extra), bytes(flags)):
+            yield m.start(), m.end()
+
+    def search(self, w: list[str]) -> dict[int, int]:
         """Ordinal -> longest run of words shared with the item."""
         found: dict[int, int] = {}
         n, step = self.min_run, PASSAGE - self.min_run + 1
-        for w in variants(text):
-            hits: set[tuple[int, int]] = set()
-            for begin, end in self._stretches(w):
-                for at in range(begin, end - n + 1, step):
-                    part = w[at : min(at + PASSAGE, end)]
-                    for o in self.above(set(part)):
-                        runs = self.runs[o]
-                        hits.update((o, at + i) for i in range(len(part) - n + 1) if tuple(part[i : i + n]) in runs)
-            run = {}
-            for o, i in sorted(hits):
-                run[o] = (i, run[o][1] + 1) if o in run and run[o][0] == i - 1 else (i, 1)
-                found[o] = max(found.get(o, 0), run[o][1] + n - 1)
+        for begin, end in self.stretches(w):
+            asked: set[int] = set()
+            for at in range(begin, max(begin + 1, end - n + 1), step):
+                part = w[at : min(at + PASSAGE, end)]
+                bag = {x for u in part for x in (readings(u) if JOINT in u else (u,))}
+                asked.update(self.above(bag))
+            for o in asked:
+                item = self.texts[o].split()
+                places: dict[str, list[int]] = defaultdict(list)
+                for i, x in enumerate(item):
+                    places[x].append(i)
+                run = longest_run(w[begin:end], item, places)
+                if run >= n:
+                    found[o] = max(found.get(o, 0), run)
         return found
 
 
 def find(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, item_id, run_words, question_share, has_answer) of every leak."""
+    """(doc_id, item_id, run_words, question_share, has_answer, evidence) of every leak.
+
+    ``evidence``: ``run``, or with ``+question`` (at least ``QUESTION_SHARE`` of its words) and ``+answer``.
+    """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, run_words int, question_share double, has_answer boolean"
+    schema = "doc_id long, item_id long, run_words int, question_share double, has_answer boolean, evidence string"
     docs = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text))
     rows = items.select("item_id", "passage", "question", "answer").filter("item_id is not null and passage is not null")
-    n_items = rows.count()
-    n_blocks = max(1, -(-n_items // ITEM_BLOCK))
+    size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("passage", "question", "answer")), F.lit(0)))).first()[0] or 0
+    n_blocks = max(1, -(-size // BLOCK_BYTES))
     out = None
     for k in range(n_blocks):
-        block = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in block.collect()], min_run))
+        block = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)) == k)
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in block.toLocalIterator()], min_run))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             ix = index.value
             for b in batches:
                 got = []
                 for doc, body in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                    for o, length in ix.search(body).items():
-                        have = words(body)
-                        bag, q, a = set(have), ix.question[o], ix.answer[o]
-                        inside = bool(a) and f" {' '.join(a)} " in f" {' '.join(have)} "
-                        got.append((doc, ix.ids[o], length, len(q & bag) / len(q) if q else 0.0, inside))
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "run_words", "question_share", "has_answer"])
+                    w = units(body)
+                    for o, length in ix.search(w).items():
+                        have = [x for u in w for x in u.split(JOINT)]
+                        bag, q, a = set(have).union(*map(readings, w)), set(ix.question[o].split()), ix.answer[o]
+                        share = len(q & bag) / len(q) if q else 0.0
+                        inside = bool(a) and (f" {a} " in f" {' '.join(have)} " or f" {a} " in f" {' '.join(w).replace(JOINT, '')} ")
+                        evidence = "run" + "+question" * (share >= QUESTION_SHARE) + "+answer" * inside
+                        got.append((doc, ix.ids[o], length, share, inside, evidence))
+                yield pd.DataFrame(got, columns=["doc_id", "item_id", "run_words", "question_share", "has_answer", "evidence"])
 
         part = docs.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -125,6 +125,7 @@ _DOWN = (r"(?:timed? ?-?out|too long|refused|reset|unreachable|overloaded|not re
          r"(?:bad|invalid|malformed|empty|unexpected) (?:response|reply|answer|header)|temporarily|momentan\w*|vorübergehend|überlastet|momentanément|temporairement|temporalmente|fuera de servicio|indisponible)")
 _LATER = (r"(?:try again (?:later|soon|in|shortly)|please try again|retry (?:later|in|after)|come back (?:later|soon)|check back (?:later|soon)|later erneut|später (?:erneut|noch ?mal|wieder)|"
           r"réessay\w+|más tarde|inténtelo|vuelva a intentar\w*)")
+_SERVER_DOWN = rf"^(?:\S+ ){{0,2}}{_SERVER}\b(?: \S+){{0,5}} {_DOWN}"
 # What links around a page are called.
 NAVIGATION = ("home menu search archive archives sign log login in up register back to the go report this next previous help contact about us skip content top start page return "
               "try again reload refresh privacy terms inicio accueil startseite menü buscar suche recherche").split()
@@ -150,14 +151,15 @@ TEMPLATES: dict[str, list[str]] = {
         r"^(?:\S+ ){1,4}is (?:currently |temporarily )?(?:offline|down|unavailable)(?: at the moment| right now| for now)?(?: <code>)?$",
         r"^(?:there was an? )?(?:problem|error|failure|trouble) (?:while |when |in )?(?:accessing|loading|opening|reading|processing|fetching|retrieving|displaying)\b",
         r"\b(?:down|offline|closed) for (?:\S+ )?maintenance\b|\bmaintenance (?:mode|window|in progress)\b|\bwartungsarbeiten\b|\ben maintenance\b|\ben mantenimiento\b",
-        rf"^(?:\S+ ){{0,2}}{_SERVER}\b(?: \S+){{0,5}} {_DOWN}", rf"^(?:no|none of the|all) {_SERVER} (?:is |are )?(?:available|ready|reachable|down|busy|responded)",
-        r"^traceback most recent call last|^file \S+ line \S+ in \S|^raise \w+|^at [\w.$]+ \S+ java\b|^\w*(?:error|exception) \S+ at\b|^caused by \w*(?:error|exception)",
-        r"^(?:error|request|reference|incident|trace|ray|correlation|transaction|vorgang|référence|referencia)(?: (?:id|code|no|nr|number|nummer))? <\*>$|^(?:error|status|code|message)(?: (?:error|status|code|message|<code>|<\*>)){1,6}$",
+        _SERVER_DOWN, rf"^(?:no|none of the|all) {_SERVER} (?:is |are )?(?:available|ready|reachable|down|busy|responded)",
+        r"^traceback most recent call last|^file \S+ line <\*> in \S|^raise \w+|^at [\w.$]+ \S+ java\b|^\w*(?:error|exception) \S+ at\b|^caused by \w*(?:error|exception)",
+        r"^(?:error|request|reference|incident|trace|ray|correlation|transaction|vorgang|référence|referencia)(?: (?:id|code|no|nr|number|nummer))? <\*>$",
+        r"^error (?:code|status|message|<code>|<\*>)\b|^(?:status|code) (?:<code>|<\*>) (?:message|error)\b",
     ],
     "filler": [
         r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\b(?:insert|enter|add|put|type|write|place)\b(?: \S+){0,5} (?:text|content|title|name|summary|message|description|words?)(?: \S+){0,2} here\b",
         r"\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry|for)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
-        r"^(?:todo|tbd|fixme|tba)\b|^(?:n a|(?:content )?coming soon|under construction|to be (?:written|added|done|announced|completed))$|\bno content yet\b|\bcontent coming soon\b",
+        r"^(?:todo|tbd|fixme|tba)\b|^(?:(?:content )?coming soon|under construction|to be (?:written|added|done|announced|completed))$|\bno content yet\b|\bcontent coming soon\b",
         r"hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext|mustertext",
         r"texto de (?:relleno|ejemplo|muestra|prueba)|escriba aquí|reempla\w+ este texto|sustituy\w+ este texto|texte? (?:d'exemple|d’exemple|de remplissage|à remplacer|factice)|remplace\w* ce texte|à remplacer\b",
     ],
@@ -238,14 +240,18 @@ def _word(parsed) -> list[str] | None:
 
 
 def _best(sets: list[frozenset[str]]) -> frozenset[str]:
-    """The set that says most: literals of some length, and few of them."""
-    return max(sets, key=lambda s: (min(4, *map(len, s)) if len(s) > 1 else min(4, len(*s)), -len(s)), default=frozenset())
+    """The set that says most: literals of some length (wildcards aside), and few of them."""
+    return max(sets, key=lambda s: (min(4, *(len(x.replace(ANY, "").strip()) for x in s), 4), -len(s), min(map(len, s))), default=frozenset())
+
+
+# the part of a pattern whose words are rarest, where that isn't plain from their length and number
+RAREST = {TEMPLATES["notice"][0]: _SCRIPTS, _SERVER_DOWN: _DOWN}
 
 
 @functools.lru_cache(maxsize=256)
 def needs(pattern: str) -> tuple[str, ...]:
     """Literals of which every match holds one, so that they can be looked for first; empty if none is known."""
-    found = _best(_runs(_parser.parse(pattern)))
+    found = _best(_runs(_parser.parse(RAREST.get(pattern, pattern))))
     short = {x.strip(" ") for x in found}
     if not found or "" in short:
         return ()

@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import itertools
 import math
+import pickle
 import random
 import re
 
@@ -323,6 +324,12 @@ def test_encoding(spark):
 
 
 # -- 9 ---------------------------------------------------------------------------------------------
+def brute_readings(text):
+    """All sequences of words, with every line-end hyphen read either way."""
+    pieces = re.split(r"(?<=\w)-[ \t]*\r?\n[ \t>]*(?=\w)", text)
+    return [L.words("".join(p + g for p, g in zip(pieces, [*gaps, ""]))) for gaps in itertools.product(["", " "], repeat=len(pieces) - 1)]
+
+
 def items_and_docs():
     r = random.Random(9)
     vocab = [f"w{n}" for n in range(120)]
@@ -333,7 +340,11 @@ def items_and_docs():
         if n % 3 == 0:
             p = r.choice(items[:40])[1].split()
             k = r.randint(0, max(0, len(p) - 13))
-            w[r.randint(0, len(w)):0] = p[k : k + r.choice([12, 13, 14, 40])]
+            p = p[k : k + r.choice([12, 13, 14, 40])]
+            if n % 2:  # broken at some line ends, within words and between them
+                p = [x if r.random() < 0.8 else x[:1] + "-\n" + x[1:] for x in p]
+                p = [y for x in p for y in ([x] if "-" in x or r.random() < 0.9 else [x + "-\n" + "zz"])]
+            w[r.randint(0, len(w)):0] = p
         docs.append((n, " ".join(w)))
     return items, docs + [(900, None), (901, ""), (902, " "), (903, " ".join(vocab[:20]) * 2000), (904, "W0, **w1** <b>w2</b> w3\n> w4 w5&nbsp;w6 ｗ7 w8 w\u00ad9 w10 w11 [w12](/x y) w13")]
 
@@ -345,7 +356,7 @@ def test_leaks_against_brute_force(spark):
     want = set()
     runs = {i: {tuple(w[k : k + 13]) for k in range(len(w) - 12)} for i, p, _, _ in items if (w := L.words(p or ""))}
     for d, t in docs:
-        for w in L.variants(t or ""):
+        for w in brute_readings(t or ""):
             have = {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
             want |= {(d, i) for i, x in runs.items() if x & have}
     got = L.find(dd, it).collect()
@@ -367,11 +378,31 @@ def test_index_gives_all_above_threshold():
         assert sorted(ix.above(terms)) == [o for o in range(len(ix.ids)) if score[o] >= ix.threshold[o]]
 
 
+def test_hyphens_are_read_one_by_one(spark):
+    passage = "the well known parser of charlie keeps a short list of all old lines here"
+    it = spark.createDataFrame([(1, passage, "which parser", "old lines")], "item_id long, passage string, question string, answer string")
+    texts = [passage.replace("well known", "well-\nknown").replace("charlie", "char-\nlie"), passage.replace("old", "o-\nl-\nd"), passage.replace("charlie", "char-\nles"), "x-\ny " * 5000]
+    dd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.run_words, r.has_answer, r.evidence) for r in L.find(dd, it).collect()}
+    assert got == {0: (15, True, "run+answer"), 1: (15, True, "run+answer")}
+
+
+def test_many_items_are_one_pass():
+    """100,000 items make one block, and their index stays small."""
+    r = random.Random(4)
+    vocab = [f"v{n}" for n in range(20_000)]
+    items = [(n, " ".join(r.choices(vocab, k=40)), "q", "a") for n in range(4_000)]
+    assert sum(len(p) for _, p, _, _ in items) / 4_000 * 100_000 < L.BLOCK_BYTES
+    ix = L.Index(items)
+    assert len(pickle.dumps(ix)) < 6 * sum(len(p) for _, p, _, _ in items)
+    assert ix.search(items[7][1].split()) == {7: 40}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     items, docs = items_and_docs()
     it, dd = spark.createDataFrame(items, "item_id long, passage string, question string, answer string"), spark.createDataFrame(docs, "doc_id long, text string")
     whole = {(r.doc_id, r.item_id) for r in L.find(dd, it).collect()}
-    monkeypatch.setattr(L, "ITEM_BLOCK", 9)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 1500)
     assert {(r.doc_id, r.item_id) for r in L.find(dd, it).collect()} == whole
 
 
