@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.state import BUCKET, STEP, State
+from chatlore.operators.state import BUCKET, STEP, State, together
 from chatlore.shared import shared_dir
 
 NEVER = "9999-12-31"
@@ -74,19 +74,17 @@ class OrphanTracker:
         left = deleted.filter(known).select("parent_id").distinct().select("*", bucket)
 
         # what is new of parents and deletions, in the buckets that they touch
-        at_came = state.touched(came)
+        first = first.select("*", bucket)
+        at_came, at_left, at_refs = together([lambda x=x: state.touched(x) for x in (came, left, first)])
         had = self._read("parents", at_came)
         new_parents = came.join(had.select("parent_id"), "parent_id", "left_anti") if state.read_buckets["parents"] else came
-        state.write("parents", new_parents)
-        at_left = state.touched(left)
         was = self._read("gone", at_left)
-        state.write("gone", left.join(was.select("parent_id"), "parent_id", "left_anti") if state.read_buckets["gone"] else left)
+        new_gone = left.join(was.select("parent_id"), "parent_id", "left_anti") if state.read_buckets["gone"] else left
+        state.write_all([("parents", new_parents, None), ("gone", new_gone, None)])
         new_parents = state.read("parents", PARENTS, at_came).filter(F.col(STEP) == state.next)
         new_gone = state.read("gone", GONE, at_left).filter(F.col(STEP) == state.next).select("parent_id")
 
         # new references probe the parent index; ``now`` holds them, written once with what they are
-        first = first.select("*", bucket)
-        at_refs = state.touched(first)
         index = self._read("parents", at_refs).select("parent_id", "first_seen")
         gone = self._read("gone", at_refs).select("parent_id", F.lit(True).alias("is_gone"))
         status = (F.when(F.col("is_gone"), "deleted").when(F.col("first_seen").isNull(), "missing")
@@ -113,9 +111,8 @@ class OrphanTracker:
                 if state.read_buckets[name]:
                     rows = rows.join(new_gone, "parent_id", "left_semi").select(*REFS.names, BUCKET, F.lit("deleted").alias("status"))
                     opened = opened.unionByName(rows)
-        state.write("opened", opened.select(*OPENED.names, BUCKET))
-        state.write("waiting", waiting.select(*REFS.names, BUCKET), replace=stirred)
-        state.write("held", now.filter("status = 'held'").drop("status").select(*REFS.names, BUCKET))
+        state.write_all([("opened", opened.select(*OPENED.names, BUCKET), None), ("waiting", waiting.select(*REFS.names, BUCKET), stirred),
+                         ("held", now.filter("status = 'held'").drop("status").select(*REFS.names, BUCKET), None)])
         state.write("snapshots", self.snapshot().select("*", F.lit(str(step)).alias("step"), F.lit(0).alias(BUCKET)))
         for name, schema in TABLES.items():
             state.compact(name, schema, COMPACT)

@@ -9,6 +9,8 @@ folder later finds the last complete state. Reads name the buckets that they nee
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,14 @@ from pyspark.sql import types as T
 STEP, BUCKET = "_step", "_bucket"
 
 
+def together(jobs: list[Callable[[], object]]) -> list:
+    """Results of some jobs that don't depend on each other, run at the same time."""
+    if len(jobs) == 1:
+        return [jobs[0]()]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 class State:
     """Manifest: ``steps`` (what was applied) and, for each table, bucket -> steps whose rows count, and its schema."""
 
@@ -67,18 +77,25 @@ class State:
             keep = keep | (F.col(STEP).isin(*steps) & F.col(BUCKET).isin(*some))
         return self.spark.read.schema(full).parquet(f"{self.path}/{name}").filter(keep)
 
-    def write(self, name: str, rows: DataFrame, replace: list[int] | None = None) -> list[int]:
+    def write(self, name: str, rows: DataFrame, replace: list[int] | None = None) -> None:
         """Add rows (with ``_bucket``) to a table; ``replace``: buckets whose earlier rows no longer count."""
-        folder = f"{self.path}/{name}/{STEP}={self.next}"
-        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
-        path, fs = self._fs(f"{folder}/{BUCKET}=*")
-        written = sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.globStatus(path) or [])
-        live = self.manifest["tables"].setdefault(name, {})
-        for b in replace or ():
-            live[str(b)] = []
-        for b in written:
-            live[str(b)] = [*live.get(str(b), []), self.next]
-        return written
+        self.write_all([(name, rows, replace)])
+
+    def write_all(self, tables: list[tuple[str, DataFrame, list[int] | None]]) -> None:
+        """Write several tables, side by side."""
+        together([lambda n=n, r=r: self._put(n, r) for n, r, _ in tables])
+        for name, _, replace in tables:
+            path, fs = self._fs(f"{self.path}/{name}/{STEP}={self.next}/{BUCKET}=*")
+            live = self.manifest["tables"].setdefault(name, {})
+            for b in replace or ():
+                live[str(b)] = []
+            for b in sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.globStatus(path) or []):
+                live[str(b)] = [*live.get(str(b), []), self.next]
+
+    def _put(self, name: str, rows: DataFrame) -> None:
+        # one file a bucket, written by as many tasks as there are cores
+        tasks = min(self.buckets, self.spark.sparkContext.defaultParallelism)
+        rows.repartition(tasks, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{name}/{STEP}={self.next}")
 
     def done(self, step: int | str) -> bool:
         return step in self.manifest["steps"]

@@ -8,39 +8,40 @@ from pyspark.sql import functions as F
 from chatlore.operators.changes import current_state
 from chatlore.operators.decode import decode_lines, decode_tuples
 from chatlore.operators.orphans import references, track
+from chatlore.operators.state import together
 from chatlore.shared import table
 
 
-def feeds(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Current state of the three change feeds."""
-    reactions, revisions, zmojis = (table(spark, d, f"{n}_log") for n in ("reactions", "revisions", "zmojis"))
-    blank = F.col("instance").isNull() & F.col("body").isNull() & F.col("render_style").isNull()
-    return {
-        "reactions_log": current_state(reactions, ["zgram_id", "reaction", "creator"], deleted=~F.col("value"),
-                                       changes=F.col("value").isNotNull()),
-        "revisions_log": current_state(revisions, ["zgram_id"], deleted=blank),
-        "zmojis_log": current_state(zmojis, ["user_id"], deleted=F.col("zmojis").isNull()),
-    }
+def feed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Current state of a change feed."""
+    log = table(spark, d, name)
+    if name == "reactions_log":
+        return current_state(log, ["zgram_id", "reaction", "creator"], deleted=~F.col("value"), changes=F.col("value").isNotNull())
+    if name == "revisions_log":
+        return current_state(log, ["zgram_id"], deleted=F.col("instance").isNull() & F.col("body").isNull() & F.col("render_style").isNull())
+    return current_state(log, ["user_id"], deleted=F.col("zmojis").isNull())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    names = ("reactions_log", "revisions_log", "zmojis_log")
+    states = together([lambda n=n: feed(spark, d, n) for n in names])
     out = None
-    for name, state in feeds(spark, d).items():
+    for name, state in zip(names, states):
         rows = state.select(F.lit(name).alias("feed"), "seq")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def p4_reactions(spark: SparkSession, d: str) -> DataFrame:
-    return feeds(spark, d)["reactions_log"].select("zgram_id", "reaction", "creator", "seq")
+    return feed(spark, d, "reactions_log").select("zgram_id", "reaction", "creator", "seq")
 
 
 def p4_revisions(spark: SparkSession, d: str) -> DataFrame:
-    return feeds(spark, d)["revisions_log"].select("zgram_id", "instance", "body", "render_style", "seq")
+    return feed(spark, d, "revisions_log").select("zgram_id", "instance", "body", "render_style", "seq")
 
 
 def p4_zmojis(spark: SparkSession, d: str) -> DataFrame:
-    return feeds(spark, d)["zmojis_log"].select("user_id", "zmojis", "seq")
+    return feed(spark, d, "zmojis_log").select("user_id", "zmojis", "seq")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +77,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans per log, column and month of ``log_date``."""
-    return (
-        _tracker(spark, d).report()
-        .groupBy("feed", "ref_field", F.date_format("period", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_refs"))
-    )
+    """Orphans per log, column and month of ``log_date``: the last snapshot of the tracker."""
+    tracker = _tracker(spark, d)
+    last = tracker.snapshots().filter(F.col("step") == str(tracker.state.manifest["steps"][-1]))
+    return last.groupBy("feed", "ref_field", F.date_format("period", "yyyy-MM").alias("month")).agg(F.sum("n_refs").alias("n_refs"))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_reactions, p4_revisions, p4_zmojis, p5_found, p5_lines, p5_tuples,
