@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatlore.functions import text as T
 from chatlore.operators import facts, paging, policy
 from chatlore.operators.decode import decode_lines
-from chatlore.operators.index import Index, postings, vocabulary, with_tokens
+from chatlore.operators.index import Index, current_version, postings, publish, vocabulary, with_tokens
 from chatlore.plans import postings_plan, row_plan
 from chatlore.plans.parser import by_instance, by_reaction, by_sender, check_syntax, parse
 from chatlore.shared import shared_dir, table
@@ -35,6 +35,20 @@ def reactions(spark: SparkSession, d: str) -> DataFrame:
     return facts.reaction_counts(table(spark, d, "reactions_log"))
 
 
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, d: str) -> Index:
+    """The published index of the tables in a folder; built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    root = _PUBLISHED.get(key)
+    if root is None or current_version(spark, root) is None:
+        root = _PUBLISHED[key] = shared_dir(spark, "index")
+        Index.build(current(spark, d), f"{root}/v1", reactions(spark, d))
+        publish(spark, root, "v1")
+    return Index.open(spark, f"{root}/{current_version(spark, root)}")
+
+
 _W = T.TOKEN_RE2.replace("'", "''")
 BASE = f"""
 z0 AS (SELECT zgram_id, any_value(timesecs) AS timesecs, any_value(sender) AS sender, any_value(signature) AS signature, any_value(is_logged) AS is_logged,
@@ -74,10 +88,10 @@ def near(margin: int, globs: list[str], *fields: str) -> str:
 def _search(name: str, query: str, where: str, postings_too: bool = False) -> None:
     def by_rows(spark: SparkSession, d: str) -> DataFrame:
         plan = parse(query)
-        return row_plan.search(plan, docs(spark, d), reactions(spark, d)).select("zgram_id")
+        return row_plan.search_archive(plan, table(spark, d, "zgrams"), table(spark, d, "revisions_log"), reactions(spark, d)).select("zgram_id")
 
     def by_postings(spark: SparkSession, d: str) -> DataFrame:
-        return postings_plan.ids(parse(query), Index.of(current(spark, d), reactions(spark, d)))
+        return postings_plan.ids(parse(query), published(spark, d))
 
     QUERIES[name] = by_rows
     ORACLE[name] = f"WITH {BASE} SELECT zgram_id FROM t WHERE {where}"
@@ -154,8 +168,6 @@ def vocab_build(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {BASE} SELECT zgram_id FROM t WHERE {RELAY} OR {near(1, ['morning', 'backlog'])}")
 def index_published(spark: SparkSession, d: str) -> DataFrame:
     """Build an index on disk, publish it, open the published one and search it."""
-    from chatlore.operators.index import current_version, publish
-
     root = shared_dir(spark, "index")
     Index.build(current(spark, d), f"{root}/v1", reactions(spark, d))
     publish(spark, root, "v1")
@@ -327,7 +339,7 @@ def inflate_reactions(spark: SparkSession, d: str) -> DataFrame:
 
 # -- paging ----------------------------------------------------------------------------------------
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return row_plan.search(parse("relay"), docs(spark, d)).select("zgram_id", "timesecs")
+    return row_plan.search_archive(parse("relay"), table(spark, d, "zgrams"), table(spark, d, "revisions_log"))
 
 
 @_query(f"WITH {BASE} SELECT zgram_id FROM t WHERE {RELAY} ORDER BY zgram_id DESC LIMIT 20")

@@ -13,12 +13,12 @@ import re
 import sys
 import unicodedata
 
-# Look-alikes from other scripts, by letter.
+# Look-alikes from other scripts, and letters that their names don't tell, by letter.
 LOOK_ALIKES = {
-    "a": "ﾑคαаልДв", "b": "乃๒въጌБ", "c": "¢ςсር", "d": "∂๔ↁዕ", "e": "乇ﻉєэቿЄЁеЀ⋷⋶已∈ё", "f": "ｷिቻ",
-    "g": "ﻭﻮБኗ", "h": "んнђЂዘН", "i": "ﾉٱιเіጎϊІЇїίΪί", "j": "ﾌﻝנןјጋЈ", "k": "ズᛕкጕЌ", "l": "ﾚረן⅃", "m": "ﾶ๓мጠМ",
-    "n": "刀กηภиክИ", "o": "ѻσ๏оዐةόόбਠФ", "p": "ｱρקрየР", "q": "۹ợዒ", "r": "尺ягѓዪЯ", "s": "丂รѕነЅ", "t": "ｲՇтፕГ",
-    "u": "પυยцሁЦϋύ", "v": "√۷νשሀ𐌡", "w": "ฝωฬшሠЩ", "x": "ﾒซχאхሸЖ", "y": "ﾘץуЎሃӳӲЧ", "z": "乙չጊ",
+    "a": "ﾑคαаልДάव", "b": "乃๒въጌБ", "c": "¢ςсርɔҀↃ", "d": "∂๔ↁዕ", "e": "乇ﻉєэቿЄЁеЀ⋷⋶已∈ё", "f": "ｷिቻŦɟꟻ",
+    "g": "ﻭﻮБኗƃ", "h": "んнђЂዘН", "i": "ﾉٱιเіጎϊІЇїίΪί", "j": "ﾌﻝנןјጋЈɾ", "k": "ズᛕкጕЌ", "l": "ﾚረן⅃", "m": "ﾶ๓мጠМ",
+    "n": "刀กηภиክИ", "o": "ѻσ๏оዐةόбਠФēૅ", "p": "ｱρקрየРᴩꟼ", "q": "۹ợዒ", "r": "尺ягѓዪЯ", "s": "丂รѕነЅꙅꙄ", "t": "ｲՇтፕГ",
+    "u": "પυยцሁЦϋύᵾ", "v": "√۷νשሀ𐌡", "w": "ฝωฬшሠЩ", "x": "ﾒซχאхሸЖ", "y": "ﾘץуЎሃӳӲЧ", "z": "乙չጊ",
 }
 _NAME = re.compile(
     r"(?:^|\s)LATIN (?:SMALL|CAPITAL|LETTER SMALL CAPITAL|LETTER|SUBSCRIPT SMALL) (?:LETTER )?(?:(?:TURNED|REVERSED|DOTLESS|OPEN|SCRIPT|CLOSED|SMALL CAPITAL|INSULAR) )*([A-Z])(?: WITH .*)?$"

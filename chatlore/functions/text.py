@@ -31,12 +31,8 @@ def split_words(text: str) -> list[str]:
     return re.findall(r"[0-9A-Za-z\u0080-\U0010FFFF]+(?:'+[0-9A-Za-z\u0080-\U0010FFFF]+)*|[\x21-\x7E]", text)
 
 
-def glob_regex(glob: str, ascii_only: bool = False) -> str:
-    r"""Glob to an anchored regular expression: ``?`` one character, ``*`` any, ``\x`` itself.
-
-    An unescaped upper-case or an escaped lower-case letter makes the whole word exact; otherwise
-    each letter a-z also matches its other forms (only its upper case if ``ascii_only``).
-    """
+def _glob_chars(glob: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Characters with whether they were escaped, and whether the word is exact."""
     chars: list[tuple[str, bool]] = []
     i = 0
     while i < len(glob):
@@ -46,7 +42,24 @@ def glob_regex(glob: str, ascii_only: bool = False) -> str:
         else:
             chars.append((glob[i], False))
             i += 1
-    exact = any("A" <= c <= "Z" and not e or "a" <= c <= "z" and e for c, e in chars)
+    return chars, any("A" <= c <= "Z" and not e or "a" <= c <= "z" and e for c, e in chars)
+
+
+def exact_word(glob: str) -> str | None:
+    """The only word that a glob matches, if there is but one."""
+    chars, exact = _glob_chars(glob)
+    if any(not e and c in "?*" for c, e in chars) or not exact and any("a" <= c <= "z" for c, _ in chars):
+        return None
+    return "".join(c for c, _ in chars)
+
+
+def glob_regex(glob: str, ascii_only: bool = False) -> str:
+    r"""Glob to an anchored regular expression: ``?`` one character, ``*`` any, ``\x`` itself.
+
+    An unescaped upper-case or an escaped lower-case letter makes the whole word exact; otherwise
+    each letter a-z also matches its other forms (only its upper case if ``ascii_only``).
+    """
+    chars, exact = _glob_chars(glob)
     out = []
     for c, e in chars:
         if not e and c == "?":

@@ -56,10 +56,8 @@ class Index:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "Index":
-        try:
-            reactions = spark.read.parquet(f"{path}/reactions")
-        except Exception:  # an index without reactions
-            reactions = None
+        folder, fs = _pointer(spark, path, "reactions")
+        reactions = spark.read.parquet(f"{path}/reactions") if fs.exists(folder) else None
         return cls(spark, *[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "vocab")], reactions)
 
     def with_delta(self, newer: "Index") -> "Index":
@@ -79,15 +77,25 @@ def _pointer(spark: SparkSession, root: str, name: str = POINTER):
 
 
 def publish(spark: SparkSession, root: str, version: str) -> None:
-    """Make ``version`` (a folder below ``root``) the current one by replacing a pointer file."""
-    (new, fs), (now, _) = _pointer(spark, root, POINTER + ".new"), _pointer(spark, root)
+    """Make ``version`` (a folder below ``root``) the current one, by a new numbered pointer that is put in place
+    with one rename. A reader always finds a pointer: the one before stays until the new one is there."""
+    old = _pointers(spark, root)
+    n = max(old, default=-1) + 1
+    (new, fs), (now, _) = _pointer(spark, root, f".{POINTER}-{n}.new"), _pointer(spark, root, f"{POINTER}-{n}")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(now, False)
-    fs.rename(new, now)
+    if not fs.rename(new, now):
+        raise RuntimeError(f"{root}: another index was published at the same time")
+    for k in sorted(old)[:-1]:  # the last one may just be read
+        fs.delete(_pointer(spark, root, f"{POINTER}-{k}")[0], False)
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    path, fs = _pointer(spark, root, f"{POINTER}-*")
+    return [int(s.getPath().getName().rpartition("-")[2]) for s in fs.globStatus(path) or []]
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    path, fs = _pointer(spark, root)
-    return spark.read.text(f"{root}/{POINTER}").first()[0] if fs.exists(path) else None
+    found = _pointers(spark, root)
+    return spark.read.text(f"{root}/{POINTER}-{max(found)}").first()[0] if found else None

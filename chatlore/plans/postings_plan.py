@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlore.functions.text import glob_match
+from chatlore.functions.text import exact_word, glob_match
 from chatlore.operators.index import Index
 from chatlore.plans import nodes as P
 from chatlore.plans.row_plan import _parts
@@ -23,7 +23,9 @@ def _hits(word, ix: Index) -> DataFrame:
         post = post.filter("pos = 0")
     if right:
         post = post.filter("pos = field_len - 1")
-    if isinstance(core, P.Pattern):
+    if isinstance(core, P.Pattern) and (word := exact_word(core.glob)) is not None:
+        post = post.filter(F.col("token") == word)  # reaches the sorted files
+    elif isinstance(core, P.Pattern):
         post = post.join(ix.vocab.filter(glob_match(F.col("token"), core.glob)).select("token"), "token", "left_semi")
     return post.select("zgram_id", "field", "pos")
 
