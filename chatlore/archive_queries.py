@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlore.functions import text as T
@@ -16,6 +17,7 @@ from chatlore.plans.parser import by_instance, by_reaction, by_sender, check_syn
 from chatlore.shared import shared_dir, table
 from chatlore.sources import logs
 from chatlore.streaming import ingest
+from chatlore.streaming.sessions import Sessions, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +66,11 @@ rxc AS (SELECT reaction, zgram_id, count(*) AS n FROM rx WHERE value GROUP BY AL
 """
 
 
+_K = T.KARMA_RE2.replace("'", "''")
+_PP = (f"k AS (SELECT zgram_id, unnest(regexp_extract_all(body, '{_K}', 1)) AS key, unnest(regexp_extract_all(body, '{_K}', 2)) AS op FROM z), "
+       "pp AS (SELECT key, zgram_id, sum(CASE op WHEN '++' THEN 1 WHEN '--' THEN -1 ELSE 0 END)::BIGINT AS delta FROM k WHERE key NOT IN ('c', 'C') GROUP BY ALL)")
+
+
 def _re(glob: str) -> str:
     return T.glob_regex(glob).replace("'", "''")
 
@@ -249,11 +256,6 @@ def metadata_for_all(spark: SparkSession, d: str) -> DataFrame:
     return facts.metadata_for(wanted, *refs).groupBy("kind", "zgram_id").agg(F.count("*").alias("n"))
 
 
-_K = T.KARMA_RE2.replace("'", "''")
-_PP = (f"k AS (SELECT zgram_id, unnest(regexp_extract_all(body, '{_K}', 1)) AS key, unnest(regexp_extract_all(body, '{_K}', 2)) AS op FROM z), "
-       "pp AS (SELECT key, zgram_id, sum(CASE op WHEN '++' THEN 1 WHEN '--' THEN -1 ELSE 0 END)::BIGINT AS delta FROM k WHERE key NOT IN ('c', 'C') GROUP BY ALL)")
-
-
 @_query(f"WITH {BASE}, {_PP} SELECT key, zgram_id, delta FROM pp")
 def karma_delta(spark: SparkSession, d: str) -> DataFrame:
     return facts.karma_deltas(current(spark, d))
@@ -326,9 +328,40 @@ def tuple_prefix(spark: SparkSession, d: str) -> DataFrame:
     return facts.prefix_grabber(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), 2)
 
 
-@_query("SELECT DISTINCT value FROM (SELECT reaction AS value FROM reactions_log UNION ALL SELECT creator FROM reactions_log) WHERE value IS NOT NULL")
+_POOL = ("pool AS (SELECT DISTINCT value FROM (SELECT reaction AS value FROM reactions_log UNION ALL SELECT creator FROM reactions_log UNION ALL SELECT instance FROM revisions_log "
+         "UNION ALL SELECT body FROM revisions_log UNION ALL SELECT user_id FROM zmojis_log UNION ALL SELECT zmojis FROM zmojis_log UNION ALL SELECT key FROM pp) WHERE value IS NOT NULL), "
+         "codes AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM pool)")
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    rx, rev, zm = (table(spark, d, t) for t in ("reactions_log", "revisions_log", "zmojis_log"))
+    keys = facts.karma_deltas(current(spark, d))
+    return facts.dictionary([(rx, "reaction"), (rx, "creator"), (rev, "instance"), (rev, "body"), (zm, "user_id"), (zm, "zmojis"), (keys, "key")])
+
+
+@_query(f"WITH {BASE}, {_PP}, {_POOL} SELECT value FROM pool")
 def string_pool(spark: SparkSession, d: str) -> DataFrame:
-    return facts.dictionary(table(spark, d, "reactions_log"), ["reaction", "creator"])
+    return _pool(spark, d)
+
+
+@_query(f"WITH {BASE}, {_PP}, {_POOL} SELECT value, code FROM codes")
+def string_codes(spark: SparkSession, d: str) -> DataFrame:
+    return facts.string_codes(_pool(spark, d))
+
+
+@_query(f"WITH {BASE}, {_PP}, {_POOL} SELECT zgram_id, r.code AS reaction, c.code AS creator FROM (SELECT zgram_id, reaction, creator FROM rx WHERE value) x JOIN codes r ON r.value = x.reaction JOIN codes c ON c.value = x.creator")
+def frozen_reactions(spark: SparkSession, d: str) -> DataFrame:
+    """Current reactions with codes of the pool in place of strings."""
+    rx = facts.current_reactions(table(spark, d, "reactions_log")).select("zgram_id", "reaction", "creator")
+    return facts.freeze(rx, ["reaction", "creator"], facts.string_codes(_pool(spark, d))).select("zgram_id", "reaction", "creator")
+
+
+@_query(f"WITH {BASE}, c AS (SELECT reaction, zgram_id::VARCHAR AS z, creator FROM rx WHERE value) SELECT 0 AS level, '' AS grp, count(DISTINCT reaction) AS n FROM c UNION ALL "
+        "SELECT 1, reaction, count(DISTINCT z) FROM c GROUP BY reaction UNION ALL SELECT 2, reaction || ' ' || z, count(DISTINCT creator) FROM c GROUP BY reaction, z")
+def nested_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Group sizes of reaction > message > creator at each level."""
+    rx = facts.current_reactions(table(spark, d, "reactions_log"))
+    return facts.nested_sizes(rx, ["reaction", "zgram_id", "creator"]).select("level", F.array_join("group", " ").alias("grp"), "n")
 
 
 @_query(f"WITH {BASE} SELECT zgram_id, string_agg(reaction || ':' || c, ' ' ORDER BY reaction) AS nested FROM (SELECT zgram_id, reaction, string_agg(creator, ',' ORDER BY creator) AS c FROM rx WHERE value GROUP BY ALL) GROUP BY zgram_id")
@@ -412,13 +445,97 @@ def unread_count(spark: SparkSession, d: str) -> DataFrame:
     return policy.unread(current(spark, d), 5000)
 
 
-@_query(f"WITH {BASE} SELECT 'rx' AS kind, seq FROM (SELECT DISTINCT seq, creator FROM reactions_log) WHERE creator = 'kifafi' UNION ALL "
-        "SELECT 'zgrev', seq FROM (SELECT DISTINCT seq, zgram_id FROM revisions_log) r JOIN z0 USING (zgram_id) WHERE z0.sender = 'kifafi'")
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """All metadata records once, in one shape."""
+    out = None
+    for name, kind in (("reactions_log", "rx"), ("revisions_log", "zgrev"), ("refers_log", "ref"), ("zmojis_log", "zmojis")):
+        t = table(spark, d, name)
+        def c(x: str, of: str) -> Column:
+            return F.col(x).cast(of).alias(x) if x in t.columns else F.lit(None).cast(of).alias(x)
+        rows = t.select(F.lit(kind).alias("kind"), "seq", c("zgram_id", "long"), c("creator", "string"), c("user_id", "string")).distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_ALLOWED = """a AS (SELECT 'rx' AS kind, seq, zgram_id FROM (SELECT DISTINCT seq, zgram_id, creator FROM reactions_log) WHERE creator = 'kifafi' UNION ALL
+SELECT 'zgrev', seq, zgram_id FROM (SELECT DISTINCT seq, zgram_id FROM revisions_log) r JOIN z0 USING (zgram_id) WHERE z0.sender = 'kifafi' UNION ALL
+SELECT 'ref', seq, zgram_id FROM (SELECT DISTINCT seq, zgram_id FROM refers_log) r JOIN z0 USING (zgram_id) WHERE z0.sender = 'kifafi' UNION ALL
+SELECT DISTINCT 'zmojis', seq, NULL FROM zmojis_log)"""
+
+
+@_query(f"WITH {BASE}, {_ALLOWED} SELECT kind, seq FROM a")
 def sanitize_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Which reactions and revisions one user may post."""
-    rx = table(spark, d, "reactions_log").select(F.lit("rx").alias("kind"), "seq", "zgram_id", "creator").distinct()
-    rev = table(spark, d, "revisions_log").select(F.lit("zgrev").alias("kind"), "seq", "zgram_id", F.lit(None).cast("string").alias("creator")).distinct()
-    return policy.sanitize(rx.unionByName(rev), facts.messages(table(spark, d, "zgrams")), F.lit("kifafi")).select("kind", "seq")
+    """Which records of all kinds one user may post."""
+    return policy.sanitize(_records(spark, d), facts.messages(table(spark, d, "zgrams")), F.lit("kifafi")).select("kind", "seq")
+
+
+# -- live searches ---------------------------------------------------------------------------------
+def _sessions(spark: SparkSession, d: str) -> Sessions:
+    s = Sessions(spark, shared_dir(spark, "live"), Tables(*[table(spark, d, t) for t in ("zgrams", "reactions_log", "revisions_log", "refers_log", "zmojis_log")]))
+    s.index = published(spark, d)
+    return s
+
+
+_PAGE = f"p AS (SELECT zgram_id FROM t WHERE {RELAY} AND zgram_id < 3000 ORDER BY zgram_id DESC LIMIT 20)"
+
+
+def _first_page(spark: SparkSession, d: str):
+    s = _sessions(spark, d)
+    s.subscribe("a", "kifafi", "relay", "zgram", 3000)
+    return s, s.get_more("a", "front", 20)
+
+
+@_query(f"WITH {BASE}, n AS (SELECT count(*) FILTER (zgram_id >= 3000) AS b, count(*) FILTER (zgram_id < 3000) AS f FROM t WHERE {RELAY}) "
+        "SELECT 'back' AS side, least(b, 20) AS count, b < 20 AS exact FROM n UNION ALL SELECT 'front', least(f, 20), f < 20 FROM n")
+def subscribe_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """What a new subscription is told first."""
+    return _sessions(spark, d).subscribe("a", "kifafi", "relay", "zgram", 3000)[1]
+
+
+@_query(f"WITH {BASE}, {_PAGE} SELECT zgram_id, sender, body FROM z JOIN p USING (zgram_id)")
+def get_more_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _first_page(spark, d)[1].rows.select("zgram_id", "sender", "body")
+
+
+@_query(f"WITH {BASE}, {_REFS}, {_PAGE} SELECT 'rx' AS kind, zgram_id, count(*) AS n FROM rx JOIN p USING (zgram_id) WHERE value GROUP BY ALL UNION ALL "
+        "SELECT 'zgrev', zgram_id, count(DISTINCT seq) FROM revisions_log JOIN p USING (zgram_id) GROUP BY ALL UNION ALL SELECT 'ref', zgram_id, count(*) FROM ref JOIN p USING (zgram_id) WHERE value GROUP BY ALL")
+def get_more_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _first_page(spark, d)[1].metadata.groupBy("kind", "zgram_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {BASE}, {_PP}, {_PAGE}, r AS (SELECT key, zgram_id, sum(delta) OVER (PARTITION BY key ORDER BY zgram_id)::BIGINT AS karma FROM pp) SELECT key, zgram_id, karma FROM r JOIN p USING (zgram_id)")
+def get_more_karma(spark: SparkSession, d: str) -> DataFrame:
+    return _first_page(spark, d)[1].karma
+
+
+@_query(f"WITH {BASE}, n AS (SELECT count(*) FILTER (zgram_id >= 3000) AS b, count(*) FILTER (zgram_id < (SELECT min(zgram_id) FROM (SELECT zgram_id FROM t WHERE {RELAY} AND zgram_id < 3000 ORDER BY zgram_id DESC LIMIT 20))) AS f FROM t WHERE {RELAY}) "
+        "SELECT 'back' AS side, least(b, 20) AS count, b < 20 AS exact FROM n UNION ALL SELECT 'front', least(f, 20), f < 20 FROM n")
+def get_more_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """What is left after the first page."""
+    return _first_page(spark, d)[1].estimates
+
+
+@_query(f"WITH {BASE}, {_ALLOWED}, {_PAGE} SELECT 'a' AS sub_id, kind, seq FROM a WHERE zgram_id BETWEEN (SELECT min(zgram_id) FROM p) AND (SELECT max(zgram_id) FROM p) UNION "
+        "SELECT 'a', 'zmojis', seq FROM zmojis_log WHERE user_id = 'kifafi'")
+def post_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """One user posts every record again: who is told of what, after it was sanitised and appended."""
+    s, _ = _first_page(spark, d)
+    root = shared_dir(spark, "posted")
+
+    def append(allowed: DataFrame) -> Tables:
+        allowed.select("kind", "seq", "zgram_id").write.parquet(root)
+        return s.tables
+    return s.post_metadata("a", _records(spark, d), append)
+
+
+@_query(f"WITH {BASE} SELECT zgram_id FROM t JOIN z USING (zgram_id) WHERE ({RELAY.replace('instance', 't.instance').replace('body', 't.body')}) AND (is_logged OR z.log_date >= (SELECT max(log_date) FROM zgrams) - 7)")
+def reindex_and_reset(spark: SparkSession, d: str) -> DataFrame:
+    """A search of a subscription that was moved over to the next index, built when its time came."""
+    s = _sessions(spark, d)
+    s.subscribe("a", "kifafi", "relay")
+    today = s.tables.zgrams.agg(F.max("log_date")).first()[0]
+    s.maintain(dt.datetime(today.year, today.month, today.day))
+    return s.subscriptions["a"].hits.select("zgram_id")
 
 
 @_query(f"WITH {BASE} SELECT zgram_id, coalesce(length(trim(instance, ' ')) > 0 AND length(trim(body, ' ')) > 0, false) AS ok FROM z")
@@ -457,30 +574,42 @@ def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return decode_lines(lines).valid().select("zgram_id", "timesecs", "sender", "signature", "instance", "body")
 
 
-@_query("SELECT layout, count(*) AS n FROM (SELECT DISTINCT seq, 'ref' AS layout FROM refers_log WHERE zgram_id IS NOT NULL AND refers_to IS NOT NULL AND value IS NOT NULL UNION ALL "
-        "SELECT DISTINCT seq, 'rx' FROM reactions_log WHERE zgram_id IS NOT NULL AND reaction IS NOT NULL AND creator IS NOT NULL AND value IS NOT NULL) GROUP BY ALL")
-def log_directory(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata written as a log directory, read back by path and decoded."""
+_WRITABLE = {"zgrams": (["zgram_id", *("timesecs", "sender", "signature", "is_logged", "instance", "body", "render_style")], "zgram_id"),
+             "reactions_log": (["zgram_id", "reaction", "creator", "value"], "seq"), "revisions_log": (["zgram_id", "instance", "body", "render_style"], "seq"),
+             "refers_log": (["zgram_id", "refers_to", "value"], "seq"), "zmojis_log": (["user_id", "zmojis"], "seq")}
+_LINES = "lines AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{name}' AS feed, {key} AS key, {'is_logged' if name == 'zgrams' else 'true'} AS is_logged, log_date FROM {name} WHERE log_date IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    for name, (cols, key) in _WRITABLE.items()) + ")"
+
+
+def _write_logs(spark: SparkSession, d: str) -> str:
+    """All records as a log directory. A null can't be written: the layouts have none."""
     root = shared_dir(spark, "logs")
-    rx = table(spark, d, "reactions_log").filter("zgram_id is not null and reaction is not null and creator is not null and value is not null").dropDuplicates(["seq"])
-    ref = table(spark, d, "refers_log").filter("zgram_id is not null and refers_to is not null and value is not null").dropDuplicates(["seq"])
-    lines = logs.encode({"reactions_log": rx, "refers_log": ref})
-    for part, kind in ((lines.filter("layout = 'rx'"), "logged"), (lines.filter("layout = 'ref'"), "unlogged")):
-        # one file of one day and kind
-        part.select("line").coalesce(1).write.text(f"{root}/tmp-{kind}")
-        _place(spark, f"{root}/tmp-{kind}", f"{root}/{logs.plaintext_path('20010205', kind == 'logged')}")
-    got = logs.load(logs.read(spark, root))
-    return got["reactions_log"].select(F.lit("rx").alias("layout")).unionByName(got["refers_log"].select(F.lit("ref").alias("layout"))).groupBy("layout").agg(F.count("*").alias("n"))
-
-
-def _place(spark: SparkSession, folder: str, to: str) -> None:
-    """Move the only part file of a folder to a path."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.globStatus(path(f"{folder}/part-*")))
-    fs.mkdirs(path(to).getParent())
-    fs.rename(part, path(to))
+    rows = {}
+    for name, (cols, key) in _WRITABLE.items():
+        t = table(spark, d, name).dropna(subset=[*cols, "log_date"])
+        rows[name] = t.dropDuplicates([key]) if name == "zgrams" else t.dropDuplicates(["seq"]).withColumn("is_logged", F.lit(True))
+    logs.append(logs.encode(rows, "is_logged", "log_date").withColumnRenamed("seq", "nth"), root)
+    return root
+
+
+@_query(f"WITH {_LINES} SELECT feed, log_date::VARCHAR AS log_date, count(*) AS n FROM lines GROUP BY ALL")
+def log_directory(spark: SparkSession, d: str) -> DataFrame:
+    """All records of five kinds appended to the logs of their days, read back by path and decoded."""
+    got = logs.load(logs.read(spark, _write_logs(spark, d)))
+    out = None
+    for name in _WRITABLE:
+        rows = got[name].select(F.lit(name).alias("feed"), F.col("log_date").cast("string").alias("log_date"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("feed", "log_date").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LINES} SELECT is_logged, log_date::VARCHAR AS log_date, count(*) AS n FROM lines WHERE "
+        "(is_logged AND log_date BETWEEN DATE '2001-02-01' AND DATE '2001-03-31') OR (NOT is_logged AND log_date >= DATE '2001-02-15') GROUP BY ALL")
+def log_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Each kind clipped to a range of its own."""
+    rows = logs.read(spark, _write_logs(spark, d), logged=(("20010201", 0), ("20010401", 0)), unlogged=(("20010215", 0), ("99991231", 0)))
+    return rows.groupBy(F.col("is_logged_file").alias("is_logged"), F.col("log_date").cast("string").alias("log_date")).agg(F.count("*").alias("n"))
 
 
 @_query(ORACLE["karma_delta"])

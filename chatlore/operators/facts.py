@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlore.functions import text as T
+from chatlore.shared import cut
 
 
 # -- sorted-stream operators -----------------------------------------------------------------------
@@ -47,13 +48,44 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str,
     return rows.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_block", "_before")
 
 
-def dictionary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Sorted distinct strings of some columns."""
+def dictionary(columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(value) distinct strings of some columns, in ranges of values and sorted within each."""
     out = None
-    for c in columns:
+    for rows, c in columns:
         part = rows.select(F.col(c).alias("value")).filter(F.col(c).isNotNull())
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.distinct().repartitionByRange("value").sortWithinPartitions("value")
+
+
+def string_codes(pool: DataFrame) -> DataFrame:
+    """(value, code): codes from 0 in order of the strings. Numbered within ranges, then over the ranges' sizes."""
+    ranged = cut(pool.withColumn("_range", F.spark_partition_id()), "pool")
+    size = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    # one row a range
+    sizes = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = size.select("_range", F.coalesce(F.sum("n").over(sizes), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("value"))
+    return ranged.withColumn("rank", rank).join(before, "_range").select("value", (F.col("before") + F.col("rank") - 1).alias("code"))
+
+
+def freeze(rows: DataFrame, columns: list[str], codes: DataFrame) -> DataFrame:
+    """``rows`` with codes in place of strings. A string that has no code stops the query; null stays null."""
+    for c in columns:
+        coded = codes.select(F.col("value").alias(c), F.col("code").alias("_code"))
+        missing = F.raise_error(F.concat(F.lit("not in the pool: "), F.col(c)))
+        rows = rows.join(coded, c, "left").withColumn(c, F.when(F.col(c).isNull(), F.lit(None)).when(F.col("_code").isNull(), missing.cast("long")).otherwise(F.col("_code"))).drop("_code")
+    return rows
+
+
+def nested_sizes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(level, group, n): for the groups of each nesting level, how many distinct members of the next level they hold."""
+    out = None
+    for level in range(len(columns)):
+        members = rows.select(*columns[: level + 1]).distinct()
+        group = F.array(*[F.col(c).cast("string") for c in columns[:level]]) if level else F.array().cast("array<string>")
+        one = members.groupBy(group.alias("group")).agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "group", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def inflate(rows: DataFrame, outer: str, inner: str, value: str) -> DataFrame:

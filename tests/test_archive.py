@@ -10,6 +10,7 @@ from chatlore.plans import postings_plan
 from chatlore.plans.parser import parse
 from chatlore.sources import logs
 from chatlore.streaming import ingest
+from chatlore.streaming.sessions import Sessions, Tables
 
 DAY = dt.date(2001, 2, 5)
 
@@ -104,15 +105,95 @@ def test_logs_round_trip_through_a_directory(spark, tmp_path):
     assert logs.load(bad, fail_fast=False)["zgrams"].count() == 0
 
 
-def test_compact_and_append(spark, tmp_path):
-    for n, text in enumerate(("b\na\n", "c\n")):
-        (tmp_path / f"part{n}").write_text(text)
-    logs.compact(spark, [f"file://{tmp_path}/part{n}" for n in (0, 1)], f"file://{tmp_path}/out")
-    assert [r.value for r in spark.read.text(f"file://{tmp_path}/out").collect()] == ["b", "a", "c"]
-    lines = spark.createDataFrame([(True, DAY, "x"), (False, DAY, "y")], "is_logged boolean, log_date date, line string")
-    for _ in range(2):
-        logs.append(lines, f"file://{tmp_path}/log")
-    assert spark.read.text(f"file://{tmp_path}/log").filter("is_logged = 'true'").count() == 2
+def test_append_read_clip_compact_and_next_position(spark, tmp_path):
+    root = f"file://{tmp_path}/log"
+    day2 = dt.date(2001, 2, 6)
+    assert logs.next_position(spark, root, "20010205", True) == ("20010205", 0)
+    for n in range(2):
+        lines = spark.createDataFrame([(True, DAY, f"a{n}", 0), (True, DAY, f"bb{n}", 1), (False, DAY, f"c{n}", 0), (True, day2, f"é{n}", 2)], "is_logged boolean, log_date date, line string, nth int")
+        logs.append(lines, root)
+    rows = logs.read(spark, root).orderBy("line_id").collect()
+    assert [(r.log_date, r.is_logged_file, r.line_no, r.begin, r.line) for r in rows] == [
+        (DAY, False, 1, 0, "c0"), (DAY, False, 2, 3, "c1"), (DAY, True, 1, 0, "a0"), (DAY, True, 2, 3, "bb0"), (DAY, True, 3, 7, "a1"), (DAY, True, 4, 10, "bb1"),
+        (day2, True, 1, 0, "é0"), (day2, True, 2, 4, "é1")]
+    got = logs.read(spark, root, logged=(("20010205", 3), ("20010206", 4)), unlogged=(("20010205", 0), ("20010205", 3)))
+    assert sorted(r.line for r in got.collect()) == ["a1", "bb0", "bb1", "c0", "é0"]
+    assert logs.next_position(spark, root, "20010205", True) == ("20010206", 8) and logs.next_position(spark, root, "20010207", True) == ("20010207", 0)
+    assert logs.next_position(spark, root, "20010205", False) == ("20010205", 6)
+    logs.compact(spark, root, "20010205", True)
+    assert (tmp_path / "log/logged/2001/02/20010205.logged").read_text() == "a0\nbb0\na1\nbb1\n"
+    assert [(r.line_no, r.begin, r.line) for r in logs.read(spark, root).orderBy("line_id").collect()] == [(r.line_no, r.begin, r.line) for r in rows]
+    logs.append(spark.createDataFrame([(True, DAY, "z")], "is_logged boolean, log_date date, line string"), root)
+    assert [r.line for r in logs.read(spark, root).filter("is_logged_file").orderBy("line_id").collect()][:5] == ["a0", "bb0", "a1", "bb1", "z"]
+
+
+def test_wrong_kind(spark):
+    lines = spark.createDataFrame([(1, True), (2, False)], "line_id long, is_logged_file boolean")
+    z = spark.createDataFrame([(1, 10, False), (2, 11, False)], "seq long, zgram_id long, is_logged boolean")
+    assert [r.zgram_id for r in logs.wrong_kind(lines, z).collect()] == [10]
+
+
+def test_strings_are_frozen(spark):
+    rows = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "é", "a")], "n int, s string, t string")
+    codes = facts.string_codes(facts.dictionary([(rows, "s"), (rows, "t")]))
+    assert {r.value: r.code for r in codes.collect()} == {"a": 0, "b": 1, "x": 2, "é": 3}
+    assert sorted(map(tuple, facts.freeze(rows, ["s", "t"], codes).select("n", "s", "t").collect())) == [(1, 1, 2), (2, 0, None), (3, 3, 0)]
+    with pytest.raises(Exception, match="not in the pool: é"):
+        facts.freeze(rows, ["s"], codes.filter("value <> 'é'")).collect()
+    assert sorted((r.level, tuple(r.group), r.n) for r in facts.nested_sizes(rows, ["s", "t"]).collect()) == [(0, (), 3), (1, ("a",), 1), (1, ("b",), 1), (1, ("é",), 1)]
+
+
+def live(spark, tmp_path):
+    z = zgrams(spark, [(n, n, "ann" if n % 2 else "bob", "ops", f"tea {n} k++") for n in range(30)])
+    rx = spark.createDataFrame([(1, 20, "up", "ann", True), (2, 3, "up", "bob", True)], "seq long, zgram_id long, reaction string, creator string, value boolean")
+    rev = revisions(spark, [(3, 21, "ops", "tea again", "d")])
+    ref = spark.createDataFrame([(4, 21, 20, True)], "seq long, zgram_id long, refers_to long, value boolean")
+    zm = spark.createDataFrame([(5, "ann", "a,b")], "seq long, user_id string, zmojis string")
+    return Sessions(spark, f"file://{tmp_path}", Tables(z, rx, rev, ref, zm))
+
+
+def test_sessions(spark, tmp_path):
+    s = live(spark, tmp_path)
+    now = dt.datetime(2001, 2, 6)
+    first = s.maintain(now)
+    assert first and s.maintain(now + dt.timedelta(seconds=599)) is None
+    ok, est, palette = s.subscribe("a", "ann", "tea", "zgram", 15)
+    assert ok and {r.side: r["count"] for r in est.collect()} == {"back": 15, "front": 15} and palette.first().zmojis == "a,b"
+    assert s.subscribe("b", "bob", '"open')[0] is False and "b" not in s.subscriptions
+    seen = []
+    for side in ("back", "front", "back"):
+        page = s.get_more("a", side, 4)
+        seen += page.ids
+    assert seen == [15, 16, 17, 18, 14, 13, 12, 11, 19, 20, 21, 22]
+    assert sorted((r.kind, r.zgram_id) for r in page.metadata.collect()) == [("ref", 21), ("rx", 20), ("zgrev", 21)]
+    assert {(r.key, r.zgram_id): r.karma for r in page.karma.collect()} == {("k", 19): 20, ("k", 20): 21, ("k", 22): 22}
+    assert {r.side: r["count"] for r in page.estimates.collect()} == {"back": 7, "front": 11}
+    assert set(s.estimates_changed()) == {"a"} and s.estimates_changed() == {}
+
+    records = spark.createDataFrame([("rx", 10, 12, "ann", None), ("rx", 11, 12, "bob", None), ("zgrev", 12, 20, None, None), ("zgrev", 13, 13, None, None), ("rx", 14, 2, "ann", None), ("zmojis", 15, None, None, "ann")],
+                                    "kind string, seq long, zgram_id long, creator string, user_id string")
+    kept = []
+
+    def append(allowed):
+        kept.extend(r.seq for r in allowed.collect())
+        return s.tables
+    told = s.post_metadata("a", records, append)
+    assert sorted(kept) == [10, 13, 14, 15] and sorted((r.sub_id, r.seq) for r in told.collect()) == [("a", 10), ("a", 13), ("a", 15)]
+    assert s.maintain(now + dt.timedelta(seconds=600)) not in (None, first)
+    assert (s.subscriptions["a"].cursor.back, s.subscriptions["a"].cursor.front) == (23, 11)
+    s.unsubscribe("a")
+    assert not s.subscriptions
+
+
+def test_no_text_is_moved_by_a_search(spark, small):
+    from chatlore.archive_queries import QUERIES
+
+    QUERIES["word_search"](spark, small).count()
+    plan = QUERIES["word_search"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanges and not [line for line in exchanges if "body" in line or "instance" in line]
+    under = plan.split("Exchange")
+    assert all("tok_body" not in part.split("\n")[0] for part in under[1:])
 
 
 def test_out_of_order_ids(spark):

@@ -8,7 +8,7 @@ from chatlore.functions import text as T
 from chatlore.operators.index import Index, with_tokens
 from chatlore.plans import nodes as P
 from chatlore.plans import postings_plan, row_plan
-from chatlore.plans.parser import QuerySyntaxError, by_instance, by_reaction, check_syntax, parse
+from chatlore.plans.parser import QuerySyntaxError, by_instance, by_reaction, by_sender, check_syntax, from_url, parse
 
 D = "instance|body"
 GOLDEN = {
@@ -142,3 +142,32 @@ def test_both_plans_equal_brute_force(spark):
         want = {r["zgram_id"] for r in local if brute(plan, r, reacted)}
         assert {r.zgram_id for r in row_plan.search(plan, docs, reactions).collect()} == want, q
         assert {r.zgram_id for r in postings_plan.search(plan, ix).collect()} == want, q
+
+
+def test_links():
+    base = "https://archive.example/?"
+    assert from_url(base) == ("", "end", None)
+    assert from_url(base + "id=68&q=tea") == ("zgramid(68)", "end", None)
+    assert from_url(base + "id=x&s=ann&soid=12") == (by_sender("ann"), "zgram", 12)
+    assert from_url(base + "q=tea+cup&i=help.relay&sots=983000000&zz=1") == (by_instance("help.relay"), "timestamp", 983000000)
+    assert from_url(base + "q=a%20or%20b&soid=5&sots=7&soid=") == ("a or b", "timestamp", 7)
+
+
+# Letters that a loosely written word must match, by hand, and some that it must not.
+LOOSE = {"a": "ά व ﾑ ⓐ à Ⱥ", "c": "ɔ Ҁ Ↄ ς ć", "f": "Ŧ ɟ ꟻ ḟ", "g": "ƃ ǵ", "j": "ɾ ј", "o": "ē ૅ ø ة", "p": "ᴩ ꟼ ρ", "s": "ꙅ Ꙅ ѕ", "u": "ᵾ ц ü", "e": "⋶ 已 ǝ", "x": "Ж χ", "z": "乙 Ƶ"}
+NOT_LOOSE = {"a": "в b ß", "c": "k с̀x", "f": "t", "o": "0 q", "z": "s 2"}
+
+
+def test_look_alikes(spark):
+    for letters, wanted in ((LOOSE, True), (NOT_LOOSE, False)):
+        for letter, forms in letters.items():
+            df = spark.createDataFrame([(f,) for f in forms.split()], "w string")
+            assert {r[0] for r in df.select(T.glob_match(F.col("w"), letter)).collect()} == {wanted}, letter
+
+
+def test_proximity_is_linear(spark):
+    """The last place is enough: a later start never does worse."""
+    docs = with_tokens(spark.createDataFrame([(1, "", "", "", "a x x x a x b"), (2, "", "", "", "a x x x b"), (3, "", "", "", "b a"), (4, "", "", "", "a " * 60_000 + "b c"), (5, "", "", "", "a a b a x c")],
+                                             "zgram_id long, sender string, signature string, instance string, body string"))
+    assert {r.zgram_id for r in row_plan.search(parse("~a b~"), docs).collect()} == {1, 4, 5}
+    assert {r.zgram_id for r in row_plan.search(parse("~a b c~"), docs).collect()} == {4, 5}
