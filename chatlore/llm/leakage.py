@@ -29,7 +29,6 @@ import functools
 import html
 import math
 import re
-import sys
 import unicodedata
 from array import array
 from bisect import bisect_left
@@ -54,18 +53,10 @@ _WORD = re.compile(rf"[^\W_]+(?:{JOINT}[^\W_]+)*")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t>]*(?=\w)")
 
 
-@functools.lru_cache(maxsize=1)
-def _unseen() -> re.Pattern:
-    """Invisible characters and combining marks that are no letters."""
-    parts, n = [], 0
-    while n <= sys.maxunicode:
-        m = n
-        while m <= sys.maxunicode and unicodedata.category(chr(m)) in ("Cf", "Mn") and not chr(m).isalnum():
-            m += 1
-        if m > n:
-            parts.append(f"{re.escape(chr(n))}-{re.escape(chr(m - 1))}")
-        n = max(m, n + 1)
-    return re.compile(f"[{''.join(parts)}]+")
+@functools.lru_cache(maxsize=1 << 16)
+def _unseen(c: str) -> bool:
+    """Whether a character is invisible or a combining mark that is no letter."""
+    return unicodedata.category(c) in ("Cf", "Mn") and not c.isalnum()
 
 
 def units(text: str) -> list[str]:
@@ -81,7 +72,10 @@ def units(text: str) -> list[str]:
     if "](" in text:
         text = _TARGET.sub("] ", text)
     if not text.isascii():
-        text = _unseen().sub("", unicodedata.normalize("NFKC", text))
+        text = unicodedata.normalize("NFKC", text)
+        for c in set(text):
+            if c > "\x7f" and _unseen(c):
+                text = text.replace(c, "")
     text = text.lower()
     if "'" in text or "’" in text:
         text = text.replace("'", "").replace("’", "")
@@ -99,12 +93,20 @@ def readings(unit: str) -> set[str]:
     return {"".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)}
 
 
-def longest_run(document: list[str], item: list[str], at: dict[str, list[int]]) -> int:
+def longest_run(document: list[str], at: dict[str, list[int]]) -> int:
     """Words of the longest run that the units of a document share with an item; ``at``: word -> its places in the item."""
     best = 0
     open_runs: dict[int, int] = {}  # next place in the item -> words so far
     for u in document:
-        parts = u.split(JOINT) if JOINT in u else [u]
+        if JOINT not in u:
+            places = at.get(u)
+            if not places:
+                open_runs = {}
+                continue
+            open_runs = {p + 1: open_runs.get(p, 0) + 1 for p in places}
+            best = max(best, *open_runs.values())
+            continue
+        parts = u.split(JOINT)
         states: list[dict[int, int]] = [open_runs, *({} for _ in parts)]
         for i in range(len(parts)):
             for j in range(i + 1, len(parts) + 1):
@@ -117,11 +119,16 @@ def longest_run(document: list[str], item: list[str], at: dict[str, list[int]])
     return best
 
 
+def _ordinal(cursor: list) -> int:
+    return cursor[0]
+
+
 class Index:
     """Postings of a block of items in flat arrays, with the upper bounds of terms and posting blocks."""
 
     def __init__(self, items: list[tuple[int, str, str, str]], min_run: int = MIN_RUN):
         self.min_run = min_run
+        self.asked: dict[int, dict[str, list[int]]] = {}
         self.ids, self.texts = array("q"), []
         self.question, self.answer = [], []
         for item_id, passage, question, answer in items:
@@ -146,20 +153,24 @@ class Index:
             starts = range(len(w) - min_run + 1)
             self.threshold.append(min(sum(impact[x] for x in set(w[i : i + min_run])) for i in starts) - 1e-9)
         self.least = min(self.threshold, default=math.inf)
-        # term -> (most, ordinals, impacts, the most of each block)
-        self.postings = {x: (max(v), o, v, array("d", [max(v[k : k + POSTING_BLOCK]) for k in range(0, len(o), POSTING_BLOCK)]))
-                         for x, (o, v) in postings.items()}
+        # term -> (most, ordinals, impacts, the last ordinal and the most of each block)
+        self.postings = {}
+        for x, (o, v) in postings.items():
+            cuts = range(0, len(o), POSTING_BLOCK)
+            last = array("l", [o[min(k + POSTING_BLOCK, len(o)) - 1] for k in cuts])
+            self.postings[x] = (max(v), o, v, last, array("d", [max(v[k : k + POSTING_BLOCK]) for k in cuts]))
 
     def above(self, terms: set[str]) -> list[int]:
         """Ordinals of all items whose score reaches their threshold, by block-max WAND."""
         lists = [p for t in terms if (p := self.postings.get(t))]
         if sum([p[0] for p in lists]) < self.least:
             return []
-        cursors = [[p[1][0], 0, p] for p in lists]  # ordinal, position, list
+        # cursor: ordinal, position, list, number of the block that may hold the pivot, its last ordinal, its most
+        cursors = [[p[1][0], 0, p, 0, p[3][0], p[4][0]] for p in lists]
         end, out = len(self.ids), []
         least = self.least
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=_ordinal)
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
                 total += c[2][0]
@@ -174,32 +185,42 @@ class Index:
             # upper bound by the blocks that may hold the pivot
             bound, nearest = 0.0, end
             for c in cursors[: pivot + 1]:
-                i = bisect_left(c[2][1], o, c[1])
-                if i < len(c[2][1]):
-                    k = i // POSTING_BLOCK
-                    bound += c[2][3][k]
-                    nearest = min(nearest, c[2][1][min((k + 1) * POSTING_BLOCK, len(c[2][1])) - 1])
+                if c[4] < o:
+                    last, k = c[2][3], c[3] + 1
+                    while k < len(last) and last[k] < o:
+                        k += 1
+                    if k == len(last):
+                        c[3], c[4], c[5] = k, end, 0.0
+                    else:
+                        c[3], c[4], c[5] = k, last[k], c[2][4][k]
+                bound += c[5]
+                if c[4] < nearest:
+                    nearest = c[4]
             if bound < least:
                 # no item up to the nearest block end can reach it
                 to = nearest + 1
                 if pivot + 1 < len(cursors):
                     to = min(to, cursors[pivot + 1][0])
-                self._advance(cursors, pivot, max(to, o + 1), end)
+                self._advance(cursors[: pivot + 1], max(to, o + 1), end)
             else:
-                self._advance(cursors, pivot, o, end)
-                if sum([c[2][2][c[1]] for c in cursors if c[0] == o]) >= self.threshold[o]:
+                self._advance(cursors[: pivot + 1], o, end)
+                here = [c for c in cursors if c[0] == o]
+                if sum([c[2][2][c[1]] for c in here]) >= self.threshold[o]:
                     out.append(o)
-                self._advance(cursors, len(cursors) - 1, o + 1, end)
+                self._advance(here, o + 1, end)
             cursors = [c for c in cursors if c[0] < end]
         return out
 
     @staticmethod
-    def _advance(cursors: list, upto: int, o: int, end: int) -> None:
-        """Move the first cursors to the first ordinal from ``o`` on."""
-        for c in cursors[: upto + 1]:
+    def _advance(cursors: list, o: int, end: int) -> None:
+        """Move cursors to the first ordinal from ``o`` on."""
+        for c in cursors:
             if c[0] < o:
                 ordinals = c[2][1]
-                c[1] = i = bisect_left(ordinals, o, c[1])
+                i = c[1] + 1
+                if i < len(ordinals) and ordinals[i] < o:
+                    i = bisect_left(ordinals, o, i)
+                c[1] = i
                 c[0] = ordinals[i] if i < len(ordinals) else end
 
     def stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
@@ -224,21 +245,24 @@ class Index:
         found: dict[int, int] = {}
         n, step = self.min_run, PASSAGE - self.min_run + 1
         for begin, end in self.stretches(w):
-            asked: set[int] = set()
+            held: set[int] = set()
             for at in range(begin, max(begin + 1, end - n + 1), step):
                 part = w[at : min(at + PASSAGE, end)]
                 bag = {x for u in part for x in (readings(u) if JOINT in u else (u,))}
-                asked.update(self.above(bag))
-            for o in asked:
-                item = self.texts[o].split()
-                places: dict[str, list[int]] = defaultdict(list)
-                for i, x in enumerate(item):
-                    places[x].append(i)
-                run = longest_run(w[begin:end], item, places)
-                if run >= n:
-                    found[o] = max(found.get(o, 0), run)
+                held.update(o for o in self.above(bag) if o not in held and longest_run(part, self.places(o)) >= n)
+            for o in held:
+                found[o] = max(found.get(o, 0), longest_run(w[begin:end], self.places(o)))
         return found
 
+    def places(self, o: int) -> dict[str, list[int]]:
+        """Word -> its places in an item; kept for the items that were asked for."""
+        got = self.asked.get(o)
+        if got is None:
+            got = self.asked[o] = defaultdict(list)
+            for i, x in enumerate(self.texts[o].split()):
+                got[x].append(i)
+        return got
+
 
 def find(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, item_id, run_words, question_share, has_answer, evidence) of every leak.

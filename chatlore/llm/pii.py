@@ -68,6 +68,9 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+_DIGIT = re.compile(r"\d")
+
+
 # -- candidates ------------------------------------------------------------------------------------
 _L = r"[^\W\d_]"
 EMAIL = re.compile(
@@ -146,11 +149,12 @@ class Text:
         if "@" in s or "at" in s:
             for m in EMAIL.finditer(s):
                 self._add(m.start(), m.end(), "email", self._email(m.group()))
-        if any(c.isdigit() for c in s):
+        if _DIGIT.search(s):
             self._numbers()
             for n, p in enumerate(ADDRESS):
                 for m in p.finditer(s):
                     self._add(m.start(), m.end(), "address", self._address(m.group(), n, m.start()))
+        self.lonely = not self.segments
         self._names()
         self.segments.sort(key=lambda x: (x[0], x[1]))
 
@@ -255,9 +259,15 @@ class Text:
             k = kinds[i]
             if k == "-" or k != "I" and lower[i] in TITLES:
                 continue
-            spans = []
             j = i + 1
             gap = s[tokens[i][1] : tokens[j][0]]
+            if k == "aa" and kinds[j] == "aa" and gap == " ":
+                a, b = lower[i], lower[j]
+                if a not in lex.given and b not in lex.family and "-" not in a and "-" not in b:
+                    if self.unknown:
+                        self._unknown(tokens, lower, i, j, i, j, "G F")
+                    continue
+            spans = []
             if k == "I":
                 if gap in (". ", "."):
                     spans.append((i, j, "I F"))
@@ -309,13 +319,20 @@ class Text:
         wa, wb = lower[first], lower[last]
         if wa in TITLES or wb in TITLES:
             return
-        rare = f"{'g' if not lex.rare_given.isdisjoint(_parts(wa)[:2]) else '-'}{'f' if not lex.rare_family.isdisjoint(_parts(wb)) else '-'}"
         x, y = tokens[a][0], tokens[b][1]
         prev = lower[a - 1] if a and x - tokens[a - 1][1] < 4 else "^" if not a else s[x - 2 : x].strip() or "^"
+        first_known = wa in lex.rare_given if "-" not in wa else not lex.rare_given.isdisjoint(_parts(wa)[:2])
+        last_known = wb in lex.rare_family if "-" not in wb else not lex.rare_family.isdisjoint(_parts(wb))
+        rare = ("gf" if first_known else "-f") if last_known else "g-" if first_known else "--"
+        w = self.w if isinstance(self.w, Weights) else None
+        if w is not None:
+            bonus = w.alone if self.lonely else w.bonus
+            if w.most[rare] + bonus + w.lower[2].get(prev, 0.0) + w.lower[6].get(f"{prev},{rare}", 0.0) <= 0:
+                return
         after = lower[b + 1] if b + 1 < len(tokens) and tokens[b + 1][0] == y + 1 and s[y] == " " else s[y : y + 1] or "$"
         whole = a == 0 and b == len(tokens) - 1 and not s[:x].strip(" \t\n—-–") and not s[y:].strip()
         values = (rare, f"{rare},{form}", prev, after, f"{rare},{whole}", str((wa in COMMON) + (wb in COMMON)), f"{prev},{rare}", f"{min(len(wa), 4)},{min(len(wb), 4)}")
-        if isinstance(self.w, Weights) and sum([t.get(v, 0.0) for t, v in zip(self.w.lower, values)]) + self.w.bonus <= 0:
+        if w is not None and sum([t.get(v, 0.0) for t, v in zip(w.lower, values)]) + bonus <= 0:
             return
         self._add(x, y, "name", [f"{g}={v}" for g, v in zip(LOWER, values)])
 
@@ -329,7 +346,15 @@ class Weights(dict):
     def __init__(self, w: dict[str, float]):
         super().__init__(w)
         self.lower = [{f.partition("=")[2]: v for f, v in w.items() if f.startswith(f"name|{g}=")} for g in LOWER]
-        self.bonus = max([0.0, *(v for f, v in w.items() if ">" in f and "name" in f)]) * 2
+        # the most that the transitions into a name and out of it can add: anywhere, and where there are only names
+        into = max([0.0, *(v for f, v in w.items() if ">name" in f and "|" not in f)])
+        self.bonus = into + max([0.0, *(v for f, v in w.items() if f.startswith("name>"))])
+        among = max([0.0, *(v for f, v in w.items() if f.startswith("name>name"))])
+        self.alone = max(w.get("O>name", 0.0), among) + among
+        # the most that a pair can score, by what the lexicon knows of it, without the word before it
+        best = lambda group, start: max([0.0, *(v for x, v in self.lower[group].items() if x.startswith(start))])
+        self.most = {rare: self.lower[0].get(rare, 0.0) + best(1, rare) + best(3, "") + best(4, rare) + best(5, "") + best(7, "")
+                     for rare in ("--", "g-", "-f", "gf")}
 
 
 def _parts(w: str) -> list[str]:

@@ -144,7 +144,7 @@ TEMPLATES: dict[str, list[str]] = {
         r"connection (?:to \S+ |from \S+ )?(?:was )?(?:refused|reset|timed out|closed)|acceso denegado|prohibido|zugriff verweigert|accès (?:refusé|interdit)|interner (?:server)?fehler|erreur interne|error interno)\b",
         rf"\b{_THING}\b(?: \S+){{0,7}} {_GONE}", rf"\bno se (?:encontró|pudo cargar|puede mostrar)(?: \S+){{0,2}} {_THING}\b",
         r"\bwe (?:could(?: not|n't)|can(?:not|'t)) (?:find|locate|load|display|process) (?:what|the|this|that|your)\b",
-        r"\b(?:must|need to|have to) (?:be )?(?:sign|log)(?:ed|ged)? ?in to (?:see|view|access|read|continue)\b|\bdo(?:n't| not) have (?:permission|access|the right)\b|\bnot (?:authori[sz]ed|allowed|permitted) to\b",
+        r"\b(?:must|need to|have to) (?:be )?(?:sign in|signed in|log in|logged in|login) to (?:see|view|access|read|continue)\b|\bdo(?:n't| not) have (?:permission|access|the right)\b|\bnot (?:authori[sz]ed|allowed|permitted) to\b",
         r"^(?:please )?(?:sign|log) in (?:again|to continue)\b|\bsession (?:has |is )?(?:expired|timed out|ended)\b|\bsitzung (?:ist )?abgelaufen\b|\bsession a expiré\b|\bsesión ha (?:caducado|expirado)\b",
         r"\bsomething went wrong\b|\ban? (?:unexpected|unknown|internal) error\b|\b(?:unerwarteter|interner|unbekannter) fehler\b|\berreur (?:inattendue|inconnue|interne)\b|\berror (?:inesperado|desconocido|interno)\b",
         rf"^(?:please )?(?:\S+ ){{0,6}}{_LATER}",
@@ -160,8 +160,8 @@ TEMPLATES: dict[str, list[str]] = {
         r"\byour (?:text|content|title|name|summary|message|description) (?:goes )?here\b|\b(?:insert|enter|add|put|type|write|place)\b(?: \S+){0,5} (?:text|content|title|name|summary|message|description|words?)(?: \S+){0,2} here\b",
         r"\breplace this (?:text|paragraph|sentence|line)\b|^sample text\b|\bplaceholder (?:text|content|page|entry|for)\b|\bdummy (?:text|entry|content)\b|\bfiller text\b",
         r"^(?:todo|tbd|fixme|tba)\b|^(?:(?:content )?coming soon|under construction|to be (?:written|added|done|announced|completed))$|\bno content yet\b|\bcontent coming soon\b",
-        r"hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext|mustertext",
-        r"texto de (?:relleno|ejemplo|muestra|prueba)|escriba aquí|reempla\w+ este texto|sustituy\w+ este texto|texte? (?:d'exemple|d’exemple|de remplissage|à remplacer|factice)|remplace\w* ce texte|à remplacer\b",
+        r"\b(?:hier (?:steht|kommt) (?:später )?(?:der|ein) (?:text|inhalt)|platzhalter ?text|blindtext|beispieltext|mustertext)",
+        r"\b(?:texto de (?:relleno|ejemplo|muestra|prueba)|escriba aquí|reempla\w+ este texto|sustituy\w+ este texto|texte? (?:d'exemple|d’exemple|de remplissage|à remplacer|factice)|remplace\w* ce texte|à remplacer\b)",
     ],
 }
 
@@ -248,14 +248,17 @@ def _best(sets: list[frozenset[str]]) -> frozenset[str]:
 RAREST = {TEMPLATES["notice"][0]: _SCRIPTS, _SERVER_DOWN: _DOWN}
 
 
+def _literals(pattern: str) -> frozenset[str]:
+    """Literals of which every match holds one; empty if none is known."""
+    found = frozenset(x.strip(" ") for x in _best(_runs(_parser.parse(RAREST.get(pattern, pattern)))))
+    return frozenset() if "" in found else found
+
+
 @functools.lru_cache(maxsize=256)
 def needs(pattern: str) -> tuple[str, ...]:
-    """Literals of which every match holds one, so that they can be looked for first; empty if none is known."""
-    found = _best(_runs(_parser.parse(RAREST.get(pattern, pattern))))
-    short = {x.strip(" ") for x in found}
-    if not found or "" in short:
-        return ()
-    return tuple(sorted(x for x in short if not any(y in x for y in short if y != x)))
+    """The same without those that hold another of them, so that they can be looked for first."""
+    found = _literals(pattern)
+    return tuple(sorted(x for x in found if not any(y in x for y in found if y != x)))
 
 
 def _trie(words: set[str]) -> str:
@@ -269,11 +272,17 @@ def _trie(words: set[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
+# Literals that may stand inside a word; all others are looked for at the beginning of a word only.
+INSIDE = ("error", "exception", "script", "skript")
+
+
 @functools.lru_cache(maxsize=1)
 def any_need() -> str:
-    """What a template must hold to get a verdict by a pattern or as pseudo-Latin."""
-    every = {x.replace(ANY, "").strip() for patterns in TEMPLATES.values() for p in patterns for x in needs(p)} | {w for w in LATIN if len(w) >= LATIN_LONG}
-    return _trie({x for x in every if not any(y in x for y in every if y != x)})
+    """What a template must hold to get a verdict by a pattern or as pseudo-Latin, unless it is in ``INSIDE``."""
+    # where a template has a wildcard, its records have any word
+    every = {max(x.split(ANY), key=len).strip() for patterns in TEMPLATES.values() for p in patterns for x in _literals(p)} | {w for w in LATIN if len(w) >= LATIN_LONG}
+    every = {x for x in every if not any(y in x for y in INSIDE)}
+    return f"(?:^| )(?:{_trie({x for x in every if not any(x.startswith(y) for y in every if y != x)})})"
 
 
 @functools.lru_cache(maxsize=1)
@@ -285,7 +294,7 @@ def verdict(template: str) -> str | None:
     """What a template says: notice, error, filler, navigation or None."""
     some, patterns = _compiled()
     words = template.split(" ")
-    if some.search(template):
+    if any(x in template for x in INSIDE) or some.search(template):
         for kind, literals, pattern in patterns:
             if any(x in template for x in literals) and pattern.search(template):
                 return kind
@@ -304,7 +313,10 @@ def may_say(record: Column) -> Column:
     """Whether a template with the words of a record may get a verdict; its words are among the record's."""
     words = F.split(record, " ")
     drum = (F.size(words) >= 6) & (F.size(F.array_distinct(words)) * 4 <= F.size(words))
-    return record.rlike(any_need()) | drum | record.rlike(ROW) | record.rlike(AROUND)
+    inside = F.lit(False)
+    for x in INSIDE:
+        inside = inside | record.contains(x)
+    return inside | record.rlike(any_need()) | drum | record.rlike(ROW) | record.rlike(AROUND)
 
 
 _BLOCK = r"(?i)</?(?:h[1-6]|p|div|br|hr|li|ul|ol|tr|td|th|table|title|head|body|html|header|footer|nav|section|article)(?:\s[^<>\n]*)?/?>"
@@ -338,10 +350,10 @@ def mine(records: DataFrame) -> DataFrame:
     shared = distinct.join(leaf, "path")
     places = shared.select("path", "c", "total", F.posexplode(words).alias("at", "word")).filter(F.col("at") >= DEPTH)
     kept = places.groupBy("path", "total", "at", "word").agg(F.sum("c").alias("c")).filter(F.col("c") * SPLIT >= F.col("total"))
-    kept = kept.groupBy("path").agg(F.collect_set(F.concat_ws(" ", "at", "word")).alias("kept"))
-    # a leaf of several records without any shared word has an empty list, a leaf of one has none
-    kept = leaf.select("path").join(kept, "path", "left").select("path", F.coalesce("kept", F.array().cast("array<string>")).alias("kept"))
-    template = F.array_join(F.transform(words, lambda w, i: F.when((i < DEPTH) | F.array_contains("kept", F.concat_ws(" ", i, w)), w).otherwise(ANY)), " ")
+    kept = kept.groupBy("path").agg(F.concat(F.lit("|"), F.array_join(F.collect_set(F.concat_ws(" ", "at", "word")), "|"), F.lit("|")).alias("kept"))
+    # a leaf of several records without any shared word has an empty list, a leaf of one has null
+    kept = leaf.select("path").join(kept, "path", "left").select("path", F.coalesce("kept", F.lit("|")).alias("kept"))
+    template = F.array_join(F.transform(words, lambda w, i: F.when((i < DEPTH) | F.col("kept").contains(F.concat(F.lit("|"), i.cast("string"), F.lit(" "), w, F.lit("|"))), w).otherwise(ANY)), " ")
     return distinct.join(kept, "path", "left").select("record", F.when(F.col("kept").isNull(), F.col("record")).otherwise(template).alias("template"))
 
 

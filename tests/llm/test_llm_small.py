@@ -469,6 +469,8 @@ def test_what_is_looked_for_first_is_in_every_match(pattern, needs):
     assert found
     if needs:
         assert [x for x in found if not any(n in x for n in needs)] == []
+    if pattern not in R.SLOTS:
+        assert [x for x in found if not (re.search(R.any_need(), x) or any(n in x for n in R.INSIDE))] == []
 
 
 def test_templates_of_a_leaf(spark):
