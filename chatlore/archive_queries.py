@@ -410,6 +410,12 @@ def get_specific(spark: SparkSession, d: str) -> DataFrame:
     return paging.specific(current(spark, d), [1, 4, 68, 100, 999999999]).select("zgram_id", "body")
 
 
+@_query(f"WITH {BASE} SELECT zgram_id, is_logged FROM z0")
+def merged_kinds(spark: SparkSession, d: str) -> DataFrame:
+    m = facts.messages(table(spark, d, "zgrams"))
+    return facts.merge_kinds(m.filter("is_logged"), m.filter("not is_logged")).select("zgram_id", "is_logged")
+
+
 # -- policies --------------------------------------------------------------------------------------
 @_query(f"WITH {BASE} SELECT zgram_id, log_date::VARCHAR AS log_date FROM z WHERE is_logged OR log_date >= (SELECT max(log_date) FROM zgrams) - 7")
 def retention_ttl(spark: SparkSession, d: str) -> DataFrame:
@@ -555,11 +561,18 @@ def lower_bounds(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(facts.lower_bound(m, zgram_id=777), facts.lower_bound(m, timesecs=983000000), facts.end_id(m))], "by_id long, by_time long, end_id long")
 
 
-@_query(None)
+_B = "instance|body"
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', {v}, '{p}')" for q, v, p in (
+    ("relay", "true", f"Adapt(Pattern({_B}, relay))"), ('body:^"a b"', "true", "Near(1, [Anchored(^, Pattern(body, a)), Pattern(body, b)])"),
+    ("a or b and not c", "true", f"Or([Adapt(Pattern({_B}, a)), And([Adapt(Pattern({_B}, b)), Not(Adapt(Pattern({_B}, c)))])])"), ("sender:*", "true", "PopOrNot(pop=sender, unpop=(none))"),
+    ("zgramid(5)", "true", "ZgramId(5)"))) + ") v(query, valid, plan) UNION ALL SELECT * FROM (VALUES ('\"open', false, ''), ('(a', false, ''), ('zgramid(x)', false, '')) w(query, valid, plan)")
 def syntax_check(spark: SparkSession, d: str) -> DataFrame:
-    """Plans and errors of some queries."""
-    texts = ["relay", 'body:^"a b"$', "a or b and not c", '"open', "(a", "zgramid(x)"]
-    return spark.createDataFrame([(q, *check_syntax(q)) for q in texts], "query string, valid boolean, plan string")
+    """Plans of some queries, and those that have none."""
+    texts = ["relay", 'body:^"a b"', "a or b and not c", "sender:*", "zgramid(5)", '"open', "(a", "zgramid(x)"]
+    checked = [(q, *check_syntax(q)) for q in texts]
+    return spark.createDataFrame([(q, ok, plan if ok else "") for q, ok, plan in checked], "query string, valid boolean, plan string")
 
 
 # -- sources, streaming ----------------------------------------------------------------------------

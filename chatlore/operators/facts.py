@@ -100,6 +100,14 @@ def messages(zgrams: DataFrame) -> DataFrame:
     return zgrams.filter("zgram_id is not null").dropDuplicates(["zgram_id"]).drop("delivered_at")
 
 
+def merge_kinds(logged: DataFrame, unlogged: DataFrame) -> DataFrame:
+    """Logged and unlogged messages as one table. An id that both have stops the query."""
+    both = logged.select("zgram_id").join(unlogged.select("zgram_id"), "zgram_id", "left_semi").distinct().withColumn("_both", F.lit(True))
+    rows = logged.unionByName(unlogged).join(both, "zgram_id", "left")
+    stop = F.raise_error(F.concat(F.lit("logged and unlogged: "), F.col("zgram_id").cast("string"))).cast("boolean")
+    return rows.filter(F.when(F.col("_both"), stop).otherwise(True)).drop("_both")
+
+
 def latest_revisions(revisions_log: DataFrame) -> DataFrame:
     rows = revisions_log.filter("zgram_id is not null").select("seq", "zgram_id", "instance", "body", "render_style")
     last = last_keeper(rows, ["zgram_id"], "seq")

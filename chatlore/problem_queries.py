@@ -105,7 +105,57 @@ z AS (SELECT zgram_id AS id, min(delivered_at) AS at FROM zgrams GROUP BY ALL)
 SELECT {out} FROM r LEFT JOIN z USING (id)
 WHERE z.at IS NULL OR z.at > r.at OR r.id IN (SELECT zgram_id FROM purged_zgrams) {tail}"""
 
+
+
+def _array(path: str, n: int) -> str:
+    return f"coalesce(json_type(j, '{path}') = 'ARRAY' AND json_array_length(j, '{path}') = {n}, false)"
+
+
+def _is(path: str, kind: str) -> str:
+    text = f"json_extract_string(j, '{path}')"
+    return {
+        "int": f"coalesce(json_type(j, '{path}') = 'UBIGINT' AND TRY_CAST({text} AS BIGINT) IS NOT NULL, false)",
+        "string": f"coalesce(json_type(j, '{path}') = 'VARCHAR', false)", "flag": f"coalesce(json_type(j, '{path}') = 'BOOLEAN', false)",
+        "style": f"coalesce(json_type(j, '{path}') = 'VARCHAR' AND {text} IN ('d', 'x'), false)",
+    }[kind]
+
+
+_P = "$[0][1][0][1]"  # where the cells of a metadata record are
+_LINE_SHAPE = {
+    "z": [("$", 1), ("$[0]", 2), ("$[0][1]", 6), ("$[0][1][0]", 1), ("$[0][1][5]", 3)],
+    "rx": [(_P, 4), (f"{_P}[0]", 1)], "zgrev": [(_P, 2), (f"{_P}[0]", 1), (f"{_P}[1]", 3)], "ref": [(_P, 3), (f"{_P}[0]", 1), (f"{_P}[1]", 1)], "zmojis": [(_P, 2)],
+}
+_LINE_VALUES = {
+    "z": [("$[0][1][0][0]", "int"), ("$[0][1][1]", "int"), ("$[0][1][2]", "string"), ("$[0][1][3]", "string"), ("$[0][1][4]", "flag"), ("$[0][1][5][0]", "string"), ("$[0][1][5][1]", "string"), ("$[0][1][5][2]", "style")],
+    "rx": [(f"{_P}[0][0]", "int"), (f"{_P}[1]", "string"), (f"{_P}[2]", "string"), (f"{_P}[3]", "flag")],
+    "zgrev": [(f"{_P}[0][0]", "int"), (f"{_P}[1][0]", "string"), (f"{_P}[1][1]", "string"), (f"{_P}[1][2]", "style")],
+    "ref": [(f"{_P}[0][0]", "int"), (f"{_P}[1][0]", "int"), (f"{_P}[2]", "flag")], "zmojis": [(f"{_P}[0]", "string"), (f"{_P}[1]", "string")],
+}
+_META_SHAPE = [("$", 1), ("$[0]", 2), ("$[0][1]", 1), ("$[0][1][0]", 2)]
+_WHEN = " ".join(
+    f"WHEN '{k}' THEN CASE WHEN NOT ({' AND '.join(_array(*x) for x in ([] if k == 'z' else _META_SHAPE) + _LINE_SHAPE[k])}) THEN 'shape' "
+    f"WHEN NOT ({' AND '.join(_is(*x) for x in _LINE_VALUES[k])}) THEN 'value' END" for k in _LINE_SHAPE)
+
+
+def _tuple(i: int, kind: str) -> str:
+    x = f"x[{i}]"
+    below = {"i": "9223372036854775807", "u": "4294967295"}
+    return f"{x} IN ('T', 'F')" if kind == "b" else "true" if kind == "s" else (
+        f"(regexp_full_match({x}, '[0-9]+') AND (length(ltrim({x}, '0')) < {len(below[kind])} OR length(ltrim({x}, '0')) = {len(below[kind])} AND ltrim({x}, '0') <= '{below[kind]}'))")
+
+
+_TUPLES = {"reactions_by_id": "issb", "revisions": "issu", "refers_to": "iib", "zmojis": "ss", "zgram": "iissbssuuu"}
+_TUPLE_WHEN = " ".join(f"WHEN '{k}' THEN CASE WHEN len(x) <> {len(v)} THEN 'shape' WHEN NOT ({' AND '.join(_tuple(i, c) for i, c in enumerate(v, 1))}) THEN 'value' END" for k, v in _TUPLES.items())
+_P5 = f"""WITH l AS (SELECT line_id, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM raw_lines),
+k AS (SELECT line_id, j, CASE WHEN json_type(j, '$[0][0]') = 'VARCHAR' AND json_extract_string(j, '$[0][0]') = 'z' THEN 'z'
+  WHEN json_type(j, '$[0][0]') = 'VARCHAR' AND json_extract_string(j, '$[0][0]') = 'm' AND json_type(j, '$[0][1][0][0]') = 'VARCHAR' THEN json_extract_string(j, '$[0][1][0][0]') END AS kind FROM l),
+r AS (SELECT 'raw_lines' AS source_table, line_id AS row_id, CASE WHEN j IS NULL THEN 'syntax' WHEN coalesce(kind, '') NOT IN ('z', 'rx', 'zgrev', 'ref', 'zmojis') THEN 'shape' ELSE CASE kind {_WHEN} END END AS reason FROM k),
+t AS (SELECT 'raw_tuples' AS source_table, tuple_id AS row_id, CASE WHEN x IS NULL OR coalesce(layout, '') NOT IN ({', '.join(f"'{k}'" for k in _TUPLES)}) THEN 'shape' ELSE CASE layout {_TUPLE_WHEN} END END AS reason
+  FROM (SELECT tuple_id, layout, string_split(record, 'ÿ') AS x FROM raw_tuples))
+SELECT * FROM r WHERE reason IS NOT NULL UNION ALL SELECT * FROM t WHERE reason IS NOT NULL"""
+
 ORACLE = {
+    "p5_found": _P5,
     "p4_found": f"SELECT 'reactions_log' AS feed, seq FROM ({_RX}) WHERE value "
                 f"UNION ALL SELECT 'revisions_log', seq FROM ({_REV}) WHERE {_KEPT_REV} "
                 f"UNION ALL SELECT 'zmojis_log', seq FROM ({_ZM}) WHERE zmojis IS NOT NULL",

@@ -133,6 +133,13 @@ def test_wrong_kind(spark):
     assert [r.zgram_id for r in logs.wrong_kind(lines, z).collect()] == [10]
 
 
+def test_kinds_are_merged(spark):
+    one, two = (spark.createDataFrame([(i, "x") for i in ids], "zgram_id long, body string") for ids in ((1, 3), (2, 3)))
+    assert sorted(r.zgram_id for r in facts.merge_kinds(one, two.filter("zgram_id = 2")).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="logged and unlogged: 3"):
+        facts.merge_kinds(one, two).collect()
+
+
 def test_strings_are_frozen(spark):
     rows = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "é", "a")], "n int, s string, t string")
     codes = facts.string_codes(facts.dictionary([(rows, "s"), (rows, "t")]))
