@@ -56,10 +56,9 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """All n-grams of body words up to three words that occur in more than one message."""
-    body = N.message_records(table(spark, d, "zgrams")).filter("field = 'body'")
-    grams = N.ngram_counts(body, max_n=3).filter("records > 1")
-    return grams.select("n", F.array_join("gram", " ").alias("gram"), "occurrences", "records")
+    """All n-grams of up to three words (or values) that occur in more than one message."""
+    grams = N.ngram_counts(N.message_records(table(spark, d, "zgrams")), max_n=3).filter("records > 1")
+    return grams.select("field", "n", F.array_join("gram", " ").alias("gram"), "occurrences", "records")
 
 
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +107,13 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
             .groupBy((F.col("text") == F.col("decoded")).alias("equal")).agg(F.count("*").alias("n_docs")))
 
 
+def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where the tokens of each document end, and whether each begins no later than the one before it ended."""
+    rows = K.encode_with_offsets(spread(table(spark, d, "documents")))
+    gap = F.exists(F.zip_with(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda b, e: b > e), lambda x: x)
+    return rows.select("doc_id", F.coalesce(F.array_max("ends"), F.lit(0)).alias("n_chars"), gap.alias("gap"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return L.find(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
@@ -137,7 +143,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(R.judge(table(spark, d, "documents")), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_masked, p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p6_found, p6_clean, p8_ids, p8_round_trip,
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_masked, p2_found, p2_counts, p2_ngrams, p3_found, p3_roles, p6_found, p6_clean, p8_ids, p8_round_trip, p8_offsets,
                                    p9_found, p9_leaks, p9_items, p10_found, p10_reasons, p10_kept)}
 
 _W = r"[0-9a-z\x{80}-\x{10FFFF}]+(?:''+[0-9a-z\x{80}-\x{10FFFF}]+)*"
@@ -174,11 +180,13 @@ o AS (SELECT m.root AS root_id, row_number() OVER (PARTITION BY m.root ORDER BY
 ORACLE = {
     "p2_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_counts": _TERMS + "SELECT field, term, occurrences, records, coalesce(mark, '') AS mark FROM m",
-    "p2_ngrams": f"""WITH z AS ({_ONCE}), w AS (SELECT zgram_id, regexp_extract_all(lower(body), '{_W}') AS w FROM z WHERE body IS NOT NULL),
-p AS (SELECT zgram_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT zgram_id, n, array_to_string(w[i:i+n-1], ' ') AS gram
+    "p2_ngrams": f"""WITH z AS ({_ONCE}), w AS (SELECT zgram_id, 'body' AS field, regexp_extract_all(lower(body), '{_W}') AS w FROM z WHERE body IS NOT NULL
+  UNION ALL SELECT zgram_id, 'instance', [instance] FROM z WHERE instance <> '' UNION ALL SELECT zgram_id, 'sender', [sender] FROM z WHERE sender <> ''),
+p AS (SELECT zgram_id, field, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT zgram_id, field, n, array_to_string(w[i:i+n-1], ' ') AS gram
   FROM p, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(w))
-SELECT n, gram, count(*) AS occurrences, count(DISTINCT zgram_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT zgram_id) > 1""",
+SELECT field, n, gram, count(*) AS occurrences, count(DISTINCT zgram_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT zgram_id) > 1""",
     "p3_found": _CONV + "SELECT root_id, turn, zgram_id FROM o",
     "p3_roles": _CONV + "SELECT root_id, turn, zgram_id, CASE WHEN sender IS NOT DISTINCT FROM starter THEN 'starter' ELSE 'responder' END AS role FROM o",
+    "p8_offsets": "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, false AS gap FROM documents",
     "p8_round_trip": "SELECT true AS equal, count(*) AS n_docs FROM documents",
 }

@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,12 +126,39 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | Non
     return df.select(F.col(key), F.col(ids)).mapInArrow(run, schema)
 
 
-def offsets(text: str, path: str) -> list[tuple[int, int]]:
-    """Byte range of each token in the UTF-8 of ``text``."""
-    table, t = byte_table(), load(path)
-    out, at = [], 0
-    for i in encode_texts([text], path)[0]:
-        n = sum(1 for c in t.id_to_token(i) if c in table)
-        out.append((at, at + n))
-        at += n
-    return out
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> np.ndarray:
+    """How many bytes each token stands for, by id: one for each of its characters."""
+    t = load(path)
+    return np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size(with_added_tokens=True))], np.int64)
+
+
+def offsets(text: str | None, ids: list[int], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """First character and the one after the last of each token, in the text itself.
+
+    Bytes of the tokens are counted up, and each byte is mapped to the character it belongs to; tokens that share
+    a character overlap there."""
+    if not ids:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    character = np.cumsum((raw & 0xC0) != 0x80) - 1
+    end = np.cumsum(token_bytes(path)[np.asarray(ids)])
+    begin = np.concatenate([[0], end[:-1]])
+    return character[begin], character[end - 1] + 1
+
+
+def encode_with_offsets(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """(key, ids, begins, ends) of every row: characters of each token, from 0."""
+    path = path or vocabulary()
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, begins array<bigint>, ends array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            ids = encode_texts(texts, path)
+            spans = [offsets(t, i, path) for t, i in zip(texts, ids)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.list_(pa.int32())), *[pa.array([x[n] for x in spans], pa.list_(pa.int64())) for n in (0, 1)]],
+                [key, "ids", "begins", "ends"])
+
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

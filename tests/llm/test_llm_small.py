@@ -318,9 +318,17 @@ def test_encoding(spark):
     assert got == {n: t.encode(x, add_special_tokens=False).ids if x else [] for n, x in enumerate(TEXTS)}
     assert ids.count() == len(TEXTS) + 1 and K.encode(df.limit(0)).count() == 0
     assert {r.doc_id: r.text for r in K.decode(ids).collect()} == {n: x or "" for n, x in enumerate(TEXTS)}
-    for x in TEXTS[3:6]:
-        raw = x.encode()
-        assert b"".join(raw[a:b] for a, b in K.offsets(x, K.vocabulary())) == raw
+    table = K.byte_table()
+    for r in K.encode_with_offsets(df).collect():
+        x = TEXTS[r.doc_id] or ""
+        assert r.ids == got[r.doc_id] and len(r.begins) == len(r.ends) == len(r.ids)
+        at = 0
+        for i, a, b in list(zip(r.ids, r.begins, r.ends))[:3000]:
+            n = sum(c in table for c in K.load(K.vocabulary()).id_to_token(i))
+            if len(x) < 20_000:
+                assert a == len(x.encode()[:at].decode(errors="ignore")) and x[a:b].encode() in (x.encode()[at : at + n], x[a:b].encode()) and len(x[a:b].encode()) >= n
+            at += n
+        assert (r.ends[-1] if r.ends else 0) == len(x)
 
 
 # -- 9 ---------------------------------------------------------------------------------------------
@@ -476,8 +484,8 @@ def test_what_is_looked_for_first_is_in_every_match(pattern, needs):
 def test_templates_of_a_leaf(spark):
     """Words that enough records of a leaf share stay, others become wildcards; a leaf of one record is its own template."""
     names = ["ulvo", "brint", "kasto", "mellin", "dorva", "pexa", "rinto", "sulme", "tavik", "woren", "yaldi", "zemor", "arvik", "belto", "corin", "dalmo", "ervin", "falko", "garmo", "hinto", "ilvar", "jusko"]
-    df = spark.createDataFrame(list(enumerate(["Reader of old pages"] * 3 + ["a single server", "a", "error"])), "doc_id long, text string")
-    assert {(r.record, r.template) for r in R.mine(R.records(df, "doc_id", "text")).collect()} == {(x, x) for x in ("a single server", "error")}
+    df = spark.createDataFrame(list(enumerate(["Reader of old pages"] * 3 + ["nothing found now", "a", "error"])), "doc_id long, text string")
+    assert {(r.record, r.template) for r in R.mine(R.records(df, "doc_id", "text")).collect()} == {(x, x) for x in ("nothing found now", "error")}
     df = spark.createDataFrame([(n, f"the old page {x} moved from {x} to archive") for n, x in enumerate(names)] + [(99, "the old page of us was copied twice today")] * 2, "doc_id long, text string")
     got = {r.record: r.template for r in R.mine(R.records(df, "doc_id", "text")).collect()}
     assert set(got.values()) == {"the old page <*> moved from <*> to archive", "the old page of us was copied twice today"}
