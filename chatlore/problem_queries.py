@@ -146,7 +146,9 @@ def _tuple(i: int, kind: str) -> str:
 
 _TUPLES = {"reactions_by_id": "issb", "revisions": "issu", "refers_to": "iib", "zmojis": "ss", "zgram": "iissbssuuu"}
 _TUPLE_WHEN = " ".join(f"WHEN '{k}' THEN CASE WHEN len(x) <> {len(v)} THEN 'shape' WHEN NOT ({' AND '.join(_tuple(i, c) for i, c in enumerate(v, 1))}) THEN 'value' END" for k, v in _TUPLES.items())
-_P5 = f"""WITH l AS (SELECT line_id, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM raw_lines),
+# what is outside strings: the SQL engine's parser lets surplus commas, NaN and Infinity pass
+_BARE = """regexp_replace(line, '"(?:[^"\\\\]|\\\\.)*"', '""', 'gs')"""
+_P5 = f"""WITH l AS (SELECT line_id, CASE WHEN json_valid(line) AND NOT regexp_matches({_BARE}, ',\\s*[\\]}}]|(?i:nan|inf)') THEN CAST(line AS JSON) END AS j FROM raw_lines),
 k AS (SELECT line_id, j, CASE WHEN json_type(j, '$[0][0]') = 'VARCHAR' AND json_extract_string(j, '$[0][0]') = 'z' THEN 'z'
   WHEN json_type(j, '$[0][0]') = 'VARCHAR' AND json_extract_string(j, '$[0][0]') = 'm' AND json_type(j, '$[0][1][0][0]') = 'VARCHAR' THEN json_extract_string(j, '$[0][1][0][0]') END AS kind FROM l),
 r AS (SELECT 'raw_lines' AS source_table, line_id AS row_id, CASE WHEN j IS NULL THEN 'syntax' WHEN coalesce(kind, '') NOT IN ('z', 'rx', 'zgrev', 'ref', 'zmojis') THEN 'shape' ELSE CASE kind {_WHEN} END END AS reason FROM k),
